@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,11 +38,39 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (the ``--py-files`` way).
+
+    Pandas/Arrow stages pickle functions of this package by reference, so the
+    workers must import it.  The package is zipped once per application and
+    handed to ``addPyFile``; Spark serves it to every executor.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="refinespark-pyfiles-"), "refinespark.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_arrow_limits(spark: SparkSession) -> None:
-    """Bound JVM->Python Arrow batches by bytes if nobody has done so."""
+    """Bound JVM->Python Arrow batches by bytes if nobody has done so; ship the package."""
+    ship_package(spark)
     cur = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
     if cur is None or int(cur) > ARROW_MAX_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_MAX_BYTES))
