@@ -62,11 +62,13 @@ class HashedEncoder:
     def counts(self, text) -> Column:
         return _bincount_udf(self.dim)(term_buckets(text, self.dim))
 
-    def vector(self, text) -> Column:
-        return _normalise(self.counts(text))
+    def weights(self, counts: Column) -> Column:
+        return counts
 
     def encode(self, df: DataFrame, key: str, text_col: str, out: str = "vec") -> DataFrame:
-        return df.select(key, self.vector(F.col(text_col)).alias(out))
+        # the pandas UDF result is projected first: a Python UDF may not sit inside a lambda
+        counted = df.select(key, self.counts(F.col(text_col)).alias("_counts"))
+        return counted.select(key, _normalise(self.weights(F.col("_counts"))).alias(out))
 
 
 class TfidfEncoder(HashedEncoder):
@@ -93,10 +95,10 @@ class TfidfEncoder(HashedEncoder):
                                        lambda x: x["w"])).scalar()
         return self
 
-    def vector(self, text) -> Column:
+    def weights(self, counts: Column) -> Column:
         if self.idf is None:
             raise ValueError("fit the encoder on a corpus first")
-        return _normalise(F.zip_with(self.counts(text), self.idf, lambda c, w: c * w))
+        return F.zip_with(counts, self.idf, lambda c, w: c * w)
 
 
 class BatchEncoder:

@@ -34,6 +34,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_MAX_BYTES))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("REFINESPARK_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
