@@ -101,3 +101,18 @@ def corpus_profile(pairs: DataFrame) -> DataFrame:
         F.countDistinct("a").alias("distinct_answers"),
         F.countDistinct("q").alias("distinct_questions"),
     )
+
+
+def truth_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query table with ground truth: benchmark items found verbatim in a document.
+
+    (id, question, context = first such document text, answers = all of them, sorted).
+    """
+    from ..operators.textmatch import contains_join
+    bench = read_table(spark, sf_dir, "benchmark", "item_id", "text").select(
+        F.col("item_id").alias("id"), F.col("text").alias("p_text"))
+    docs = read_table(spark, sf_dir, "documents", "text").select(F.col("text").alias("d_text"))
+    hits = contains_join(docs, bench)
+    return (hits.groupBy("id", "p_text")
+                .agg(F.min("d_text").alias("context"), F.array_sort(F.collect_set("d_text")).alias("answers"))
+                .select("id", F.col("p_text").alias("question"), "context", "answers"))
