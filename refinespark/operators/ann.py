@@ -43,13 +43,19 @@ def _centroid_array(centroids: DataFrame) -> Column:
     return centroids.agg(F.array_sort(F.collect_list(F.struct("cell", "vec")))).scalar()
 
 
-def nearest_cells(vec, centroids: DataFrame, n: int = 1) -> Column:
-    """ARRAY<INT> of the n nearest cells by L2 (distance, then cell)."""
-    cents = _centroid_array(centroids)
-    v = F.col(vec) if isinstance(vec, str) else vec
-    dists = F.transform(cents, lambda c: F.struct(F.round(l2sq(v, c["vec"]), ASSIGN_DECIMALS).alias("d"),
-                                                  c["cell"].alias("cell")))
-    return F.transform(F.slice(F.array_sort(dists), 1, n), lambda x: x["cell"])
+def with_nearest_cells(df: DataFrame, vec: str, centroids: DataFrame, n: int = 1,
+                       out: str = "cells") -> DataFrame:
+    """Add ARRAY<INT> ``out``: the n nearest cells by L2 (distance, then cell).
+
+    The centroid array is a scalar subquery projected as a column first
+    (subqueries may not sit inside a lambda); it is dropped again before
+    any exchange.
+    """
+    with_c = df.withColumn("_cents", _centroid_array(centroids))
+    dists = F.transform("_cents", lambda c: F.struct(F.round(l2sq(F.col(vec), c["vec"]), ASSIGN_DECIMALS)
+                                                     .alias("d"), c["cell"].alias("cell")))
+    return with_c.withColumn(out, F.transform(F.slice(F.array_sort(dists), 1, n),
+                                              lambda x: x["cell"])).drop("_cents")
 
 
 def _mean_by_cell(assigned: DataFrame) -> DataFrame:
@@ -82,7 +88,7 @@ def ivf_train(vectors: DataFrame, nlist: int = 16, iters: int = 2, seed: int = D
     cents = first.select((F.col("_r") - 1).cast("int").alias("cell"),
                          F.col("vec").cast("array<double>").alias("vec"))
     for step in range(iters):
-        assigned = v.select(nearest_cells("vec", cents, 1)[0].alias("cell"), "vec")
+        assigned = with_nearest_cells(v, "vec", cents, 1).select(F.col("cells")[0].alias("cell"), "vec")
         means = _mean_by_cell(assigned)
         cents = (cents.alias("o").join(means.alias("m"), "cell", "left")
                       .select("cell", F.coalesce(F.col("m.vec"), F.col("o.vec")).alias("vec")))
@@ -103,32 +109,34 @@ def sq_train(vectors: DataFrame, vec: str = "vec") -> tuple[Column, Column]:
     return lo, hi
 
 
-def sq_encode(vec, lo: Column, hi: Column, bits: int = 8) -> Column:
+def sq_encode(df: DataFrame, vec: str, lo: Column, hi: Column, bits: int = 8, out: str = "code") -> DataFrame:
     """code = clamp(floor((x - lo) / (hi - lo) * L + 0.5), 0, L), L = 2^bits - 1; hi = lo -> 0."""
     levels = float((1 << bits) - 1)
-    v = F.col(vec) if isinstance(vec, str) else vec
+    b = df.withColumn("_lo", lo).withColumn("_hi", hi)
 
     def code(x, i):
-        span = F.element_at(hi, i + 1) - F.element_at(lo, i + 1)
-        raw = F.floor((x.cast("double") - F.element_at(lo, i + 1)) / span * F.lit(levels) + F.lit(0.5))
-        return F.when(span == 0, F.lit(0)).otherwise(
+        lo_i, hi_i = F.element_at("_lo", i + 1), F.element_at("_hi", i + 1)
+        raw = F.floor((x.cast("double") - lo_i) / (hi_i - lo_i) * F.lit(levels) + F.lit(0.5))
+        return F.when(hi_i == lo_i, F.lit(0)).otherwise(
             F.least(F.lit(levels), F.greatest(F.lit(0.0), raw))).cast("smallint")
 
-    return F.transform(v, code)
+    return b.withColumn(out, F.transform(vec, code)).drop("_lo", "_hi")
 
 
-def sq_decode(code, lo: Column, hi: Column, bits: int = 8) -> Column:
+def sq_decode(df: DataFrame, code: str, lo: Column, hi: Column, bits: int = 8, out: str = "dvec") -> DataFrame:
     levels = float((1 << bits) - 1)
-    c = F.col(code) if isinstance(code, str) else code
-    return F.transform(c, lambda x, i: F.element_at(lo, i + 1)
-                       + x.cast("double") * (F.element_at(hi, i + 1) - F.element_at(lo, i + 1)) / F.lit(levels))
+    b = df.withColumn("_lo", lo).withColumn("_hi", hi)
+    dec = F.transform(code, lambda x, i: F.element_at("_lo", i + 1) + x.cast("double")
+                      * (F.element_at("_hi", i + 1) - F.element_at("_lo", i + 1)) / F.lit(levels))
+    return b.withColumn(out, dec).drop("_lo", "_hi")
 
 
 def ivf_add(vectors: DataFrame, centroids: DataFrame, lo: Column, hi: Column, bits: int = 8,
             key: str = "pid", vec: str = "vec") -> DataFrame:
     """(pid, cell, code) - nearest cell by L2 and the scalar code of every vector."""
-    return vectors.select(F.col(key).alias("pid"), nearest_cells(vec, centroids, 1)[0].alias("cell"),
-                          sq_encode(vec, lo, hi, bits).alias("code"))
+    v = vectors.select(F.col(key).alias("pid"), F.col(vec).alias("vec"))
+    v = with_nearest_cells(v, "vec", centroids, 1).withColumn("cell", F.col("cells")[0])
+    return sq_encode(v, "vec", lo, hi, bits).select("pid", "cell", "code")
 
 
 def build_index(vectors: DataFrame, nlist: int = 16, bits: int = 8, iters: int = 2,
@@ -146,11 +154,11 @@ def ann_search_bulk(query_vecs: DataFrame, index: IvfIndex, k: int = 1, nprobe:
     Scores are inner products with the decoded vectors.  With nprobe = nlist
     and exact codes this equals the exact search.
     """
-    probes = query_vecs.select(F.col(qkey).alias("qid"), F.col(vec).alias("qvec"),
-                               F.explode(nearest_cells(vec, index.centroids, nprobe)).alias("cell"))
-    cand = probes.join(index.codes, "cell")
-    scored = cand.select("qid", "pid", F.round(dot("qvec", sq_decode("code", index.lo, index.hi, index.bits)),
-                                               SCORE_DECIMALS).alias("score"))
+    q = query_vecs.select(F.col(qkey).alias("qid"), F.col(vec).alias("qvec"))
+    probes = with_nearest_cells(q, "qvec", index.centroids, nprobe).select(
+        "qid", "qvec", F.explode("cells").alias("cell"))
+    cand = sq_decode(probes.join(index.codes, "cell"), "code", index.lo, index.hi, index.bits)
+    scored = cand.select("qid", "pid", F.round(dot("qvec", "dvec"), SCORE_DECIMALS).alias("score"))
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("pid").asc())
     return (scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
                   .select("qid", F.col("rk").cast("int"), "pid", "score"))

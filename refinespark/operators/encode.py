@@ -67,9 +67,12 @@ class HashedEncoder:
 
     def encode(self, df: DataFrame, key: str, text_col: str, out: str = "vec") -> DataFrame:
         # the pandas UDF result is projected first: a Python UDF may not sit inside a lambda
-        counted = df.select(key, self.counts(F.col(text_col)).alias("_counts"))
+        counted = self._with_params(df.select(key, self.counts(F.col(text_col)).alias("_counts")))
         return counted.select(key, _normalise(self.weights(F.col("_counts"))).alias(out))
 
+    def _with_params(self, df: DataFrame) -> DataFrame:
+        return df
+
 
 class TfidfEncoder(HashedEncoder):
     """E5: hashed counts x idf fitted on a corpus; idf is a ``dim``-long array.
@@ -95,10 +98,14 @@ class TfidfEncoder(HashedEncoder):
                                        lambda x: x["w"])).scalar()
         return self
 
-    def weights(self, counts: Column) -> Column:
+    def _with_params(self, df: DataFrame) -> DataFrame:
         if self.idf is None:
             raise ValueError("fit the encoder on a corpus first")
-        return F.zip_with(counts, self.idf, lambda c, w: c * w)
+        # scalar subquery projected first: it may not sit inside a lambda
+        return df.withColumn("_idf", self.idf)
+
+    def weights(self, counts: Column) -> Column:
+        return F.zip_with(counts, F.col("_idf"), lambda c, w: c * w)
 
 
 class BatchEncoder:

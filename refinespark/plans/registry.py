@@ -254,7 +254,7 @@ def q_ivf_train(spark, sf):
 def q_sq_encode(spark, sf):
     v = src.vectors(spark, sf)
     lo, hi = ann.sq_train(v)
-    return v.select("pid", ann.sq_encode("vec", lo, hi, BITS).alias("code"))
+    return ann.sq_encode(v, "vec", lo, hi, BITS).select("pid", "code")
 
 
 def q_ivf_add(spark, sf):
