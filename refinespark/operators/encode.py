@@ -14,6 +14,7 @@ function from a list of texts to an (n, d) array, run with ``mapInPandas``.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Callable, Iterator
 
 import numpy as np
@@ -22,33 +23,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import encoder_tokens, hash32, wrap
+from ..functions.text import encoder_tokens, wrap
 from ..functions.vectors import vec_sum
 
 DEFAULT_DIM = 1024
 
 
+def _bucket_of(tokens: np.ndarray, dim: int) -> np.ndarray:
+    """hash32(token) mod dim for an array of tokens; each distinct token is hashed once."""
+    if len(tokens) == 0:
+        return np.zeros(0, np.int64)
+    uniq, inverse = np.unique(tokens, return_inverse=True)
+    hashed = np.fromiter((int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim for t in uniq),
+                         dtype=np.int64, count=len(uniq))
+    return hashed[inverse]
+
+
+def _flatten(tokens: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    lens = np.fromiter((0 if x is None else len(x) for x in tokens.values), dtype=np.int64, count=len(tokens))
+    parts = [np.asarray(x, dtype=object) for x in tokens.values if x is not None and len(x)]
+    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=object)
+    return flat, lens
+
+
 def _bincount_udf(dim: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def bincount(dims: pd.Series) -> pd.Series:
-        n = len(dims)
-        lens = np.fromiter((len(x) for x in dims.values), dtype=np.int64, count=n)
-        mat = np.zeros((n, dim), dtype=np.float64)
-        if lens.sum():
-            flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in dims.values if len(x)])
-            rows = np.repeat(np.arange(n), lens)
-            np.add.at(mat, (rows, flat), 1.0)
+    def bincount(tokens: pd.Series) -> pd.Series:
+        flat, lens = _flatten(tokens)
+        mat = np.zeros((len(tokens), dim), dtype=np.float64)
+        if len(flat):
+            np.add.at(mat, (np.repeat(np.arange(len(tokens)), lens), _bucket_of(flat, dim)), 1.0)
         return pd.Series(list(mat))
-    return bincount
+    # Marked nondeterministic only so Catalyst never copies the call into a
+    # pushed-down filter (which would run the Python stage twice per row).
+    return bincount.asNondeterministic()
+
+
+def _buckets_udf(dim: int):
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def buckets(tokens: pd.Series) -> pd.Series:
+        flat, lens = _flatten(tokens)
+        b = _bucket_of(flat, dim).astype(np.int32)
+        return pd.Series(np.split(b, np.cumsum(lens)[:-1]) if len(lens) else [])
+    return buckets.asNondeterministic()  # see _bincount_udf
 
 
 def term_buckets(text, dim: int) -> Column:
-    """Bucket index of every token: md5-based hash32(token) mod dim."""
-    return F.transform(encoder_tokens(text), lambda t: (hash32(t) % F.lit(dim)).cast("int"))
+    """Bucket index of every token: md5-based hash32(token) mod dim.
+
+    Tokenising is a JVM regex; the hashing runs once per *distinct* token of
+    an Arrow batch (numpy ``unique``), not once per token.
+    """
+    return _buckets_udf(dim)(encoder_tokens(text))
+
+
+def _norm(weights: Column) -> Column:
+    return F.sqrt(F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
-def _normalise(weights: Column) -> Column:
-    norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x * x))
+def _scaled(weights: Column, norm: Column) -> Column:
     return F.transform(weights, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm).cast("float"))
 
 
@@ -60,7 +93,7 @@ class HashedEncoder:
         self.name = f"hashed-{dim}"
 
     def counts(self, text) -> Column:
-        return _bincount_udf(self.dim)(term_buckets(text, self.dim))
+        return _bincount_udf(self.dim)(encoder_tokens(text))
 
     def weights(self, counts: Column) -> Column:
         return counts
@@ -68,7 +101,10 @@ class HashedEncoder:
     def encode(self, df: DataFrame, key: str, text_col: str, out: str = "vec") -> DataFrame:
         # the pandas UDF result is projected first: a Python UDF may not sit inside a lambda
         counted = self._with_params(df.select(key, self.counts(F.col(text_col)).alias("_counts")))
-        return counted.select(key, _normalise(self.weights(F.col("_counts"))).alias(out))
+        weighted = counted.select(key, self.weights(F.col("_counts")).alias("_w"))
+        # the norm is its own column, so it is computed once per row, not once per element
+        normed = weighted.select(key, "_w", _norm(F.col("_w")).alias("_n"))
+        return normed.select(key, _scaled(F.col("_w"), F.col("_n")).alias(out))
 
     def _with_params(self, df: DataFrame) -> DataFrame:
         return df
@@ -87,7 +123,8 @@ class TfidfEncoder(HashedEncoder):
         self.idf: Column | None = None
 
     def fit(self, corpus: DataFrame, text_col: str = "text") -> "TfidfEncoder":
-        docs = corpus.select(F.array_distinct(term_buckets(F.col(text_col), self.dim)).alias("b"))
+        docs = corpus.select(term_buckets(F.col(text_col), self.dim).alias("b")).select(
+            F.array_distinct("b").alias("b"))
         n = corpus.agg(F.count(F.lit(1))).scalar()
         df_counts = docs.select(F.explode("b").alias("bucket")).groupBy("bucket").agg(
             F.count(F.lit(1)).alias("df"))

@@ -177,10 +177,12 @@ def topk_exact_bulk(queries: DataFrame, passages: DataFrame, k: int = 1, metric:
                     qkey: str = "qid", pkey: str = "pid", vec: str = "vec",
                     block_rows: int = DEFAULT_BLOCK_ROWS,
                     query_group_rows: int = DEFAULT_QUERY_GROUP_ROWS,
-                    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+                    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, dim: int | None = None) -> DataFrame:
     """R3 (and R2, R9): top-k passages for every query -> (qid, rk INT, pid, score).
 
     k larger than the corpus gives the whole corpus (a short list, no padding).
+    ``dim`` (the vector width, when the caller knows it from the encoder)
+    saves one small job.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -188,8 +190,15 @@ def topk_exact_bulk(queries: DataFrame, passages: DataFrame, k: int = 1, metric:
     ensure_arrow_limits(spark)
     q = queries.select(F.col(qkey).cast("long").alias("qid"), F.col(vec).cast("array<float>").alias("vec")) \
                .where(F.col("vec").isNotNull())
-    # size check: one small aggregate over the query side before planning
-    n_q, width = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    # size check before planning: a row count (the vector column is pruned away,
+    # so an encoder upstream is not run for it) and the width of one vector
+    n_q = queries.select(qkey).count()
+    if n_q and dim is None:
+        first = q.select(F.size("vec")).limit(1).collect()
+        n_q = n_q if first else 0
+        width = first[0][0] if first else 0
+    else:
+        width = dim or 0
     if n_q == 0:
         return spark.createDataFrame([], "qid long, rk int, pid long, score double")
     groups = max(1, math.ceil(n_q / query_group_rows))

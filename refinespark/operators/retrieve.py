@@ -16,10 +16,10 @@ from .exact import topk_exact_bulk
 
 
 def search(query_vecs: DataFrame, passage_vecs: DataFrame, k: int = 1, metric: str = "ip",
-           index=None, nprobe: int = 1) -> DataFrame:
+           index=None, nprobe: int = 1, dim: int | None = None) -> DataFrame:
     """Hits (qid, rk, pid, score) by exact block search, or by an IVF index when given."""
     if index is None:
-        return topk_exact_bulk(query_vecs, passage_vecs, k=k, metric=metric)
+        return topk_exact_bulk(query_vecs, passage_vecs, k=k, metric=metric, dim=dim)
     from .ann import ann_search_bulk
     return ann_search_bulk(query_vecs, index, k=k, nprobe=nprobe)
 
@@ -51,7 +51,7 @@ def retrieve_table(queries: DataFrame, passages: DataFrame, encoder, k: int = 1,
                         encoder, wrap_markers=wrap_markers)
     qv = guard_zero_vector(qv, "vec", guard)
     pv = passage_vecs if passage_vecs is not None else encode_passages(passages, "pid", "text", encoder)
-    hits = search(qv, pv, k=k, index=index, nprobe=nprobe)
+    hits = search(qv, pv, k=k, index=index, nprobe=nprobe, dim=getattr(encoder, "dim", None))
     ctx = join_context(hits, passages).select(F.col("qid").alias(qkey), F.col("context").alias("retrieve"))
     return queries.join(ctx, qkey, "left")
 
@@ -68,7 +68,7 @@ def retrieve_table_ids(dataset: DataFrame, passages: DataFrame, encoder, k: int
                         encoder, wrap_markers=False)
     qv = guard_zero_vector(qv, "vec", guard)
     pv = passage_vecs if passage_vecs is not None else encode_passages(passages, "pid", "text", encoder)
-    hits = search(qv, pv, k=k, index=index, nprobe=nprobe)
+    hits = search(qv, pv, k=k, index=index, nprobe=nprobe, dim=getattr(encoder, "dim", None))
     ctx = join_context(hits, passages).withColumnRenamed("qid", "id")
     cols = ["id", "question"]
     has_truth = "context" in dataset.columns and "answers" in dataset.columns
@@ -87,7 +87,7 @@ def search_passages(spark, text: str, passages: DataFrame, encoder, k: int = 10,
     q = spark.createDataFrame([(0, text)], "qid long, q string")
     qv = guard_zero_vector(encode_queries(q, "qid", "q", encoder, wrap_markers=False), "vec", "fail")
     pv = passage_vecs if passage_vecs is not None else encode_passages(passages, "pid", "text", encoder)
-    hits = search(qv, pv, k=k, index=index, nprobe=nprobe)
+    hits = search(qv, pv, k=k, index=index, nprobe=nprobe, dim=getattr(encoder, "dim", None))
     return hits.join(passages.select("pid", "text"), "pid").select("rk", "pid", "score", "text")
 
 

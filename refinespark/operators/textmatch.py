@@ -58,14 +58,14 @@ def _fingerprint_udf(n: int, w: int):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([_fingerprints(t, n, w) for t in texts])
-    return fp
+    return fp.asNondeterministic()  # keeps filters from duplicating the Python stage
 
 
 def _key_udf(n: int, w: int):
     @F.pandas_udf(T.LongType())
     def key(texts: pd.Series) -> pd.Series:
         return pd.Series([_key(t, n, w) for t in texts], dtype="Int64")
-    return key
+    return key.asNondeterministic()  # keeps filters from duplicating the Python stage
 
 
 def contains_join(docs: DataFrame, patterns: DataFrame, doc_text: str = "d_text", pat_text: str = "p_text",

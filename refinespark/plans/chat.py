@@ -30,7 +30,7 @@ def _top1(utts: DataFrame, pairs: DataFrame, encoder, guard: str) -> DataFrame:
     qv = guard_zero_vector(qv, "vec", guard)
     passages = pairs.select(F.col("pair_id").alias("pid"), F.col("a").alias("text"))
     pv = encode_passages(passages, "pid", "text", encoder)
-    hits = topk_exact_bulk(qv, pv, k=1)
+    hits = topk_exact_bulk(qv, pv, k=1, dim=getattr(encoder, "dim", None))
     top = lookup_passage(hits, passages, "reply")
     return u.join(top.withColumnRenamed("qid", "utt_id"), "utt_id", "left")
 

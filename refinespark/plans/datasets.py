@@ -54,7 +54,7 @@ def refine_prompts(pairs: DataFrame, encoder, p: float = 0.3, seed: int = DEFAUL
                                           wrap_markers=True), "vec", "quarantine")
     pv = encode_passages(corpus, "pid", "text", encoder)
     k = 2 if exclude_self else 1
-    hits = topk_exact_bulk(qv, pv, k=k)
+    hits = topk_exact_bulk(qv, pv, k=k, dim=getattr(encoder, "dim", None))
     if exclude_self:
         hits = hits.where(F.col("qid") != F.col("pid"))
         hits = hits.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("rk")))

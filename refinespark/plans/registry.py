@@ -111,7 +111,7 @@ def q_refine_prompt(spark, sf):
     passages = src.passages(pairs)
     qv = encode.guard_zero_vector(encode.encode_queries(pairs.select(F.col("pair_id").alias("qid"), "q"),
                                                         "qid", "q", _enc()), "vec", "quarantine")
-    hits = exact.topk_exact_bulk(qv, encode.encode_passages(passages, "pid", "text", _enc()), k=1)
+    hits = exact.topk_exact_bulk(qv, encode.encode_passages(passages, "pid", "text", _enc()), k=1, dim=DIM)
     top = retrieve.lookup_passage(hits, passages, "retrieved")
     return (pairs.join(top.withColumnRenamed("qid", "pair_id"), "pair_id")
                  .select("pair_id", refine_prompt("q", "retrieved").alias("prompt")))
@@ -122,7 +122,7 @@ def q_join_context(spark, sf):
     passages = src.passages(pairs)
     qv = encode.guard_zero_vector(encode.encode_queries(pairs.select(F.col("pair_id").alias("qid"), "q"),
                                                         "qid", "q", _enc(), wrap_markers=False), "vec", "quarantine")
-    hits = exact.topk_exact_bulk(qv, encode.encode_passages(passages, "pid", "text", _enc()), k=3)
+    hits = exact.topk_exact_bulk(qv, encode.encode_passages(passages, "pid", "text", _enc()), k=3, dim=DIM)
     return retrieve.join_context(hits, passages)
 
 
@@ -298,7 +298,7 @@ def q_lookup_passage(spark, sf):
     passages = src.passages(pairs)
     qv = encode.guard_zero_vector(encode.encode_queries(pairs.select(F.col("pair_id").alias("qid"), "q"),
                                                         "qid", "q", _enc()), "vec", "quarantine")
-    hits = exact.topk_exact_bulk(qv, encode.encode_passages(passages, "pid", "text", _enc()), k=1)
+    hits = exact.topk_exact_bulk(qv, encode.encode_passages(passages, "pid", "text", _enc()), k=1, dim=DIM)
     return retrieve.lookup_passage(hits, passages, "text")
 
 
