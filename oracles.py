@@ -368,5 +368,39 @@ Q["refine_dataset"] = _with(
 from xi_p x join yi_p y using (pair_id)"""
 
 
+# generation with the copy model: candidates = stripped last segment, then its stripped first line
+def py_strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\p{{Z}}\x0B\x1C-\x1F\x85]+|[\s\p{{Z}}\x0B\x1C-\x1F\x85]+$', '', 'g')"
+
+
+CHAT_TOP = [P, U, f"uq as (select utt_id id, {wrap(strip_blank('text'))} t from utt)", hashed_sparse("uq", "q"),
+            *_PP, hashed_scores("q", "p", "(select id from pp)"), f"top as ({topk('scores', 1)})",
+            f"""pr as (select u.utt_id qid, t.pid, {wrap(strip_blank('u.text'))} || {wrap('p.a')} prompt, p.a base_raw
+  from utt u join top t on t.qid = u.utt_id join pairs p on p.pair_id = t.pid)"""]
+
+
+def _copy_cands(src: str, base: str) -> list[str]:
+    return [f"cb as (select qid, {py_strip(base)} b from {src})",
+            f"""cands as (select qid, 0::int cand, b reply, 0.0::double score from cb
+  union all select qid, 1::int, {py_strip("split_part(b, chr(10), 1)")}, -1.0::double from cb
+  where {py_strip("split_part(b, chr(10), 1)")} <> b)"""]
+
+
+def _constrained(min_len: int, max_len: int, n_best: int) -> str:
+    return f"""kept as (select qid, cand, reply, score from (
+  select *, row_number() over (partition by qid order by score desc, cand) r from (
+    select *, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) bg
+    from (select *, {vocab_tokens('reply')} t from cands))
+  where len(t) >= {min_len} and len(t) <= {max_len} and len(list_distinct(bg)) = len(bg)) where r <= {n_best})"""
+
+
+Q["generate_batch"] = _with(*CHAT_TOP, *_copy_cands("pr", "base_raw")) + "select qid, cand, reply, score from cands"
+Q["chat_refine"] = _with(*CHAT_TOP, *_copy_cands("pr", "base_raw"), _constrained(5, 36, 5)) + \
+    "select k.qid utt_id, p.pid, p.prompt, k.cand, k.reply from kept k join pr p using (qid)"
+Q["chat_generator"] = _with(U, f"gp as (select utt_id qid, {strip_blank('text')} base_raw from utt)",
+                            *_copy_cands("gp", "base_raw"), _constrained(0, 128, 1)) + \
+    "select qid utt_id, cand, reply from kept"
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

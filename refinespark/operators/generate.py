@@ -26,11 +26,10 @@ from .vocab import PAD_ID, UNK_ID, encode_tokens
 
 CAND_SCHEMA = "qid long, cand int, reply string, score double"
 _SEGMENT = re.compile(r"<s>(.*?)</s>", re.S)
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 class CopyGenerator:
-    """Candidates = the last marked segment, then its first sentence, then its first line."""
+    """Candidates = the last marked segment (stripped), then its first line (stripped)."""
 
     name = "copy"
 
@@ -41,11 +40,11 @@ class CopyGenerator:
                 segs = _SEGMENT.findall(p or "")
                 base = (segs[-1] if segs else (p or "")).strip()
                 seen, cands = set(), []
-                for c in (base, _SENTENCE.split(base)[0], base.split("\n")[0]):
+                for c in (base, base.split("\n")[0]):
                     c = c.strip()
                     if c not in seen and len(cands) < n:
                         seen.add(c)
-                        cands.append((c, -float(len(cands))))
+                        cands.append((c, float(-len(cands))))
                 out.append(cands)
             return out
         return generate
