@@ -10,7 +10,8 @@ The index is two tables instead of an opaque file:
 Centroids and the quantiser bounds are small and bounded by their
 parameters (``nlist`` x d and 2 x d numbers); they reach every row as
 scalar subqueries, never through a join.  Search = nearest ``nprobe``
-cells per query -> equi-join on ``cell`` -> score decoded codes -> top-k.
+cells per query -> query groups per cell joined to blocks of that cell's
+codes on (cell, sub) -> numpy scoring of decoded codes -> top-k.
 """
 
 from __future__ import annotations
@@ -20,13 +21,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import SCORE_DECIMALS, dot, l2sq
-from ..session import shared_dir
+from typing import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+from ..functions.vectors import SCORE_DECIMALS, l2sq
+from ..session import ensure_arrow_limits, shared_dir
+from .exact import HIT_SCHEMA, _final_rank, _matrix, _TopK
 from .sampling import DEFAULT_SEED, global_rank
 
 # Distances are rounded to this many places before the arg-min, so both
 # engines pick the same cell on near-ties; ties go to the lower cell.
 ASSIGN_DECIMALS = 9
+DEFAULT_LIST_ROWS = 2048
+DEFAULT_QUERY_GROUP_ROWS = 2048
 
 
 @dataclass
@@ -147,21 +156,84 @@ def build_index(vectors: DataFrame, nlist: int = 16, bits: int = 8, iters: int =
     return IvfIndex(cents, codes, lo, hi, bits, nlist)
 
 
+def inverted_lists(codes: DataFrame, block_rows: int = DEFAULT_LIST_ROWS) -> DataFrame:
+    """Codes packed as (cell, sub, lst ARRAY<STRUCT<pid, code>>) blocks of about ``block_rows``.
+
+    A cell holding a large share of all vectors is split into many ``sub``
+    blocks, so no task ever holds a whole hot cell.  Cell sizes are one
+    aggregate with ``nlist`` rows (bounded by the index parameter).
+    """
+    sizes = _cell_splits(codes, "nsub", block_rows)
+    keyed = codes.join(F.broadcast(sizes), "cell").withColumn(
+        "sub", F.pmod(F.xxhash64("pid"), F.col("nsub")).cast("int"))
+    return keyed.groupBy("cell", "sub").agg(F.collect_list(F.struct("pid", "code")).alias("lst"))
+
+
+def _cell_splits(df: DataFrame, name: str, rows: int) -> DataFrame:
+    return df.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).select(
+        "cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows))).cast("int").alias(name))
+
+
+def _ann_score_fn(k: int, bits: int):
+    levels = float((1 << bits) - 1)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, tuple] = {}
+        for b in batches:
+            cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            for i in range(b.num_rows):
+                gk = (cols["cell"][i].as_py(), cols["qg"][i].as_py())
+                if gk not in groups:
+                    qrows = cols["q"][i].values
+                    qids = qrows.field("qid").to_numpy(zero_copy_only=False).astype(np.int64)
+                    qmat, _ = _matrix(qrows.field("qvec"))
+                    lo = np.asarray(cols["lo"][i].values.to_numpy(zero_copy_only=False), np.float64)
+                    hi = np.asarray(cols["hi"][i].values.to_numpy(zero_copy_only=False), np.float64)
+                    groups[gk] = (qids, _TopK(k, "ip"), qmat.astype(np.float64), lo, hi)
+                qids, top, q64, lo, hi = groups[gk]
+                lst = cols["lst"][i].values
+                pids = lst.field("pid").to_numpy(zero_copy_only=False).astype(np.int64)
+                codes, _ = _matrix(lst.field("code"))
+                dec = lo[None, :] + (codes.astype(np.float64) * (hi - lo)[None, :]) / levels
+                top.add(np.round(q64 @ dec.T, SCORE_DECIMALS), pids)
+        for qids, top, *_ in groups.values():
+            if len(top.r):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qids[top.r]), pa.array(top.pid), pa.array(top.score)],
+                    names=["qid", "pid", "score"])
+    return score
+
+
 def ann_search_bulk(query_vecs: DataFrame, index: IvfIndex, k: int = 1, nprobe: int = 1,
-                    qkey: str = "qid", vec: str = "vec") -> DataFrame:
+                    qkey: str = "qid", vec: str = "vec", list_rows: int = DEFAULT_LIST_ROWS,
+                    query_group_rows: int = DEFAULT_QUERY_GROUP_ROWS) -> DataFrame:
     """(qid, rk INT, pid, score) from the ``nprobe`` nearest cells of each query.
 
-    Scores are inner products with the decoded vectors.  With nprobe = nlist
-    and exact codes this equals the exact search.
+    Probes are grouped per cell (a cell probed by very many queries is split
+    into several query groups), each group is replicated over the ``sub``
+    blocks of its cell and joined on (cell, sub); a task scores a query group
+    against a block of codes with one matrix product on the decoded vectors
+    and keeps a running top-k.  ``row_number() <= k`` merges the task results.
+    Scores are inner products with the decoded vectors; with nprobe = nlist
+    every vector is scored.
     """
-    q = query_vecs.select(F.col(qkey).alias("qid"), F.col(vec).alias("qvec"))
+    ensure_arrow_limits(query_vecs.sparkSession)
+    q = query_vecs.select(F.col(qkey).cast("long").alias("qid"), F.col(vec).cast("array<float>").alias("qvec"))
     probes = with_nearest_cells(q, "qvec", index.centroids, nprobe).select(
         "qid", "qvec", F.explode("cells").alias("cell"))
-    cand = sq_decode(probes.join(index.codes, "cell"), "code", index.lo, index.hi, index.bits)
-    scored = cand.select("qid", "pid", F.round(dot("qvec", "dvec"), SCORE_DECIMALS).alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("pid").asc())
-    return (scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-                  .select("qid", F.col("rk").cast("int"), "pid", "score"))
+    qsplit = _cell_splits(probes, "nqg", query_group_rows)
+    qgroups = (probes.join(F.broadcast(qsplit), "cell")
+                     .withColumn("qg", F.pmod(F.xxhash64("qid"), F.col("nqg")).cast("int"))
+                     .groupBy("cell", "qg").agg(F.collect_list(F.struct("qid", "qvec")).alias("q")))
+    lists = inverted_lists(index.codes, list_rows)
+    nsub = lists.groupBy("cell").agg((F.max("sub") + 1).alias("nsub"))
+    qrep = qgroups.join(F.broadcast(nsub), "cell").withColumn(
+        "sub", F.explode(F.sequence(F.lit(0), F.col("nsub") - 1))).drop("nsub")
+    joined = (qrep.join(lists, ["cell", "sub"])
+                  .withColumn("lo", index.lo).withColumn("hi", index.hi)
+                  .select("cell", "qg", "q", "lst", "lo", "hi"))
+    hits = joined.mapInArrow(_ann_score_fn(k, index.bits), HIT_SCHEMA)
+    return _final_rank(hits, k, "ip")
 
 
 def ann_search(query_vec: DataFrame, index: IvfIndex, k: int = 1, nprobe: int = 1, vec: str = "vec") -> DataFrame:
