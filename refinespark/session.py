@@ -50,11 +50,13 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (the ``--py-files`` way).
 
     Pandas/Arrow stages pickle functions of this package by reference, so the
-    workers must import it.  The package is zipped once per application and
-    handed to ``addPyFile``; Spark serves it to every executor.
+    workers must import it.  In local mode the package is zipped once per
+    application and handed to ``addPyFile``; on a cluster it is deployed
+    with the job, so nothing is written on the driver machine.
     """
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED or not sc.master.startswith("local"):
+        # on a cluster the package is deployed with the job (installed or --py-files)
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)

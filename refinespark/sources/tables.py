@@ -25,13 +25,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 def with_position(df: DataFrame, name: str = "pair_id") -> DataFrame:
     """Dense 0..n-1 position in file order (S3 for a file without a key).
 
-    ``zipWithIndex`` counts rows per partition in one job and adds offsets;
-    no single-partition window, and unlike ``monotonically_increasing_id`` the
-    ids are dense.  Used only where file order is the key (CSV input).
+    ``monotonically_increasing_id`` is (partition << 33) + row within the
+    partition: monotone in file order but not dense.  One small table of row
+    counts per partition gives each partition its offset, so the position is
+    dense without a single-partition window and without leaving the JVM.
     """
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(name, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    mid = df.withColumn("_mid", F.monotonically_increasing_id())
+    mid = mid.withColumn("_part", F.shiftright("_mid", 33)).withColumn(
+        "_row", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = mid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    running = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select("_part", (F.sum("_n").over(running) - F.col("_n")).alias("_off"))
+    # one row per input partition: bounded by the partition count
+    out = mid.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_off") + F.col("_row")).cast("long"))
+    return out.drop("_mid", "_part", "_row", "_off")
 
 
 def read_pairs_csv(spark: SparkSession, path: str, drop_duplicate_answers: bool = False) -> DataFrame:
