@@ -6,8 +6,8 @@ Two built-in encoders need no model file:
 * ``TfidfEncoder``  - the same counts times ``ln((n+1)/(df+1))`` fitted on a
   corpus, L2-normalised.
 
-Tokenising and hashing are Column expressions; only the bucket count per row
-(``np.add.at`` over a whole Arrow batch) is a pandas UDF.  A user model plugs
+Tokenising is a Column expression; hashing and the bucket count per row
+(``np.bincount`` over a whole Arrow batch) is an Arrow-native UDF.  A user model plugs
 in through ``BatchEncoder``: a factory called once per task that returns a
 function from a list of texts to an (n, d) array, run with ``mapInPandas``.
 """
@@ -19,6 +19,8 @@ from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,42 +31,42 @@ from ..functions.vectors import vec_sum
 DEFAULT_DIM = 1024
 
 
-def _bucket_of(tokens: np.ndarray, dim: int) -> np.ndarray:
-    """hash32(token) mod dim for an array of tokens; each distinct token is hashed once."""
-    if len(tokens) == 0:
-        return np.zeros(0, np.int64)
-    uniq, inverse = np.unique(tokens, return_inverse=True)
+def _token_buckets(tokens: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of every token, tokens per row) for an Arrow list<string> batch.
+
+    Tokens are dictionary-encoded in Arrow (C++), so md5 runs once per
+    *distinct* token of the batch.
+    """
+    lens = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = tokens.flatten()
+    if len(flat) == 0:
+        return np.zeros(0, np.int64), lens
+    enc = pc.dictionary_encode(flat)
+    uniq = enc.dictionary.to_pylist()
     hashed = np.fromiter((int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim for t in uniq),
                          dtype=np.int64, count=len(uniq))
-    return hashed[inverse]
-
-
-def _flatten(tokens: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    lens = np.fromiter((0 if x is None else len(x) for x in tokens.values), dtype=np.int64, count=len(tokens))
-    parts = [np.asarray(x, dtype=object) for x in tokens.values if x is not None and len(x)]
-    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=object)
-    return flat, lens
+    return hashed[enc.indices.to_numpy(zero_copy_only=False)], lens
 
 
 def _bincount_udf(dim: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def bincount(tokens: pd.Series) -> pd.Series:
-        flat, lens = _flatten(tokens)
-        mat = np.zeros((len(tokens), dim), dtype=np.float64)
-        if len(flat):
-            np.add.at(mat, (np.repeat(np.arange(len(tokens)), lens), _bucket_of(flat, dim)), 1.0)
-        return pd.Series(list(mat))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def bincount(tokens: pa.Array) -> pa.Array:
+        n = len(tokens)
+        buckets, lens = _token_buckets(tokens, dim)
+        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+        mat = np.bincount(rows * dim + buckets, minlength=n * dim).astype(np.float64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(mat))
     # Marked nondeterministic only so Catalyst never copies the call into a
     # pushed-down filter (which would run the Python stage twice per row).
     return bincount.asNondeterministic()
 
 
 def _buckets_udf(dim: int):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def buckets(tokens: pd.Series) -> pd.Series:
-        flat, lens = _flatten(tokens)
-        b = _bucket_of(flat, dim).astype(np.int32)
-        return pd.Series(np.split(b, np.cumsum(lens)[:-1]) if len(lens) else [])
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def buckets(tokens: pa.Array) -> pa.Array:
+        b, lens = _token_buckets(tokens, dim)
+        offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(b.astype(np.int32)))
     return buckets.asNondeterministic()  # see _bincount_udf
 
 
@@ -72,7 +74,7 @@ def term_buckets(text, dim: int) -> Column:
     """Bucket index of every token: md5-based hash32(token) mod dim.
 
     Tokenising is a JVM regex; the hashing runs once per *distinct* token of
-    an Arrow batch (numpy ``unique``), not once per token.
+    an Arrow batch (Arrow dictionary encoding), not once per token.
     """
     return _buckets_udf(dim)(encoder_tokens(text))
 
