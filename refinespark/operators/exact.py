@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import SCORE_DECIMALS, dot, l2sq
-from ..session import ensure_arrow_limits
+from ..session import ensure_arrow_limits, materialise
 
 METRICS = ("ip", "l2")
 DEFAULT_BLOCK_ROWS = 2048
@@ -190,9 +190,9 @@ def topk_exact_bulk(queries: DataFrame, passages: DataFrame, k: int = 1, metric:
     ensure_arrow_limits(spark)
     q = queries.select(F.col(qkey).cast("long").alias("qid"), F.col(vec).cast("array<float>").alias("vec")) \
                .where(F.col("vec").isNotNull())
-    # size check before planning: a row count (the vector column is pruned away,
-    # so an encoder upstream is not run for it) and the width of one vector
-    n_q = queries.select(qkey).count()
+    # the query side is read three times (size check, width, search): write it once
+    q = materialise(q)
+    n_q = q.count()
     if n_q and dim is None:
         first = q.select(F.size("vec")).limit(1).collect()
         n_q = n_q if first else 0

@@ -14,6 +14,7 @@ from ..operators.encode import HashedEncoder, encode_passages, guard_zero_vector
 from ..operators.exact import topk_exact_bulk
 from ..operators.generate import CopyGenerator, constrain_candidates, generate_batch
 from ..operators.retrieve import lookup_passage
+from ..session import materialise
 
 CHAT_PARAMS = dict(max_length=128, min_length=0, num_beams=5, num_return_sequences=1, top_p=0.92)
 REFINE_PARAMS = dict(max_length=36, min_length=5, num_beams=5, num_return_sequences=5)
@@ -61,8 +62,8 @@ def chat_refine(utts: DataFrame, pairs: DataFrame, encoder=None, model=None, gua
     p = {**REFINE_PARAMS, **params}
     encoder = encoder or HashedEncoder()
     top = _top1(utts, pairs, encoder, guard).where(F.col("pid").isNotNull())
-    prompts = top.select(F.col("utt_id").alias("qid"), "pid",
-                         refine_prompt(strip_blank(F.col("text")), F.col("reply")).alias("prompt"))
+    prompts = materialise(top.select(F.col("utt_id").alias("qid"), "pid",
+                                     refine_prompt(strip_blank(F.col("text")), F.col("reply")).alias("prompt")))
     cands = generate_batch(prompts, model or CopyGenerator(), "prompt", p["num_beams"])
     kept = constrain_candidates(cands, vocab, min_length=p["min_length"], max_length=p["max_length"],
                                 n_best=p["num_return_sequences"])

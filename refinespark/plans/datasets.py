@@ -18,6 +18,7 @@ from ..operators.exact import topk_exact_bulk
 from ..operators.retrieve import lookup_passage
 from ..operators.sampling import DEFAULT_SEED, bernoulli_mix, exact_split, shuffled_batches
 from ..operators.vocab import attention_mask, encode_tokens, labels_column, pad_longest
+from ..session import materialise
 
 
 def _padded(df: DataFrame, key: str, text_col: str, vocab: DataFrame, ids: str, mask: str) -> DataFrame:
@@ -69,7 +70,8 @@ def refine_prompts(pairs: DataFrame, encoder, p: float = 0.3, seed: int = DEFAUL
 def refine_dataset(pairs: DataFrame, vocab: DataFrame, encoder, p: float = 0.3, seed: int = DEFAULT_SEED,
                    corpus: DataFrame | None = None) -> DataFrame:
     """L1: (pair_id, input_ids, attention_mask, labels) of the retrieve-and-refine set."""
-    prompts = refine_prompts(pairs, encoder, p, seed, corpus)
+    # read four times below (ids and maxima of prompts and targets): computed once
+    prompts = materialise(refine_prompts(pairs, encoder, p, seed, corpus))
     x = _padded(prompts, "pair_id", "prompt", vocab, "input_ids", "attention_mask")
     y = _padded(prompts, "pair_id", "target", vocab, "labels", "_am")
     return x.join(y.select("pair_id", "labels"), "pair_id")

@@ -98,3 +98,14 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(os.path.join(base, "lineage"))
     return os.path.join(base, *parts) if parts else base
+
+
+def materialise(df):
+    """Write ``df`` once under the shared checkpoint folder and cut its lineage.
+
+    Used for intermediates that are read several times (query vectors,
+    refine prompts): they are computed once, and a lost executor re-reads
+    the written files instead of recomputing the retrieval behind them.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
