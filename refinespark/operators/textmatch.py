@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GRAM = 8
-WINDOW = 32
+WINDOW = 32  # a power of two (window minima by doubling)
 SHORT_PATTERN_LIMIT = 10_000
 _BASE = np.uint64(1_000_003)
 
@@ -29,22 +29,34 @@ def _gram_hashes(text: str, n: int) -> np.ndarray:
     cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     if len(cp) < n:
         return np.zeros(0, np.uint64)
-    win = np.lib.stride_tricks.sliding_window_view(cp, n)
-    powers = _BASE ** np.arange(n - 1, -1, -1, dtype=np.uint64)
+    m = len(cp) - n + 1
     with np.errstate(over="ignore"):
-        h = (win * powers).sum(axis=1, dtype=np.uint64)
+        h = cp[:m].copy()
+        for j in range(1, n):  # Horner over the n shifted code-point arrays
+            h *= _BASE
+            h += cp[j:j + m]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
     return h
 
 
+def _window_min(h: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of every window of w consecutive values (w a power of two): log2(w) passes."""
+    m, span = h, 1
+    while span < w:
+        m = np.minimum(m[:-span], m[span:])
+        span *= 2
+    return m
+
+
 def _fingerprints(text: str, n: int, w: int) -> np.ndarray:
     h = _gram_hashes(text or "", n)
     if len(h) < w:
         return np.zeros(0, np.int64)
-    mins = np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1)
-    return np.unique(mins).view(np.int64)
+    mins = _window_min(h, w)
+    runs = mins[np.r_[True, mins[1:] != mins[:-1]]]  # one value per run of equal window minima
+    return np.unique(runs).view(np.int64)
 
 
 def _key(text: str, n: int, w: int):
@@ -71,6 +83,8 @@ def _key_udf(n: int, w: int):
 def contains_join(docs: DataFrame, patterns: DataFrame, doc_text: str = "d_text", pat_text: str = "p_text",
                   n: int = GRAM, w: int = WINDOW) -> DataFrame:
     """All (doc row, pattern row) pairs with ``contains(doc_text, pat_text)``."""
+    if w & (w - 1):
+        raise ValueError("window must be a power of two")
     keyed = patterns.withColumn("_k", _key_udf(n, w)(F.col(pat_text)))
     long_p = keyed.where(F.col("_k").isNotNull())
     short_p = keyed.where(F.col("_k").isNull()).drop("_k")
