@@ -29,7 +29,8 @@ import pyarrow as pa
 from ..functions.vectors import SCORE_DECIMALS, l2sq
 from ..session import ensure_arrow_limits, shared_dir
 from .exact import HIT_SCHEMA, _final_rank, _matrix, _TopK
-from .sampling import DEFAULT_SEED, global_rank
+from ..functions.text import hash32
+from .sampling import DEFAULT_SEED
 
 # Distances are rounded to this many places before the arg-min, so both
 # engines pick the same cell on near-ties; ties go to the lower cell.
@@ -93,8 +94,12 @@ def ivf_train(vectors: DataFrame, nlist: int = 16, iters: int = 2, seed: int = D
         spark = vectors.sparkSession
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         return spark.createDataFrame(rows, "cell int, vec array<double>")
-    first = global_rank(v, "pid", seed, name="_r").where(F.col("_r") <= nlist)
-    cents = first.select((F.col("_r") - 1).cast("int").alias("cell"),
+    # the nlist vectors first in seeded-hash order: a top-n (per-partition top-n, then a merge of
+    # nlist x partitions rows), never a sort of the whole table
+    h = hash32(F.concat(F.lit(f"{seed}:"), F.col("pid").cast("string")))
+    first = v.select("pid", "vec", h.alias("_h")).orderBy("_h", "pid").limit(nlist)
+    w = Window.orderBy("_h", "pid")  # over nlist rows only
+    cents = first.select((F.row_number().over(w) - 1).cast("int").alias("cell"),
                          F.col("vec").cast("array<double>").alias("vec"))
     for step in range(iters):
         assigned = with_nearest_cells(v, "vec", cents, 1).select(F.col("cells")[0].alias("cell"), "vec")
