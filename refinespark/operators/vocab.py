@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import BOS, EOS, vocab_tokens
+from ..session import materialise
 from .sampling import ranked_by_buckets
 
 # Special tokens and their ids.
@@ -27,11 +28,13 @@ def _c(x) -> Column:
 
 
 def build_vocab(texts: DataFrame, text_col: str = "text", min_count: int = 1,
-                max_size: int | None = None) -> DataFrame:
+                max_size: int | None = None, materialised: bool = True) -> DataFrame:
     """(token, id INT, count LONG); specials first, then count desc, token asc.
 
     Ranking uses buckets (count desc, first two characters): monotone in the
-    wanted order, so no window ever sees the whole vocabulary.
+    wanted order, so no window ever sees the whole vocabulary.  The result is
+    written once to the shared folder (``materialised``): every builder
+    joins it several times and it should not be re-derived from the corpus.
     """
     spark = texts.sparkSession
     toks = (texts.select(F.explode(vocab_tokens(text_col)).alias("token"))
@@ -44,7 +47,8 @@ def build_vocab(texts: DataFrame, text_col: str = "text", min_count: int = 1,
         words = words.where(F.col("id") < N_SPECIAL + max_size)
     specials = spark.createDataFrame(SPECIALS, "token string, id int").withColumn(
         "count", F.lit(None).cast("long"))
-    return specials.unionByName(words)
+    vocab = specials.unionByName(words)
+    return materialise(vocab) if materialised else vocab
 
 
 def encode_tokens(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
