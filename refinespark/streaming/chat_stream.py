@@ -29,8 +29,13 @@ def utterance_stream(spark: SparkSession, source_dir: str, max_files_per_trigger
 
 
 def run_chat_stream(spark: SparkSession, stream: DataFrame, pairs: DataFrame, encoder, name: str,
-                    sink: str | None = None) -> str:
-    """Answer everything available now, then stop; returns the sink path."""
+                    sink: str | None = None, processing_time: str | None = None):
+    """Answer the utterances of a stream.
+
+    Default: everything available now, then stop, and return the sink path.
+    With ``processing_time`` (e.g. ``"10 seconds"``) the query keeps running
+    and the ``StreamingQuery`` is returned instead.
+    """
     sink = sink or shared_dir(spark, "streams", name, "replies")
     checkpoint = shared_dir(spark, "streams", name, "checkpoint")
 
@@ -39,8 +44,10 @@ def run_chat_stream(spark: SparkSession, stream: DataFrame, pairs: DataFrame, en
         (replies.write.mode("overwrite")
                 .parquet(f"{sink}/batch_id={batch_id}"))
 
-    q = (stream.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
-               .trigger(availableNow=True).start())
+    writer = stream.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
+    if processing_time:
+        return writer.trigger(processingTime=processing_time).start()
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
     return sink
 
