@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 
 from ..functions.vectors import SCORE_DECIMALS, l2sq
-from ..session import ensure_arrow_limits, shared_dir
+from ..session import ensure_arrow_limits, materialise, shared_dir
 from .exact import HIT_SCHEMA, _final_rank, _matrix, _TopK
 from ..functions.text import hash32
 from .sampling import DEFAULT_SEED
@@ -157,7 +157,8 @@ def build_index(vectors: DataFrame, nlist: int = 16, bits: int = 8, iters: int =
                 seed: int = DEFAULT_SEED, method: str = "hash_sample") -> IvfIndex:
     cents = ivf_train(vectors, nlist, iters, seed, method)
     lo, hi = sq_train(vectors)
-    codes = ivf_add(vectors, cents, lo, hi, bits)
+    # the codes are the index: computed once and written to the shared folder
+    codes = materialise(ivf_add(vectors, cents, lo, hi, bits))
     return IvfIndex(cents, codes, lo, hi, bits, nlist)
 
 

@@ -120,6 +120,9 @@ def truth_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("item_id").alias("id"), F.col("text").alias("p_text"))
     docs = read_table(spark, sf_dir, "documents", "text").select(F.col("text").alias("d_text"))
     hits = contains_join(docs, bench)
-    return (hits.groupBy("id", "p_text")
-                .agg(F.min("d_text").alias("context"), F.array_sort(F.collect_set("d_text")).alias("answers"))
-                .select("id", F.col("p_text").alias("question"), "context", "answers"))
+    truth = (hits.groupBy("id", "p_text")
+                 .agg(F.min("d_text").alias("context"), F.array_sort(F.collect_set("d_text")).alias("answers"))
+                 .select("id", F.col("p_text").alias("question"), "context", "answers"))
+    # a scan of the whole corpus stands behind it and callers read it twice: write it once
+    from ..session import materialise
+    return materialise(truth)
