@@ -88,7 +88,7 @@ def ivf_train(vectors: DataFrame, nlist: int = 16, iters: int = 2, seed: int = D
     v = vectors.select(F.col(key).alias("pid"), F.col(vec).alias("vec"))
     if method == "kmeans":
         from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.functions import array_to_vector
         feats = v.select(array_to_vector("vec").alias("features"))
         model = KMeans(k=nlist, seed=seed, maxIter=max(iters, 1)).fit(feats)
         spark = vectors.sparkSession

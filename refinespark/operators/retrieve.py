@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import wrap
 from .encode import encode_passages, encode_queries, guard_zero_vector
 from .exact import topk_exact_bulk
 
@@ -89,7 +88,3 @@ def search_passages(spark, text: str, passages: DataFrame, encoder, k: int = 10,
     pv = passage_vecs if passage_vecs is not None else encode_passages(passages, "pid", "text", encoder)
     hits = search(qv, pv, k=k, index=index, nprobe=nprobe, dim=getattr(encoder, "dim", None))
     return hits.join(passages.select("pid", "text"), "pid").select("rk", "pid", "score", "text")
-
-
-def wrapped_query(text_col: str):
-    return wrap(text_col)

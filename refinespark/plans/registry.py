@@ -14,7 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import gold_prompt, refine_prompt, strip_blank, vocab_tokens, wrap
+from ..functions.text import gold_prompt, refine_prompt, strip_blank, wrap
 from ..functions.vectors import SCORE_DECIMALS
 from ..operators import ann, encode, evaluate, exact, generate, retrieve, sampling, vocab as voc
 from ..sources import stores

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from refinespark.operators.encode import guard_zero_vector
 from refinespark.operators.exact import topk_exact_bulk

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from refinespark.operators import ann
 from refinespark.operators.encode import BatchEncoder, TfidfEncoder
-from refinespark.operators.exact import topk_exact_bulk
 from refinespark.operators.generate import BatchGenerator, generate_batch
 from refinespark.operators.retrieve import retrieve_table, search_passages
 from refinespark.plans.datasets import refine_prompts
