@@ -201,7 +201,7 @@ def _ann_score_fn(k: int, bits: int):
                 pids = lst.field("pid").to_numpy(zero_copy_only=False).astype(np.int64)
                 codes, _ = _matrix(lst.field("code"))
                 dec = lo[None, :] + (codes.astype(np.float64) * (hi - lo)[None, :]) / levels
-                top.add(np.round(q64 @ dec.T, SCORE_DECIMALS), pids)
+                top.add(q64 @ dec.T, pids)
         for qids, top, *_ in groups.values():
             if len(top.r):
                 yield pa.RecordBatch.from_arrays(

@@ -98,7 +98,14 @@ def pack_blocks(df: DataFrame, key: str, vec: str, block_rows: int = DEFAULT_BLO
 
 
 class _TopK:
-    """Running top-k per query row of one query group, merged block by block."""
+    """Running top-k per query row of one query group, merged block by block.
+
+    Once a row holds k hits, its k-th best gain is a threshold: a new block
+    only contributes entries at or above it (one vectorised compare), so the
+    costly partial sort runs only while some row has fewer than k hits.
+    Entries equal to a threshold are kept, so ties at the cut are resolved
+    by pid like everywhere else.
+    """
 
     def __init__(self, k: int, metric: str):
         self.k = k
@@ -106,30 +113,45 @@ class _TopK:
         self.r = np.zeros(0, np.int64)
         self.pid = np.zeros(0, np.int64)
         self.score = np.zeros(0, np.float64)
+        self.thr: np.ndarray | None = None
 
     def add(self, scores: np.ndarray, pids: np.ndarray) -> None:
         nq, n_p = scores.shape
         if n_p == 0 or nq == 0:
             return
-        gain = scores * self.sign
-        kk = min(self.k, n_p)
-        if n_p > kk:
-            thr = np.partition(gain, n_p - kk, axis=1)[:, n_p - kk]
-            r, c = np.nonzero(gain >= thr[:, None])
-        else:
-            r, c = np.nonzero(np.ones_like(gain, dtype=bool))
+        if self.thr is None:
+            self.thr = np.full(nq, -np.inf)
+        # ``scores`` are raw; ranking is on values rounded to SCORE_DECIMALS.  Rounding moves a
+        # value by at most half a unit, so every entry that can reach a rounded threshold is
+        # within one unit of it: select on raw values with that slack, round only the selection.
+        slack = 10.0 ** -SCORE_DECIMALS
+        gain = scores * self.sign if self.sign < 0 else scores
+        thr = self.thr
+        open_rows = np.isinf(thr)
+        if open_rows.any():
+            kk = min(self.k, n_p)
+            if n_p > kk:
+                block_thr = np.partition(gain[open_rows], n_p - kk, axis=1)[:, n_p - kk]
+            else:
+                block_thr = np.full(int(open_rows.sum()), -np.inf)
+            thr = thr.copy()
+            thr[open_rows] = block_thr
+        r, c = np.nonzero(gain >= (thr - slack)[:, None])
         self.r = np.concatenate([self.r, r.astype(np.int64)])
         self.pid = np.concatenate([self.pid, pids[c]])
-        self.score = np.concatenate([self.score, scores[r, c]])
-        self._cut()
+        self.score = np.concatenate([self.score, np.round(scores[r, c], SCORE_DECIMALS)])
+        self._cut(nq)
 
-    def _cut(self) -> None:
+    def _cut(self, nq: int) -> None:
         order = np.lexsort((self.pid, -self.score * self.sign, self.r))
         r, pid, score = self.r[order], self.pid[order], self.score[order]
         starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
         rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.r_[starts, len(r)]))
         keep = rank < self.k
         self.r, self.pid, self.score = r[keep], pid[keep], score[keep]
+        full = rank == self.k - 1
+        self.thr = np.full(nq, -np.inf)
+        self.thr[r[full]] = score[full] * self.sign
 
 
 def _score_fn(k: int, metric: str):
@@ -157,7 +179,7 @@ def _score_fn(k: int, metric: str):
                     s = (np.einsum("ij,ij->i", q64, q64)[:, None] + np.einsum("ij,ij->i", p64, p64)[None, :]
                          - 2.0 * (q64 @ p64.T))
                     s = np.maximum(s, 0.0)
-                top.add(np.round(s, SCORE_DECIMALS), pids)
+                top.add(s, pids)
         for qids, top, _ in groups.values():
             if len(top.r):
                 yield pa.RecordBatch.from_arrays(

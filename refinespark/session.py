@@ -35,6 +35,9 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # one BLAS thread per Python worker: Spark already runs one task per core
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
         .config("spark.driver.memory", os.environ.get("REFINESPARK_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
