@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from typing import Iterator
 
@@ -36,6 +37,8 @@ from .sampling import DEFAULT_SEED
 # engines pick the same cell on near-ties; ties go to the lower cell.
 ASSIGN_DECIMALS = 9
 DEFAULT_LIST_ROWS = 2048
+LAMBDA_MAX_CELLS = 256            # up to this many cells: nearest cells with JVM lambdas
+MAX_CENTROID_BYTES = 512 << 20     # broadcast bound of the centroid matrix
 DEFAULT_QUERY_GROUP_ROWS = 2048
 
 
@@ -54,13 +57,23 @@ def _centroid_array(centroids: DataFrame) -> Column:
 
 
 def with_nearest_cells(df: DataFrame, vec: str, centroids: DataFrame, n: int = 1,
-                       out: str = "cells") -> DataFrame:
-    """Add ARRAY<INT> ``out``: the n nearest cells by L2 (distance, then cell).
-
-    The centroid array is a scalar subquery projected as a column first
-    (subqueries may not sit inside a lambda); it is dropped again before
-    any exchange.
+                       out: str = "cells", method: str = "auto", nlist: int | None = None) -> DataFrame:
+    """Add ARRAY<INT> ``out``: the n nearest cells by L2 (distance rounded, then cell).
+
+    ``lambda``: the centroid array (a scalar subquery, projected as a column
+    first because subqueries may not sit inside a lambda) is scanned with
+    JVM lambdas - no Python hop, right for small nlist x d.
+    ``arrow``: the centroid matrix (nlist x d, bounded by the index
+    parameters and checked) is broadcast once and every Arrow batch of
+    vectors is scored with one matrix product - for large nlist.
+    ``auto`` picks ``lambda`` for at most LAMBDA_MAX_CELLS cells (``nlist``
+    as known to the caller; counted when not given).
     """
+    if method == "auto":
+        cells = nlist if nlist is not None else centroids.count()
+        method = "lambda" if cells <= LAMBDA_MAX_CELLS else "arrow"
+    if method == "arrow":
+        return _nearest_arrow(df, vec, centroids, n, out)
     with_c = df.withColumn("_cents", _centroid_array(centroids))
     dists = F.transform("_cents", lambda c: F.struct(F.round(l2sq(F.col(vec), c["vec"]), ASSIGN_DECIMALS)
                                                      .alias("d"), c["cell"].alias("cell")))
@@ -68,6 +81,39 @@ def with_nearest_cells(df: DataFrame, vec: str, centroids: DataFrame, n: int = 1
                                               lambda x: x["cell"])).drop("_cents")
 
 
+def _nearest_arrow(df: DataFrame, vec: str, centroids: DataFrame, n: int, out: str) -> DataFrame:
+    spark = df.sparkSession
+    ensure_arrow_limits(spark)
+    shape = centroids.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    if shape[0] * shape[1] * 8 > MAX_CENTROID_BYTES:
+        raise ValueError(f"{shape[0]} x {shape[1]} centroids exceed the broadcast bound")
+    # bounded model parameters (like MLlib's cluster centres): one copy per executor
+    rows = centroids.select("cell", "vec").collect()
+    cells = np.array([r["cell"] for r in rows], dtype=np.int32)
+    mat = np.array([r["vec"] for r in rows], dtype=np.float64)
+    shared = spark.sparkContext.broadcast((cells, mat))
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    idx = df.columns.index(vec)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell_ids, c = shared.value
+        c2 = np.einsum("ij,ij->i", c, c)
+        take = min(n, len(cell_ids))
+        for b in batches:
+            x, _ = _matrix(b.column(idx))
+            x = x.astype(np.float64)
+            d = np.einsum("ij,ij->i", x, x)[:, None] + c2[None, :] - 2.0 * (x @ c.T)
+            d = np.round(np.maximum(d, 0.0), ASSIGN_DECIMALS)
+            order = np.lexsort((np.broadcast_to(cell_ids, d.shape), d), axis=-1)[:, :take]
+            picked = cell_ids[order]
+            lst = pa.ListArray.from_arrays(pa.array(np.arange(len(picked) + 1, dtype=np.int32) * take),
+                                           pa.array(picked.ravel()))
+            yield pa.RecordBatch.from_arrays(list(b.columns) + [lst], schema=pa.schema(
+                list(b.schema) + [pa.field(out, pa.list_(pa.int32()))]))
+
+    return df.where(F.col(vec).isNotNull()).mapInArrow(assign, schema)
+
+
 def _mean_by_cell(assigned: DataFrame) -> DataFrame:
     per_dim = (assigned.select("cell", F.posexplode("vec").alias("pos", "x"))
                        .groupBy("cell", "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
@@ -102,7 +148,7 @@ def ivf_train(vectors: DataFrame, nlist: int = 16, iters: int = 2, seed: int = D
     cents = first.select((F.row_number().over(w) - 1).cast("int").alias("cell"),
                          F.col("vec").cast("array<double>").alias("vec"))
     for step in range(iters):
-        assigned = with_nearest_cells(v, "vec", cents, 1).select(F.col("cells")[0].alias("cell"), "vec")
+        assigned = with_nearest_cells(v, "vec", cents, 1, nlist=nlist).select(F.col("cells")[0].alias("cell"), "vec")
         means = _mean_by_cell(assigned)
         cents = (cents.alias("o").join(means.alias("m"), "cell", "left")
                       .select("cell", F.coalesce(F.col("m.vec"), F.col("o.vec")).alias("vec")))
@@ -146,10 +192,10 @@ def sq_decode(df: DataFrame, code: str, lo: Column, hi: Column, bits: int = 8, o
 
 
 def ivf_add(vectors: DataFrame, centroids: DataFrame, lo: Column, hi: Column, bits: int = 8,
-            key: str = "pid", vec: str = "vec") -> DataFrame:
+            key: str = "pid", vec: str = "vec", nlist: int | None = None) -> DataFrame:
     """(pid, cell, code) - nearest cell by L2 and the scalar code of every vector."""
     v = vectors.select(F.col(key).alias("pid"), F.col(vec).alias("vec"))
-    v = with_nearest_cells(v, "vec", centroids, 1).withColumn("cell", F.col("cells")[0])
+    v = with_nearest_cells(v, "vec", centroids, 1, nlist=nlist).withColumn("cell", F.col("cells")[0])
     return sq_encode(v, "vec", lo, hi, bits).select("pid", "cell", "code")
 
 
@@ -158,7 +204,7 @@ def build_index(vectors: DataFrame, nlist: int = 16, bits: int = 8, iters: int =
     cents = ivf_train(vectors, nlist, iters, seed, method)
     lo, hi = sq_train(vectors)
     # the codes are the index: computed once and written to the shared folder
-    codes = materialise(ivf_add(vectors, cents, lo, hi, bits))
+    codes = materialise(ivf_add(vectors, cents, lo, hi, bits, nlist=nlist))
     return IvfIndex(cents, codes, lo, hi, bits, nlist)
 
 
@@ -225,7 +271,7 @@ def ann_search_bulk(query_vecs: DataFrame, index: IvfIndex, k: int = 1, nprobe:
     """
     ensure_arrow_limits(query_vecs.sparkSession)
     q = query_vecs.select(F.col(qkey).cast("long").alias("qid"), F.col(vec).cast("array<float>").alias("qvec"))
-    probes = with_nearest_cells(q, "qvec", index.centroids, nprobe).select(
+    probes = with_nearest_cells(q, "qvec", index.centroids, nprobe, nlist=index.nlist).select(
         "qid", "qvec", F.explode("cells").alias("cell"))
     qsplit = _cell_splits(probes, "nqg", query_group_rows)
     qgroups = (probes.join(F.broadcast(qsplit), "cell")

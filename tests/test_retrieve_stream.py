@@ -86,3 +86,11 @@ def test_contains_join_equals_brute_force(spark):
     got = {(r.did, r.pid) for r in contains_join(ddf, pdf).collect()}
     want = {(i, j) for i, d in enumerate(docs) for j, p in enumerate(pats) if p in d}
     assert got == want
+
+
+def test_nearest_cells_arrow_equals_lambda(spark):
+    v = src.vectors(spark, SF_SMALL)
+    cents = ann.ivf_train(v, nlist=8, iters=1)
+    a = {r.pid: r.cells for r in ann.with_nearest_cells(v, "vec", cents, 3, method="lambda").collect()}
+    b = {r.pid: r.cells for r in ann.with_nearest_cells(v, "vec", cents, 3, method="arrow").collect()}
+    assert a == b
