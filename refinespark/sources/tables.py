@@ -56,19 +56,34 @@ def read_pairs_csv(spark: SparkSession, path: str, drop_duplicate_answers: bool
     return df
 
 
-def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pair fixture: a user turn followed at once by an assistant turn.
-
-    ``lead`` over (conv_id order by turn): the window is partitioned by
-    conversation, so it spills per conversation and never gathers the table.
+def conversation_pairs(spark: SparkSession, sf_dir: str, dense_turns: bool | None = None) -> DataFrame:
+    """Pair fixture: a user turn followed at once by an assistant turn -> (pair_id, q, a).
+
+    "Followed at once" is ``lead`` over (conv_id order by turn).  When every
+    conversation numbers its turns densely and without repeats (checked by
+    one aggregate unless ``dense_turns`` is given), the next turn is turn + 1
+    and the pairs come from an equi-join on (conv_id, turn): unique keys, so a
+    conversation holding a large share of all turns is spread over many
+    tasks.  Otherwise the window runs per conversation (sort-based, spills).
     """
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = conv.select("conv_id", "turn", "role", "text",
-                    F.lead("text").over(w).alias("a"), F.lead("role").over(w).alias("nr"))
-    return (t.where((F.col("role") == "user") & (F.col("nr") == "assistant"))
-             .select((F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"),
-                     F.col("text").alias("q"), "a"))
+    if dense_turns is None:
+        per_conv = conv.groupBy("conv_id").agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("turn").alias("nd"),
+            (F.max("turn") - F.min("turn") + 1).alias("span"))
+        dense_turns = per_conv.where((F.col("n") != F.col("nd")) | (F.col("n") != F.col("span"))) \
+                              .limit(1).count() == 0
+    if dense_turns:
+        users = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("q"))
+        nxt = conv.where(F.col("role") == "assistant").select(
+            "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+        t = users.join(nxt, ["conv_id", "turn"])
+    else:
+        w = Window.partitionBy("conv_id").orderBy("turn")
+        t = conv.select("conv_id", "turn", "role", F.col("text").alias("q"),
+                        F.lead("text").over(w).alias("a"), F.lead("role").over(w).alias("nr")) \
+                .where((F.col("role") == "user") & (F.col("nr") == "assistant"))
+    return t.select((F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"), "q", "a")
 
 
 def passages(pairs: DataFrame) -> DataFrame:

@@ -58,3 +58,11 @@ def test_batches_exact_size_last_short(spark):
     e0 = sampling.shuffled_batches(df, "k", 20, epoch=0)
     e1 = sampling.shuffled_batches(df, "k", 20, epoch=1)
     assert {r.k: r.batch_id for r in e0.collect()} != {r.k: r.batch_id for r in e1.collect()}
+
+
+def test_pairs_join_form_equals_window_form(spark):
+    from conftest import SF_CHECK
+    from refinespark.sources.tables import conversation_pairs
+    a = sorted(conversation_pairs(spark, SF_CHECK, dense_turns=True).collect())
+    b = sorted(conversation_pairs(spark, SF_CHECK, dense_turns=False).collect())
+    assert a == b and len(a) > 0
