@@ -208,6 +208,8 @@ def topk_exact_bulk(queries: DataFrame, passages: DataFrame, k: int = 1, metric:
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    if k < 1:
+        raise ValueError("k must be at least 1")
     spark = queries.sparkSession
     ensure_arrow_limits(spark)
     q = queries.select(F.col(qkey).cast("long").alias("qid"), F.col(vec).cast("array<float>").alias("vec")) \
