@@ -15,11 +15,22 @@ from pyspark.sql import functions as F
 from ..functions.vectors import SCORE_DECIMALS, dot
 
 
-def inbatch_logits(batched: DataFrame, q_vec: str = "q_vec", a_vec: str = "a_vec") -> DataFrame:
-    """V1: (batch_id, i, j, logit) with logit = a_i . q_j (unrounded; round only to publish)."""
-    a = batched.select("batch_id", F.col("pos_in_batch").alias("i"), F.col(a_vec).alias("_a"))
-    q = batched.select("batch_id", F.col("pos_in_batch").alias("j"), F.col(q_vec).alias("_q"))
-    return a.join(q, "batch_id").select("batch_id", "i", "j", dot("_a", "_q").alias("logit"))
+def inbatch_logits(batched: DataFrame, q_vec: str = "q_vec", a_vec: str = "a_vec",
+                   dedup_key: str | None = None) -> DataFrame:
+    """V1: (batch_id, i, j, logit) with logit = a_i . q_j (unrounded; round only to publish).
+
+    ``dedup_key`` (e.g. a hash of the answer text): columns j != i whose key
+    equals row i's are dropped, so a duplicate answer in the same batch is
+    not counted as a wrong answer (off by default, like the original).
+    """
+    extra = [F.col(dedup_key).alias("_ka")] if dedup_key else []
+    a = batched.select("batch_id", F.col("pos_in_batch").alias("i"), F.col(a_vec).alias("_a"), *extra)
+    q = batched.select("batch_id", F.col("pos_in_batch").alias("j"), F.col(q_vec).alias("_q"),
+                       *([F.col(dedup_key).alias("_kq")] if dedup_key else []))
+    pairs = a.join(q, "batch_id")
+    if dedup_key:
+        pairs = pairs.where((F.col("i") == F.col("j")) | ~F.col("_ka").eqNullSafe(F.col("_kq")))
+    return pairs.select("batch_id", "i", "j", dot("_a", "_q").alias("logit"))
 
 
 def inbatch_log_softmax(logits: DataFrame) -> DataFrame:
@@ -55,9 +66,10 @@ def epoch_accuracy(preds: DataFrame) -> DataFrame:
                       / F.count(F.lit(1))).alias("acc"))
 
 
-def evaluate_batches(batched: DataFrame, q_vec: str = "q_vec", a_vec: str = "a_vec") -> DataFrame:
+def evaluate_batches(batched: DataFrame, q_vec: str = "q_vec", a_vec: str = "a_vec",
+                     dedup_key: str | None = None) -> DataFrame:
     """V1-V6 together -> one row (loss, acc, batches), values rounded to publish."""
-    logits = inbatch_logits(batched, q_vec, a_vec)
+    logits = inbatch_logits(batched, q_vec, a_vec, dedup_key)
     logp = inbatch_log_softmax(logits)
     losses = epoch_loss(inbatch_loss(logp))
     acc = epoch_accuracy(inbatch_predict(logits)).select("acc").scalar()

@@ -78,14 +78,20 @@ def refine_dataset(pairs: DataFrame, vocab: DataFrame, encoder, p: float = 0.3,
 
 
 def evaluate_retriever(pairs: DataFrame, encoder, train_fraction: float = 0.8, batch_size: int = 20,
-                       seed: int = DEFAULT_SEED, epoch: int = 0) -> DataFrame:
-    """Held-out in-batch loss and accuracy -> one row (loss, acc, batches)."""
+                       seed: int = DEFAULT_SEED, epoch: int = 0, dedup_in_batch: bool = False) -> DataFrame:
+    """Held-out in-batch loss and accuracy -> one row (loss, acc, batches).
+
+    ``dedup_in_batch``: a duplicate answer in the same batch is not scored as
+    a wrong answer (off by default, as in the original).
+    """
     split = exact_split(pairs.select("pair_id", "q", "a"), "pair_id", train_fraction, seed)
     valid = split.where(F.col("split") == "valid")
     qv = encode_passages(valid, "pair_id", "q", encoder, out="q_vec")
     av = encode_passages(valid, "pair_id", "a", encoder, out="a_vec")
-    batched = shuffled_batches(valid.select("pair_id"), "pair_id", batch_size, epoch, seed)
-    return evaluate_batches(batched.join(qv, "pair_id").join(av, "pair_id"))
+    batched = shuffled_batches(valid.select("pair_id", F.xxhash64("a").alias("a_key")), "pair_id", batch_size,
+                               epoch, seed)
+    return evaluate_batches(batched.join(qv, "pair_id").join(av, "pair_id"),
+                            dedup_key="a_key" if dedup_in_batch else None)
 
 
 __all__ = ["generator_dataset", "dpr_dataset", "refine_prompts", "refine_dataset", "evaluate_retriever",

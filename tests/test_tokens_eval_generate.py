@@ -68,3 +68,11 @@ def test_copy_generator(spark):
     prompts = spark.createDataFrame([(7, "<s>q</s><s>First. Second\nthird</s>")], "qid long, prompt string")
     out = generate.generate_batch(prompts, generate.CopyGenerator(), "prompt", 5).orderBy("cand").collect()
     assert [r.reply for r in out] == ["First. Second\nthird", "First. Second"]
+
+
+def test_dedup_in_batch(spark):
+    rows = [(0, 0, [1.0, 0.0], [1.0, 0.0], 7), (0, 1, [1.0, 0.0], [1.0, 0.0], 7)]
+    df = spark.createDataFrame(rows, "batch_id long, pos_in_batch long, q_vec array<float>, a_vec array<float>, k long")
+    plain = evaluate.evaluate_batches(df).first()
+    dedup = evaluate.evaluate_batches(df, dedup_key="k").first()
+    assert plain.loss > 0.69 and dedup.loss == 0.0 and dedup.acc == 1.0
