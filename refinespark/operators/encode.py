@@ -176,6 +176,17 @@ def encode_passages(df: DataFrame, key: str, text_col: str, encoder, out: str =
     return encoder.encode(df.select(key, text_col), key, text_col, out)
 
 
+def encode_incremental(passages: DataFrame, existing: DataFrame, encoder, key: str = "pid",
+                       text_col: str = "text", out: str = "vec") -> DataFrame:
+    """Vectors of a grown corpus: keep the existing rows, encode only new keys, union by name.
+
+    The anti-join on the key leaves unchanged passages untouched; a changed
+    text under an old key is the caller's to drop from ``existing`` first.
+    """
+    new = passages.select(key, text_col).join(existing.select(key), key, "left_anti")
+    return existing.select(key, out).unionByName(encoder.encode(new, key, text_col, out))
+
+
 def encode_queries(df: DataFrame, key: str, text_col: str, encoder, wrap_markers: bool = True,
                    out: str = "vec") -> DataFrame:
     """Query text -> vector; served and refine queries are wrapped in markers."""

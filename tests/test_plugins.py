@@ -61,3 +61,14 @@ def test_exclude_self(spark):
     got = {r.pair_id: r.retrieved_pid for r in refine_prompts(pairs, HashedEncoder(64), p=1.0,
                                                                  exclude_self=True).collect()}
     assert got == {1: 2, 2: 1}
+
+
+def test_incremental_encoding(spark):
+    from refinespark.operators.encode import encode_incremental
+    enc = HashedEncoder(16)
+    old = spark.createDataFrame([(1, "red apple")], "pid long, text string")
+    grown = spark.createDataFrame([(1, "red apple"), (2, "blue sky")], "pid long, text string")
+    have = enc.encode(old, "pid", "text")
+    both = encode_incremental(grown, have, enc)
+    assert sorted(r.pid for r in both.collect()) == [1, 2]
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, enc.encode(grown, "pid", "text").collect()))
