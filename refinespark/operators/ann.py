@@ -196,11 +196,14 @@ def ivf_add(vectors: DataFrame, centroids: DataFrame, lo: Column, hi: Column, bi
     """(pid, cell, code) - nearest cell by L2 and the scalar code of every vector."""
     v = vectors.select(F.col(key).alias("pid"), F.col(vec).alias("vec"))
     v = with_nearest_cells(v, "vec", centroids, 1, nlist=nlist).withColumn("cell", F.col("cells")[0])
+    if bits == 0:  # flat lists: the vectors themselves, no quantiser
+        return v.select("pid", "cell", F.col("vec").cast("array<float>").alias("code"))
     return sq_encode(v, "vec", lo, hi, bits).select("pid", "cell", "code")
 
 
 def build_index(vectors: DataFrame, nlist: int = 16, bits: int = 8, iters: int = 2,
                 seed: int = DEFAULT_SEED, method: str = "hash_sample") -> IvfIndex:
+    """Train cells, fit the quantiser, add every vector; ``bits=0`` keeps flat (unquantised) lists."""
     cents = ivf_train(vectors, nlist, iters, seed, method)
     lo, hi = sq_train(vectors)
     # the codes are the index: computed once and written to the shared folder
@@ -227,7 +230,7 @@ def _cell_splits(df: DataFrame, name: str, rows: int) -> DataFrame:
 
 
 def _ann_score_fn(k: int, bits: int):
-    levels = float((1 << bits) - 1)
+    levels = float((1 << bits) - 1) if bits else 0.0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple, tuple] = {}
@@ -246,7 +249,10 @@ def _ann_score_fn(k: int, bits: int):
                 lst = cols["lst"][i].values
                 pids = lst.field("pid").to_numpy(zero_copy_only=False).astype(np.int64)
                 codes, _ = _matrix(lst.field("code"))
-                dec = lo[None, :] + (codes.astype(np.float64) * (hi - lo)[None, :]) / levels
+                if bits:
+                    dec = lo[None, :] + (codes.astype(np.float64) * (hi - lo)[None, :]) / levels
+                else:
+                    dec = codes.astype(np.float64)
                 top.add(q64 @ dec.T, pids)
         for qids, top, *_ in groups.values():
             if len(top.r):

@@ -110,3 +110,11 @@ def test_hot_cell_split_changes_nothing(spark):
     a = sorted(ann.ann_search_bulk(q, idx, k=5, nprobe=2, list_rows=16, query_group_rows=8).collect())
     b = sorted(ann.ann_search_bulk(q, idx, k=5, nprobe=2, list_rows=100000, query_group_rows=100000).collect())
     assert a == b
+
+
+def test_all_cells_flat_lists_equal_exact(spark):
+    v = src.vectors(spark, SF_SMALL)
+    q = v.select(F.col("pid").alias("qid"), "vec")
+    idx = ann.build_index(v, nlist=8, bits=0, iters=1)
+    got = sorted(ann.ann_search_bulk(q, idx, k=10, nprobe=8).collect())
+    assert got == sorted(topk_exact_bulk(q, v, k=10).collect())
