@@ -44,13 +44,20 @@ DEFAULT_QUERY_GROUP_ROWS = 2048
 
 @dataclass
 class IvfIndex:
+    """centroids(cell, vec); lists(cell, sub, lst ARRAY<STRUCT<pid, code>>) = the stored layout."""
     centroids: DataFrame
-    codes: DataFrame
+    lists: DataFrame
     lo: Column
     hi: Column
     bits: int
     nlist: int
 
+    @property
+    def codes(self) -> DataFrame:
+        """(pid, cell, code) view of the inverted lists."""
+        return (self.lists.select("cell", F.explode("lst").alias("e"))
+                    .select(F.col("e.pid").alias("pid"), "cell", F.col("e.code").alias("code")))
+
 
 def _centroid_array(centroids: DataFrame) -> Column:
     return centroids.agg(F.array_sort(F.collect_list(F.struct("cell", "vec")))).scalar()
@@ -202,13 +209,18 @@ def ivf_add(vectors: DataFrame, centroids: DataFrame, lo: Column, hi: Column, bi
 
 
 def build_index(vectors: DataFrame, nlist: int = 16, bits: int = 8, iters: int = 2,
-                seed: int = DEFAULT_SEED, method: str = "hash_sample") -> IvfIndex:
-    """Train cells, fit the quantiser, add every vector; ``bits=0`` keeps flat (unquantised) lists."""
+                seed: int = DEFAULT_SEED, method: str = "hash_sample",
+                list_rows: int = DEFAULT_LIST_ROWS) -> IvfIndex:
+    """Train cells, fit the quantiser, add every vector; ``bits=0`` keeps flat (unquantised) lists.
+
+    The inverted lists (codes packed per (cell, sub) block) are the index:
+    shuffled into place once and written to the shared folder, so a search
+    never reshuffles the corpus.
+    """
     cents = ivf_train(vectors, nlist, iters, seed, method)
     lo, hi = sq_train(vectors)
-    # the codes are the index: computed once and written to the shared folder
-    codes = materialise(ivf_add(vectors, cents, lo, hi, bits, nlist=nlist))
-    return IvfIndex(cents, codes, lo, hi, bits, nlist)
+    lists = materialise(inverted_lists(ivf_add(vectors, cents, lo, hi, bits, nlist=nlist), list_rows))
+    return IvfIndex(cents, lists, lo, hi, bits, nlist)
 
 
 def inverted_lists(codes: DataFrame, block_rows: int = DEFAULT_LIST_ROWS) -> DataFrame:
@@ -263,7 +275,7 @@ def _ann_score_fn(k: int, bits: int):
 
 
 def ann_search_bulk(query_vecs: DataFrame, index: IvfIndex, k: int = 1, nprobe: int = 1,
-                    qkey: str = "qid", vec: str = "vec", list_rows: int = DEFAULT_LIST_ROWS,
+                    qkey: str = "qid", vec: str = "vec",
                     query_group_rows: int = DEFAULT_QUERY_GROUP_ROWS) -> DataFrame:
     """(qid, rk INT, pid, score) from the ``nprobe`` nearest cells of each query.
 
@@ -283,8 +295,8 @@ def ann_search_bulk(query_vecs: DataFrame, index: IvfIndex, k: int = 1, nprobe:
     qgroups = (probes.join(F.broadcast(qsplit), "cell")
                      .withColumn("qg", F.pmod(F.xxhash64("qid"), F.col("nqg")).cast("int"))
                      .groupBy("cell", "qg").agg(F.collect_list(F.struct("qid", "qvec")).alias("q")))
-    lists = inverted_lists(index.codes, list_rows)
-    nsub = lists.groupBy("cell").agg((F.max("sub") + 1).alias("nsub"))
+    lists = index.lists
+    nsub = lists.groupBy("cell").agg((F.max("sub") + 1).alias("nsub"))  # one row per block in, nlist out
     qrep = qgroups.join(F.broadcast(nsub), "cell").withColumn(
         "sub", F.explode(F.sequence(F.lit(0), F.col("nsub") - 1))).drop("nsub")
     joined = (qrep.join(lists, ["cell", "sub"])

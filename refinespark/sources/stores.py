@@ -61,17 +61,17 @@ def index_store(vectors: DataFrame, nlist: int = 16, bits: int = 8, iters: int =
                 method: str = "hash_sample") -> IvfIndex:
     """IVF index tables, read if stored under the same fingerprint, else built and written.
 
-    ``codes`` is partitioned by ``cell`` on disk, so a probe prunes files.
+    The inverted lists are partitioned by ``cell`` on disk, so a probe prunes files.
     """
     spark = vectors.sparkSession
     fp = fingerprint(vectors, "pid", "vec", params=f"ivf:{nlist}:{bits}:{iters}:{seed}:{method}")
     root = shared_dir(spark, "stores", f"ivf-{fp}")
-    cpath, bpath, kpath = f"{root}/centroids", f"{root}/bounds", f"{root}/codes"
+    cpath, bpath, kpath = f"{root}/centroids", f"{root}/bounds", f"{root}/lists"
     if not (_exists(spark, cpath) and _exists(spark, bpath) and _exists(spark, kpath)):
         idx = build_index(vectors, nlist, bits, iters, seed, method)
         idx.centroids.write.mode("overwrite").parquet(cpath)
         spark.range(1).select(idx.lo.alias("lo"), idx.hi.alias("hi")).write.mode("overwrite").parquet(bpath)
-        idx.codes.write.mode("overwrite").partitionBy("cell").parquet(kpath)
+        idx.lists.write.mode("overwrite").partitionBy("cell").parquet(kpath)
     bounds = spark.read.parquet(bpath)
-    return IvfIndex(spark.read.parquet(cpath), spark.read.parquet(kpath).select("pid", "cell", "code"),
+    return IvfIndex(spark.read.parquet(cpath), spark.read.parquet(kpath).select("cell", "sub", "lst"),
                     bounds.select("lo").scalar(), bounds.select("hi").scalar(), bits, nlist)

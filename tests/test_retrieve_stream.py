@@ -103,12 +103,12 @@ def test_hot_cell_split_changes_nothing(spark):
     hot = [(i, (np.ones(8) + rng.normal(scale=0.01, size=8)).astype(float).tolist()) for i in range(300)]
     rest = [(1000 + i, rng.normal(size=8).astype(float).tolist()) for i in range(60)]
     v = spark.createDataFrame(hot + rest, "pid long, vec array<float>")
-    idx = ann.build_index(v, nlist=4, bits=8, iters=1)
+    small = ann.build_index(v, nlist=4, bits=8, iters=1, list_rows=16)
+    big = ann.build_index(v, nlist=4, bits=8, iters=1, list_rows=100000)
     q = v.select(F.col("pid").alias("qid"), "vec")
-    lists = ann.inverted_lists(idx.codes, 16)
-    assert lists.groupBy("cell").count().agg(F.max("count")).first()[0] > 5  # the hot cell is split
-    a = sorted(ann.ann_search_bulk(q, idx, k=5, nprobe=2, list_rows=16, query_group_rows=8).collect())
-    b = sorted(ann.ann_search_bulk(q, idx, k=5, nprobe=2, list_rows=100000, query_group_rows=100000).collect())
+    assert small.lists.groupBy("cell").count().agg(F.max("count")).first()[0] > 5  # the hot cell is split
+    a = sorted(ann.ann_search_bulk(q, small, k=5, nprobe=2, query_group_rows=8).collect())
+    b = sorted(ann.ann_search_bulk(q, big, k=5, nprobe=2, query_group_rows=100000).collect())
     assert a == b
 
 
