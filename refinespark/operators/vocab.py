@@ -21,6 +21,7 @@ PAD, UNK = "<pad>", "<unk>"
 PAD_ID, UNK_ID, BOS_ID, EOS_ID = 0, 1, 2, 3
 SPECIALS = [(PAD, PAD_ID), (UNK, UNK_ID), (BOS, BOS_ID), (EOS, EOS_ID)]
 N_SPECIAL = len(SPECIALS)
+VOCAB_BROADCAST_ROWS = 2_000_000
 
 
 def _c(x) -> Column:
@@ -51,16 +52,23 @@ def build_vocab(texts: DataFrame, text_col: str = "text", min_count: int = 1,
     return materialise(vocab) if materialised else vocab
 
 
+def _vocab_side(vocab: DataFrame, *cols) -> DataFrame:
+    """The vocabulary as a join side: broadcast when its row count is under the bound, so the
+    exploded tokens of the corpus stay where they are; above it, a shuffle join."""
+    v = vocab.select(*cols)
+    return F.broadcast(v) if vocab.count() <= VOCAB_BROADCAST_ROWS else v
+
+
 def encode_tokens(df: DataFrame, key: str, text_col: str, vocab: DataFrame,
                   out: str = "input_ids") -> DataFrame:
     """Text -> ARRAY<INT> of vocabulary ids; unknown tokens -> <unk>.
 
-    The vocabulary join is left to the planner: AQE broadcasts it when its
-    runtime size is under the threshold and falls back to a shuffle join
-    otherwise.  Rows whose text has no token get an empty array.
+    The vocabulary is broadcast when it has at most VOCAB_BROADCAST_ROWS
+    rows (counted on the written vocabulary), else joined by shuffle.  Rows
+    whose text has no token get an empty array.
     """
     exploded = df.select(key, F.posexplode_outer(vocab_tokens(text_col)).alias("pos", "token"))
-    v = vocab.select("token", F.col("id").alias("_id"))
+    v = _vocab_side(vocab, "token", F.col("id").alias("_id"))
     joined = exploded.join(v, "token", "left").select(
         key, "pos", F.when(F.col("pos").isNull(), None)
                      .otherwise(F.coalesce(F.col("_id"), F.lit(UNK_ID))).alias("tid"))
@@ -119,7 +127,7 @@ def labels_column(ids, mask=None, mask_pad: int | None = None) -> Column:
 def decode_tokens(df: DataFrame, key: str, ids_col: str, vocab: DataFrame, out: str = "text") -> DataFrame:
     """Ids -> text, specials dropped, tokens joined by one blank."""
     exploded = df.select(key, F.posexplode(ids_col).alias("pos", "tid"))
-    v = vocab.select(F.col("id").alias("tid"), "token")
+    v = _vocab_side(vocab, F.col("id").alias("tid"), "token")
     words = exploded.where(F.col("tid") >= N_SPECIAL).join(v, "tid", "left").select(
         key, "pos", F.coalesce("token", F.lit(UNK)).alias("token"))
     agg = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_w"))
