@@ -159,9 +159,8 @@ def ivf_train(vectors: DataFrame, nlist: int = 16, iters: int = 2, seed: int = D
         means = _mean_by_cell(assigned)
         cents = (cents.alias("o").join(means.alias("m"), "cell", "left")
                       .select("cell", F.coalesce(F.col("m.vec"), F.col("o.vec")).alias("vec")))
-        # cut lineage in the cluster's checkpoint folder (a local one only in tests)
-        shared_dir(vectors.sparkSession)
-        cents = cents.checkpoint(eager=True)
+        # cut lineage: the small centroid table is written to the shared folder each step
+        cents = materialise(cents, "centroids")
     return cents
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -103,12 +104,16 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, *parts) if parts else base
 
 
-def materialise(df):
-    """Write ``df`` once under the shared checkpoint folder and cut its lineage.
+def materialise(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the shared folder and read it back.
 
     Used for intermediates that are read several times (query vectors,
-    refine prompts): they are computed once, and a lost executor re-reads
-    the written files instead of recomputing the retrieval behind them.
+    refine prompts, the vocabulary, the index lists): they are computed once
+    - one job, unlike ``checkpoint()``, which recomputes an uncached plan to
+    write it - and a lost executor re-reads the written files instead of
+    recomputing the work behind them.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = shared_dir(spark, "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
