@@ -85,7 +85,8 @@ def evaluate_retriever(pairs: DataFrame, encoder, train_fraction: float = 0.8, b
     a wrong answer (off by default, as in the original).
     """
     split = exact_split(pairs.select("pair_id", "q", "a"), "pair_id", train_fraction, seed)
-    valid = split.where(F.col("split") == "valid")
+    # read three times below (two encoders, the batches): written once
+    valid = materialise(split.where(F.col("split") == "valid").drop("split"), "valid")
     qv = encode_passages(valid, "pair_id", "q", encoder, out="q_vec")
     av = encode_passages(valid, "pair_id", "a", encoder, out="a_vec")
     batched = shuffled_batches(valid.select("pair_id", F.xxhash64("a").alias("a_key")), "pair_id", batch_size,
