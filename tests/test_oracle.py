@@ -39,3 +39,11 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["utt_id", "pid", "score", "reply"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_cartesian_plan(spark, name):
+    """No registered query plans a cartesian product or a nested-loop join."""
+    df = QUERIES[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan

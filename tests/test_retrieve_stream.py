@@ -118,3 +118,16 @@ def test_all_cells_flat_lists_equal_exact(spark):
     idx = ann.build_index(v, nlist=8, bits=0, iters=1)
     got = sorted(ann.ann_search_bulk(q, idx, k=10, nprobe=8).collect())
     assert got == sorted(topk_exact_bulk(q, v, k=10).collect())
+
+
+def test_stream_with_processing_time_trigger(spark, tmp_path):
+    enc = HashedEncoder(64)
+    pairs = src.conversation_pairs(spark, SF_SMALL)
+    stream = chat_stream.utterance_stream(spark, f"{SF_SMALL}/conversations*.parquet")
+    q = chat_stream.run_chat_stream(spark, stream, pairs, enc, "pt", sink=str(tmp_path / "pt"),
+                                    processing_time="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert chat_stream.read_replies(spark, str(tmp_path / "pt")).count() == src.utterances(spark, SF_SMALL).count()
