@@ -121,11 +121,39 @@ def _nearest_arrow(df: DataFrame, vec: str, centroids: DataFrame, n: int, out: s
     return df.where(F.col(vec).isNotNull()).mapInArrow(assign, schema)
 
 
+def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: vector sum and count of every cell seen (at most nlist rows out)."""
+    sums: dict[int, np.ndarray] = {}
+    counts: dict[int, int] = {}
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        cells = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        x, _ = _matrix(b.column(1))
+        x = x.astype(np.float64)
+        for c in np.unique(cells):
+            rows = x[cells == c]
+            if c in sums:
+                sums[c] = sums[c] + rows.sum(axis=0)
+                counts[c] += len(rows)
+            else:
+                sums[c] = rows.sum(axis=0)
+                counts[c] = len(rows)
+    if sums:
+        keys = sorted(sums)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int32()), pa.array([counts[k] for k in keys], pa.int64()),
+             pa.array([sums[k] for k in keys], pa.list_(pa.float64()))], names=["cell", "n", "s"])
+
+
 def _mean_by_cell(assigned: DataFrame) -> DataFrame:
-    per_dim = (assigned.select("cell", F.posexplode("vec").alias("pos", "x"))
-                       .groupBy("cell", "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    return per_dim.groupBy("cell").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vec"))
+    """Mean vector per cell: numpy sums per task (nlist rows each), then one small merge per cell."""
+    partial = assigned.select(F.col("cell").cast("int"), F.col("vec").cast("array<float>")) \
+                      .mapInArrow(_partial_sums, "cell int, n long, s array<double>")
+    merged = partial.groupBy("cell").agg(F.sum("n").alias("n"), F.collect_list("s").alias("ss"))
+    total = F.aggregate(F.slice("ss", 2, F.greatest(F.size("ss") - 1, F.lit(0))), F.col("ss")[0],
+                        lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+    return merged.select("cell", F.transform(total, lambda v: v / F.col("n")).alias("vec"))
 
 
 def ivf_train(vectors: DataFrame, nlist: int = 16, iters: int = 2, seed: int = DEFAULT_SEED,
