@@ -192,14 +192,37 @@ def ivf_train(vectors: DataFrame, nlist: int = 16, iters: int = 2, seed: int = D
     return cents
 
 
+def _partial_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: per-dimension min and max (one row out)."""
+    lo = hi = None
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        x, _ = _matrix(b.column(0))
+        x = x.astype(np.float64)
+        lo = x.min(axis=0) if lo is None else np.minimum(lo, x.min(axis=0))
+        hi = x.max(axis=0) if hi is None else np.maximum(hi, x.max(axis=0))
+    if lo is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([lo], pa.list_(pa.float64())), pa.array([hi], pa.list_(pa.float64()))],
+                                         names=["lo", "hi"])
+
+
 def sq_train(vectors: DataFrame, vec: str = "vec") -> tuple[Column, Column]:
-    """Per-dimension bounds (lo, hi) as two ARRAY<DOUBLE> scalar subqueries."""
-    per_dim = (vectors.select(F.posexplode(vec).alias("pos", "x"))
-                      .groupBy("pos").agg(F.min(F.col("x").cast("double")).alias("lo"),
-                                          F.max(F.col("x").cast("double")).alias("hi")))
-    packed = per_dim.agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "hi"))).alias("b"))
-    lo = packed.select(F.transform("b", lambda s: s["lo"])).scalar()
-    hi = packed.select(F.transform("b", lambda s: s["hi"])).scalar()
+    """Per-dimension bounds (lo, hi) as two ARRAY<DOUBLE> scalar subqueries.
+
+    Each task reduces its vectors to one (lo, hi) pair with numpy; the task
+    rows are merged element-wise.
+    """
+    part = vectors.select(F.col(vec).cast("array<float>")).where(F.col(vec).isNotNull()) \
+                  .mapInArrow(_partial_bounds, "lo array<double>, hi array<double>")
+    merged = part.agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+
+    def fold(col: str, pick):
+        rest = F.slice(col, 2, F.greatest(F.size(col) - 1, F.lit(0)))
+        return F.aggregate(rest, F.col(col)[0], lambda acc, x: F.zip_with(acc, x, pick))
+
+    lo = merged.select(fold("los", lambda a, b: F.least(a, b))).scalar()
+    hi = merged.select(fold("his", lambda a, b: F.greatest(a, b))).scalar()
     return lo, hi
 
 
