@@ -66,3 +66,11 @@ def test_pairs_join_form_equals_window_form(spark):
     a = sorted(conversation_pairs(spark, SF_CHECK, dense_turns=True).collect())
     b = sorted(conversation_pairs(spark, SF_CHECK, dense_turns=False).collect())
     assert a == b and len(a) > 0
+
+
+def test_with_position_dense_over_partitions(spark):
+    from refinespark.sources.tables import with_position
+    df = spark.range(0, 1000, 1, 7).withColumnRenamed("id", "x")
+    rows = with_position(df, "pos").collect()
+    assert sorted(r.pos for r in rows) == list(range(1000))
+    assert all(r.pos == r.x for r in rows)  # file (partition) order kept
