@@ -190,3 +190,21 @@ def per_row(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def starts_char(data: np.ndarray) -> np.ndarray:
     """Whether each UTF-8 byte begins a code point."""
     return (data & 0xC0) != 0x80
+
+
+# --- files in the shared folder ----------------------------------------------------------------
+
+
+def file_system(path: str):
+    """pyarrow's file system of a path or URI in the shared folder, and the path on it (driver and workers)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def read_folder(path: str, columns: list[str]) -> pa.Table:
+    """The Parquet files of a small folder in the shared folder (a worker's own read, one bounded part)."""
+    import pyarrow.dataset as ds
+
+    system, at = file_system(path)
+    return ds.dataset(at, filesystem=system, format="parquet").to_table(columns=columns)
