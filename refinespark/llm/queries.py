@@ -5,9 +5,11 @@ from __future__ import annotations
 from refinespark.llm.decontaminate import op1_decontaminate
 from refinespark.llm.quality import op7_quality_rules
 from refinespark.llm.secrets import op9_secret_scan
+from refinespark.llm.simhash import op4_simhash_groups
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_simhash_groups": op4_simhash_groups,
     "op7_quality_rules": op7_quality_rules,
     "op9_secret_scan": op9_secret_scan,
 }
