@@ -6,9 +6,11 @@ from refinespark.llm.decontaminate import op1_decontaminate
 from refinespark.llm.quality import op7_quality_rules
 from refinespark.llm.secrets import op9_secret_scan
 from refinespark.llm.simhash import op4_simhash_groups
+from refinespark.llm.substrings import op2_substring_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_simhash_groups": op4_simhash_groups,
     "op7_quality_rules": op7_quality_rules,
     "op9_secret_scan": op9_secret_scan,
