@@ -7,11 +7,15 @@ from refinespark.llm.quality import op7_quality_rules
 from refinespark.llm.secrets import op9_secret_scan
 from refinespark.llm.simhash import op4_simhash_groups
 from refinespark.llm.substrings import op2_substring_dedup
+from refinespark.llm.token_files import op6_token_files
+from refinespark.llm.warc import op3_warc_archives
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_warc_archives": op3_warc_archives,
     "op4_simhash_groups": op4_simhash_groups,
+    "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op9_secret_scan": op9_secret_scan,
 }
