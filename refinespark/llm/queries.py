@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from refinespark.llm.decontaminate import op1_decontaminate
+from refinespark.llm.pieces import op8_sentencepiece_sampling
 from refinespark.llm.quality import op7_quality_rules
 from refinespark.llm.secrets import op9_secret_scan
 from refinespark.llm.simhash import op4_simhash_groups
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_simhash_groups": op4_simhash_groups,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
+    "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_secret_scan": op9_secret_scan,
 }
 
