@@ -9,6 +9,8 @@ from refinespark.llm.secrets import op9_secret_scan
 from refinespark.llm.simhash import op4_simhash_groups
 from refinespark.llm.substrings import op2_substring_dedup
 from refinespark.llm.token_files import op6_token_files
+from refinespark.llm.toxicity import op10_toxicity
+from refinespark.llm.url_filter import op5_url_filter
 from refinespark.llm.warc import op3_warc_archives
 
 QUERIES = {
@@ -16,10 +18,12 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_warc_archives": op3_warc_archives,
     "op4_simhash_groups": op4_simhash_groups,
+    "op5_url_filter": op5_url_filter,
     "op6_token_files": op6_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_secret_scan": op9_secret_scan,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
