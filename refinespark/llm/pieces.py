@@ -34,10 +34,11 @@ from refinespark.llm.common import as_binary, fresh_names, mix, prepare, starts_
 
 SEED, ALPHA = 7, 1.0
 _SPACE = 32
+_FREE = np.uint64((1 << 64) - 1)
 
 
 class Model:
-    """Pieces of a SentencePiece model as bytes (spaces for U+2581), their log weights, and a double-array trie."""
+    """Pieces of a SentencePiece model as bytes (spaces for U+2581), their log weights, and a trie as a hash table."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -78,31 +79,44 @@ class Model:
                     piece.append(-1)
                 at = children[at][b]
             piece[at] = i
-        size = 4 * len(children) + 1024
-        self.next, self.owner = np.zeros(size, np.int32), np.full(size, -1, np.int32)
-        self.base, self.piece = np.zeros(len(children), np.int32), np.array(piece, np.int32)
-        free, low = np.ones(size, bool), 0
-        for state in sorted((s for s in range(len(children)) if children[s]), key=lambda s: -len(children[s])):
-            keys = np.array(sorted(children[state]))
-            while not free[low]:
-                low += 1
-            at = max(0, low - int(keys[0]))
-            while not free[at + keys].all():
-                at += 1
-            self.base[state] = at
-            free[at + keys] = False
-            self.next[at + keys] = [children[state][int(k)] for k in keys]
-            self.owner[at + keys] = state
-        # a leaf's base leads to places it does not own
+        self.piece = np.array(piece, np.int32)
+        keys = np.array([state << 8 | b for state, own in enumerate(children) for b in own], np.uint64)
+        following = np.array([state for own in children for state in own.values()], np.int32)
+        bits = max(8, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.owner, self.next = np.full(1 << bits, _FREE, np.uint64), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # each round every free slot takes the first that asks for it, the others go one on
+            asked, first = np.unique(slot[left], return_index=True)
+            takes = first[self.owner[asked] == _FREE]
+            self.owner[slot[left[takes]]], self.next[slot[left[takes]]] = keys[left[takes]], following[left[takes]]
+            left = np.delete(left, takes)
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _follow(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The state after ``byte``, or -1; the table has a free slot after every run, where a search ends."""
+        keys = state.astype(np.uint64) << np.uint64(8) | byte
+        slot = self._slot(keys)
+        owner = self.owner[slot]
+        found = np.where(owner == keys, self.next[slot], -1)
+        left = np.flatnonzero((owner != keys) & (owner != _FREE))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            owner = self.owner[slot[left]]
+            found[left] = np.where(owner == keys[left], self.next[slot[left]], -1)
+            left = left[(owner != keys[left]) & (owner != _FREE)]
+        return found
 
     def edges(self, data: np.ndarray, chars: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(from, to, piece): all pieces that begin at the places ``chars`` and do not cross ``end`` (of each place)."""
         found, at, state, size = [], chars, np.zeros(len(chars), np.int32), 0
         while len(at):
-            place = self.base[state] + data[at + size]
-            state_next = self.next[place]
-            go = self.owner[place] == state
-            at, state, end = at[go], state_next[go], end[go]
+            state = self._follow(state, data[at + size])
+            go = state >= 0
+            at, state, end = at[go], state[go], end[go]
             size += 1
             piece = self.piece[state]
             hit = piece >= 0

@@ -260,19 +260,20 @@ def _labelled(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> list[tupl
 def fit_field(train: DataFrame, known: np.ndarray, parts: int = PARTS, rounds: int = ROUNDS, local_steps: int = LOCAL_STEPS) -> Model:
     """The field's parameters: averages over the parts, ``rounds`` times."""
     spark = train.sparkSession
-    train = written(train.select("text", "toxic").repartition(parts, F.xxhash64("text")), "train")
+    part = F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")
+    train = written(train.select(part.alias("part"), "text", "toxic"), "train")
     model = Model.zero()
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((model, known))  # 2 MB of weights, MAX_MARKS hashes
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             now, marked = state.value
-            slices = _labelled(batches, marked)
-            if slices:
-                now = climb(now, slices, local_steps)
-                yield pa.RecordBatch.from_arrays([pa.array([now.weights.tobytes()]), pa.array([now.links.tobytes()])], names=["weights", "links"])
+            slices = _labelled(iter(table.select(["text", "toxic"]).to_batches()), marked)
+            now = climb(now, slices, local_steps) if slices else now
+            return pa.table({"weights": [now.weights.tobytes()], "links": [now.links.tobytes()]},
+                            schema=pa.schema([("weights", pa.binary()), ("links", pa.binary())]))
 
-        got = train.repartition(parts, F.xxhash64("text")).mapInArrow(run, "weights binary, links binary").collect()
+        got = train.groupBy("part").applyInArrow(run, "weights binary, links binary").collect()  # ``parts`` rows of 2 MB
         state.unpersist()
         if not got:
             return model
