@@ -55,16 +55,17 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row."""
+    """(id, text_hash, fp) of every row."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, 1):
                 found = [fingerprint(x or b"", width) for x in as_binary(part.column(1)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.int64())], names=["id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint")
+    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+            .mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, text_hash bigint, fp bigint"))
 
 
 def _tile(counts) -> int:
@@ -160,14 +161,14 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component_id) of every row; ``component_id``: the smallest id that links reach."""
+    """(id, text_hash, fp, component_id) of every row; ``component_id``: the smallest id that links reach."""
     prints = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     linked = components(near_edges(distinct, radius))
     named = (linked.join(distinct, linked["node"] == distinct["fp"]).groupBy("label").agg(F.min("least").alias("component_id")))
     linked = linked.join(named, "label").select(F.col("node").alias("fp"), "component_id")
     classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(classes, "fp", "left").select("id", "fp", "component_id")
+    return prints.join(classes, "fp", "left").select("id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -176,10 +177,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     A row that repeats both id and text of a kept row goes; rows without an id stay only if no row of their group has one.
     """
     groups = written(near_groups(docs, id_col, text_col, width, radius), "groups")
-    chosen = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    chosen = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
     chosen = written(chosen, "chosen")
-    name, = fresh_names(docs, ["chosen_id"])
-    kept = docs.join(chosen.select(F.col("id").alias(name)), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    name, text_hash = fresh_names(docs, ["chosen_id", "chosen_hash"])
+    same = F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(text_col) == F.col(text_hash))  # ids may repeat or be null
+    kept = docs.join(chosen.select(F.col("id").alias(name), F.col("text_hash").alias(text_hash)), same, "left_semi")
     if chosen.filter("rows > 1").isEmpty():
         return kept
     return kept.dropDuplicates([id_col, text_col])

@@ -3,7 +3,7 @@
 A rule (host, path) fits a URL whose host is the rule's or a subdomain of it and whose path starts with the rule's;
 the longest fitting rule decides.  Every other URL is judged by gradient-boosted trees (Spark ML) trained on the
 URLs that rules judge: lengths, depth, digit ratio, entropy, parameter counts, and the smoothed share of
-blocked URLs and the frequency of the host's suffix (its last label) in the training sample.
+blocked URLs and the frequency of the host's suffix (its last label) and of the path's first segment in the training sample.
 
 The sample is bounded by ``SAMPLE_ROWS`` labelled URLs (the least hashes of the URL text, equal URLs once), so the table of
 suffixes is bounded too and can be broadcast; rules and model are applied to every row.
@@ -109,7 +109,7 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "host_digits", "parameters", "fragment",
-            "secure", "entropy", "suffix_block", "suffix_count")
+            "secure", "entropy", "suffix_block", "suffix_count", "segment_block", "segment_count")
 
 
 def described(df: DataFrame, url_col: str, rules: tuple[Rule, ...], out: str) -> DataFrame:
@@ -123,6 +123,7 @@ def described(df: DataFrame, url_col: str, rules: tuple[Rule, ...], out: str) ->
     host, path = F.col(base)["host"], F.col(base)["path"]
     found = F.struct(host.alias("host"), path.alias("path"), rule_of(host, path, rules).alias("rule"),
                      F.xxhash64(F.regexp_extract(F.regexp_replace(host, r":[0-9]*$", ""), r"([^.]*)\.?$", 1)).alias("suffix"),
+                     F.xxhash64(F.lit("path"), F.regexp_extract(path, "^/?([^/]*)", 1)).alias("segment"),
                      F.col(entropy).alias("entropy"), *(c.alias(n) for n, c in lexical(F.col(url_col), host, path).items()))
     return df.select(*columns, found.alias(out))
 
@@ -136,14 +137,16 @@ class UrlModel(NamedTuple):
 
 
 def with_suffix(df: DataFrame, at: str, model_suffixes: DataFrame, share: float, out: str) -> DataFrame:
-    """``df`` plus the feature vector; the suffix table has ``SAMPLE_ROWS`` rows of 24 bytes at most."""
-    hashed, n, blocked = fresh_names(df, ["suffix_hash", "suffix_n", "suffix_blocked"])
-    joined = df.join(F.broadcast(model_suffixes.toDF(hashed, n, blocked)), F.col(at)["suffix"] == F.col(hashed), "left")
-    count, bad = F.coalesce(F.col(n), F.lit(0)), F.coalesce(F.col(blocked), F.lit(0))
-    extra = {"suffix_block": (bad + PRIOR_ROWS * share) / (count + PRIOR_ROWS), "suffix_count": F.log1p(count.cast("double"))}
-    names = fresh_names(df, list(FEATURES))
-    wide = joined.select(*df.columns, *((extra[f] if f in extra else F.col(at)[f]).cast("double").alias(x) for f, x in zip(FEATURES, names, strict=True)))
-    return VectorAssembler(inputCols=names, outputCol=out).transform(wide).select(*df.columns, out)
+    """``df`` plus the feature vector; the table of suffixes and segments has 2 * ``SAMPLE_ROWS`` rows of 24 bytes at most."""
+    columns, joined, extra = df.columns, df, {}
+    for part in ("suffix", "segment"):
+        hashed, n, blocked = fresh_names(joined, ["url_hash", "url_n", "url_blocked"])
+        joined = joined.join(F.broadcast(model_suffixes.toDF(hashed, n, blocked)), F.col(at)[part] == F.col(hashed), "left")
+        count, bad = F.coalesce(F.col(n), F.lit(0)), F.coalesce(F.col(blocked), F.lit(0))
+        extra |= {f"{part}_block": (bad + PRIOR_ROWS * share) / (count + PRIOR_ROWS), f"{part}_count": F.log1p(count.cast("double"))}
+    names = fresh_names(df, [f"url_{f}" for f in FEATURES])
+    wide = joined.select(*columns, *((extra[f] if f in extra else F.col(at)[f]).cast("double").alias(x) for f, x in zip(FEATURES, names, strict=True)))
+    return VectorAssembler(inputCols=names, outputCol=out).transform(wide).select(*columns, out)
 
 
 def fit(urls: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS) -> UrlModel:
@@ -157,7 +160,7 @@ def fit(urls: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES,
     found = written(found, "urls")
     n, blocked = found.agg(F.count(F.lit(1)), F.sum("label")).first()
     share = (blocked / n) if n else 0.0
-    suffixes = written(found.groupBy(F.col("u.suffix").alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("blocked")), "suffixes")
+    suffixes = written(found.select("label", F.explode(F.array("u.suffix", "u.segment")).alias("suffix")).groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("blocked")), "suffixes")
     if not n or blocked in (0, n):
         return UrlModel(None, suffixes, share)
     train = written(with_suffix(found, "u", suffixes, share, "features").select("features", "label"), "features")
