@@ -343,15 +343,29 @@ Q["evaluate_retriever"] = _with(
   (select round(sum(case when pred = i then 1 else 0 end) / count(*), 6) from pr) acc, count(*) batches from bl"""
 
 # decoding constraints on the lines of every assistant turn
+def _constrained(src: str, min_len: int, max_len: int, n_best: int, banned: str = "false") -> str:
+    """CTE ``kept``: replies cut at the maximum; passing candidates first, else the best one with its reason."""
+    cut = f"""array_to_string(string_split(regexp_replace(replace(reply, chr(1), ''),
+      '((?i:</?s>)|[\\p{{L}}\\p{{N}}]+)', '\\1' || chr(1), 'g'), chr(1))[1:{max_len}], '')"""
+    return f"""kept as (select qid, cand, reply, score, reason from (
+  select *, row_number() over (partition by qid order by reason is not null, score desc, cand) r from (
+    select *, case when len(t) < {min_len} then 'min_length' when len(list_distinct(bg)) < len(bg) then 'repeated_bigram'
+      when {banned} then 'banned' end reason from (
+      select * exclude (t, reply), t[1:{max_len}] t, case when len(t) > {max_len} then {cut} else reply end reply,
+        list_transform(range(1, least(len(t), {max_len})), lambda i: t[i] || ' ' || t[i + 1]) bg
+      from (select *, {vocab_tokens('reply')} t from {src}))))
+  where r <= {n_best} and (reason is null or r = 1))"""
+
+
 Q["constrain_candidates"] = _with(
-    f"""lines as (select conv_id * 100 + turn qid, (generate_subscripts(ls, 1) - 1)::int cand, unnest(ls) reply
-  from (select conv_id, turn, string_split(text, chr(10)) ls from conversations where role = 'assistant'))""",
-    f"tk as (select *, (-cand)::double score, {vocab_tokens('reply')} t from lines)",
-    """ok as (select *, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) bg from tk
-  where len(t) >= 5 and len(t) <= 36)""") + \
-    """select qid, cand, reply, score from (
-  select *, row_number() over (partition by qid order by score desc, cand) r from ok
-  where len(list_distinct(bg)) = len(bg)) where r <= 5"""
+    VOCAB,
+    """lines as (select {'c': conv_id, 't': turn, 'l': cand} line, conv_id * 100 + turn qid, cand, reply, (-cand)::double score
+  from (select conv_id, turn, (generate_subscripts(ls, 1) - 1)::int cand, unnest(ls) reply
+    from (select conv_id, turn, string_split(text, chr(10)) ls from conversations where role = 'assistant')))""",
+    token_ids("lines", "line", "reply", "li"),
+    "cands as (select l.*, i.ids from lines l join li i using (line))",
+    _constrained("cands", 5, 36, 5, "len(ids) between 1 and 35 and ids[-1] = 1")) + \
+    "select qid, cand, reply, score, reason from kept"
 
 # pipelines
 Q["chat_retriever"] = CHAT_RETRIEVER
@@ -375,8 +389,9 @@ def py_strip(x: str) -> str:
 
 CHAT_TOP = [P, U, f"uq as (select utt_id id, {wrap(strip_blank('text'))} t from utt)", hashed_sparse("uq", "q"),
             *_PP, hashed_scores("q", "p", "(select id from pp)"), f"top as ({topk('scores', 1)})",
-            f"""pr as (select u.utt_id qid, t.pid, {wrap(strip_blank('u.text'))} || {wrap('p.a')} prompt, p.a base_raw
-  from utt u join top t on t.qid = u.utt_id join pairs p on p.pair_id = t.pid)"""]
+            f"""pr as (select u.utt_id qid, t.pid, {wrap(strip_blank('u.text'))} || coalesce({wrap('p.a')}, '') prompt,
+  coalesce(p.a, {strip_blank('u.text')}) base_raw
+  from utt u left join top t on t.qid = u.utt_id left join pairs p on p.pair_id = t.pid)"""]
 
 
 def _copy_cands(src: str, base: str) -> list[str]:
@@ -386,20 +401,12 @@ def _copy_cands(src: str, base: str) -> list[str]:
   where {py_strip("split_part(b, chr(10), 1)")} <> b)"""]
 
 
-def _constrained(min_len: int, max_len: int, n_best: int) -> str:
-    return f"""kept as (select qid, cand, reply, score from (
-  select *, row_number() over (partition by qid order by score desc, cand) r from (
-    select *, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) bg
-    from (select *, {vocab_tokens('reply')} t from cands))
-  where len(t) >= {min_len} and len(t) <= {max_len} and len(list_distinct(bg)) = len(bg)) where r <= {n_best})"""
-
-
 Q["generate_batch"] = _with(*CHAT_TOP, *_copy_cands("pr", "base_raw")) + "select qid, cand, reply, score from cands"
-Q["chat_refine"] = _with(*CHAT_TOP, *_copy_cands("pr", "base_raw"), _constrained(5, 36, 5)) + \
-    "select k.qid utt_id, p.pid, p.prompt, k.cand, k.reply from kept k join pr p using (qid)"
+Q["chat_refine"] = _with(*CHAT_TOP, *_copy_cands("pr", "base_raw"), _constrained("cands", 5, 36, 5)) + \
+    "select k.qid utt_id, p.pid, p.prompt, k.cand, k.reply, k.reason from kept k join pr p using (qid)"
 Q["chat_generator"] = _with(U, f"gp as (select utt_id qid, {strip_blank('text')} base_raw from utt)",
-                            *_copy_cands("gp", "base_raw"), _constrained(0, 128, 1)) + \
-    "select qid utt_id, cand, reply from kept"
+                            *_copy_cands("gp", "base_raw"), _constrained("cands", 0, 128, 1)) + \
+    "select qid utt_id, cand, reply, reason from kept"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,7 @@ _EDGE_BLANKS = r"(?U)^\s+|\s+$"
 _VOCAB_TOKEN = r"</?s>|[\p{L}\p{N}]+"
 _WORD = r"[\p{L}\p{N}]+"
 _MARKER = r"</?s>"
+_CUT = "\u0001"
 
 
 def _c(x) -> Column:
@@ -50,6 +51,12 @@ def vocab_tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(_VOCAB_TOKEN), 0)
 
 
+def cut_tokens(text, n: int) -> Column:
+    """The text up to the end of its n-th vocabulary token (U+0001, used as the cut mark, is removed)."""
+    marked = F.regexp_replace(F.translate(_c(text), _CUT, ""), rf"(?i:{_MARKER})|{_WORD}", f"$0{_CUT}")
+    return F.array_join(F.slice(F.split(marked, _CUT), 1, n), "")
+
+
 def encoder_tokens(text) -> Column:
     """Tokens for the hashed encoders: markers removed first, so wrapped and raw text agree."""
     return F.regexp_extract_all(F.lower(F.regexp_replace(_c(text), _MARKER, " ")), F.lit(_WORD), 0)

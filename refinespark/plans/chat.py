@@ -16,7 +16,8 @@ from ..operators.generate import CopyGenerator, constrain_candidates, generate_b
 from ..operators.retrieve import lookup_passage
 from ..session import materialise
 
-CHAT_PARAMS = dict(max_length=128, min_length=0, num_beams=5, num_return_sequences=1, top_p=0.92)
+# The decoding numbers of the two chat modes (sampling by top_p happens inside a model).
+CHAT_PARAMS = dict(max_length=128, min_length=0, num_beams=5, num_return_sequences=1)
 REFINE_PARAMS = dict(max_length=36, min_length=5, num_beams=5, num_return_sequences=5)
 
 
@@ -42,33 +43,49 @@ def chat_retriever(utts: DataFrame, pairs: DataFrame, encoder=None, guard: str =
     return _top1(utts, pairs, encoder, guard).select("utt_id", "pid", "score", "reply")
 
 
+def refine_prompts(top: DataFrame) -> DataFrame:
+    """(qid, pid, prompt): utterance and retrieved answer; the utterance alone (null pid) where nothing was retrieved."""
+    prompt = F.coalesce(refine_prompt(strip_blank(F.col("text")), F.col("reply")), F.col("prompt"))
+    return top.select(F.col("utt_id").alias("qid"), "pid", prompt.alias("prompt"))
+
+
+def _all_answered(asked: DataFrame, kept: DataFrame) -> DataFrame:
+    """Every row of ``asked`` with its kept candidates; a query without any stays, with a reason."""
+    cols = kept.select("qid", "cand", "reply", "reason")
+    return asked.join(cols, "qid", "left").withColumn(
+        "reason", F.when(F.col("cand").isNull(), "no_candidate").otherwise(F.col("reason")))
+
+
 def chat_generator(utts: DataFrame, model=None, vocab: DataFrame | None = None, **params) -> DataFrame:
-    """Reply generated from the wrapped utterance -> (utt_id, cand, reply)."""
+    """Reply generated from the wrapped utterance -> (utt_id, cand, reply, reason).
+
+    Every utterance has a row; ``reason`` is null, the rule its fallback reply breaks, or
+    ``no_candidate`` when the model gave none.
+    """
     p = {**CHAT_PARAMS, **params}
     u = normalize_utterance(utts).select(F.col("utt_id").alias("qid"), "prompt")
     cands = generate_batch(u, model or CopyGenerator(), "prompt", p["num_beams"])
     kept = constrain_candidates(cands, vocab, min_length=p["min_length"], max_length=p["max_length"],
                                 n_best=p["num_return_sequences"])
-    return kept.select(F.col("qid").alias("utt_id"), "cand", "reply")
+    return _all_answered(u.select("qid").distinct(), kept).select(F.col("qid").alias("utt_id"), "cand", "reply", "reason")
 
 
 def chat_refine(utts: DataFrame, pairs: DataFrame, encoder=None, model=None, guard: str = "quarantine",
                 vocab: DataFrame | None = None, **params) -> DataFrame:
     """Candidates generated from utterance + retrieved answer (default mode).
 
-    -> (utt_id, pid, prompt, cand, reply); the reply is the generated tail
-    after the prompt.
+    -> (utt_id, pid, prompt, cand, reply, reason); the reply is the generated
+    tail after the prompt.  Every utterance has a row (``reason`` as in L5);
+    one without tokens retrieves nothing and is prompted alone.
     """
     p = {**REFINE_PARAMS, **params}
     encoder = encoder or HashedEncoder()
-    top = _top1(utts, pairs, encoder, guard).where(F.col("pid").isNotNull())
-    prompts = materialise(top.select(F.col("utt_id").alias("qid"), "pid",
-                                     refine_prompt(strip_blank(F.col("text")), F.col("reply")).alias("prompt")))
-    cands = generate_batch(prompts, model or CopyGenerator(), "prompt", p["num_beams"])
+    prompts = materialise(refine_prompts(_top1(utts, pairs, encoder, guard)))
+    cands = generate_batch(prompts, model or CopyGenerator(), "prompt", p["num_beams"], cut_prompt=True)
     kept = constrain_candidates(cands, vocab, min_length=p["min_length"], max_length=p["max_length"],
                                 n_best=p["num_return_sequences"])
-    return kept.join(prompts.select("qid", "pid", "prompt"), "qid").select(
-        F.col("qid").alias("utt_id"), "pid", "prompt", "cand", "reply")
+    return _all_answered(prompts, kept).select(
+        F.col("qid").alias("utt_id"), "pid", "prompt", "cand", "reply", "reason")
 
 
 def chat(utts: DataFrame, pairs: DataFrame, mode: str = "refine", **kw) -> DataFrame:

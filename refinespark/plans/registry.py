@@ -14,7 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import gold_prompt, refine_prompt, strip_blank, wrap
+from ..functions.text import gold_prompt, refine_prompt, wrap
 from ..functions.vectors import SCORE_DECIMALS
 from ..operators import ann, encode, evaluate, exact, generate, retrieve, sampling, vocab as voc
 from ..sources import stores
@@ -340,9 +340,7 @@ def q_epoch_accuracy(spark, sf):
 
 # ------------------------------------------------------- generation (G)
 def _refine_top1_prompts(spark, sf):
-    return chat._top1(src.utterances(spark, sf), _pairs(spark, sf), _enc(), "quarantine") \
-        .where(F.col("pid").isNotNull()) \
-        .select(F.col("utt_id").alias("qid"), refine_prompt(strip_blank(F.col("text")), F.col("reply")).alias("prompt"))
+    return chat.refine_prompts(chat._top1(src.utterances(spark, sf), _pairs(spark, sf), _enc(), "quarantine"))
 
 
 def q_generate_batch(spark, sf):
@@ -350,13 +348,17 @@ def q_generate_batch(spark, sf):
 
 
 def q_constrain_candidates(spark, sf):
-    """Candidates = the lines of every assistant turn, scored by line order."""
+    """Candidates = the lines of every assistant turn, scored by line order; ids padded past the maximum, so that
+    a line whose last token is unknown holds the banned sequence."""
     conv = src.read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     lines = conv.where(F.col("role") == "assistant").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("qid"),
-        F.posexplode(F.split("text", "\n")).alias("cand", "reply"))
-    cands = lines.select("qid", F.col("cand").cast("int"), "reply", (-F.col("cand")).cast("double").alias("score"))
-    return generate.constrain_candidates(cands, None, min_length=5, max_length=36, n_best=5)
+        "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("cand", "reply"))
+    lines = lines.withColumn("line", F.struct("conv_id", "turn", "cand"))
+    ids = voc.pad_truncate(voc.encode_tokens(lines, "line", "reply", _vocab(spark, sf), out="ids"), "ids", 37)
+    cands = lines.join(ids, "line").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("qid"), F.col("cand").cast("int"), "reply",
+        (-F.col("cand")).cast("double").alias("score"), "ids")
+    return generate.constrain_candidates(cands, None, min_length=5, max_length=36, n_best=5).drop("ids")
 
 
 # -------------------------------------------------------- pipelines (L)

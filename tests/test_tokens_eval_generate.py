@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from refinespark.operators import evaluate, generate, vocab as voc
+from refinespark.plans import chat
 
 
 def test_vocab_specials_and_order(spark):
@@ -64,6 +65,33 @@ def test_constraints(spark):
     assert [r.cand for r in kept] == [1]  # only-unk passes: the ban is the sequence unk, pad
 
 
+def test_long_replies_are_cut_and_no_query_is_lost(spark):
+    cands = spark.createDataFrame([
+        (1, 0, "One, two; three... four!", 0.0),      # cut after the third token
+        (2, 0, "a", 0.0), (2, 1, "b b b", -1.0),      # all break a rule: the best stays
+        (3, 0, None, 0.0),
+    ], generate.CAND_SCHEMA)
+    kept = generate.constrain_candidates(cands, None, min_length=2, max_length=3, n_best=5)
+    rows = {r.qid: (r.cand, r.reply, r.reason) for r in kept.collect()}
+    assert rows == {1: (0, "One, two; three", None), 2: (0, "a", "min_length"), 3: (0, None, "min_length")}
+
+
+def test_every_utterance_is_answered(spark):
+    utts = spark.createDataFrame([(1, "hello there"), (2, "?!"), (3, "word " * 200), (4, "")], "utt_id long, text string")
+    pairs = spark.createDataFrame([(1, "hello", "hello to you my dear friend"), (2, "x", "word " * 100)], "pair_id long, q string, a string")
+    refined = chat.chat_refine(utts, pairs).collect()
+    assert {r.utt_id for r in refined} == {1, 2, 3, 4}
+    assert {r.utt_id for r in refined if r.pid is None} == {2, 4}
+    generated = chat.chat(utts, pairs, mode="generator", model=lambda: lambda prompts, n: [[] for _ in prompts])
+    assert {(r.utt_id, r.reason) for r in generated.collect()} == {(i, "no_candidate") for i in (1, 2, 3, 4)}
+
+
+def test_prompt_is_cut_off_the_reply(spark):
+    prompts = spark.createDataFrame([(1, "<s>q</s>")], "qid long, prompt string")
+    out = generate.generate_batch(prompts, lambda: lambda texts, n: [[(t + " tail", 0.0)] for t in texts], cut_prompt=True)
+    assert [r.reply for r in out.collect()] == [" tail"]
+
+
 def test_copy_generator(spark):
     prompts = spark.createDataFrame([(7, "<s>q</s><s>First. Second\nthird</s>")], "qid long, prompt string")
     out = generate.generate_batch(prompts, generate.CopyGenerator(), "prompt", 5).orderBy("cand").collect()
