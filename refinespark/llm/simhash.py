@@ -30,6 +30,8 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 BLOCK = 16_384
 #: Cells of one comparison step in a task (8 bytes each).
 CELLS = 1 << 21
+#: A fingerprint of more than one in so many rows is common: under ``COMMON`` of them exist, whatever the corpus.
+COMMON = 1_000
 QUARTERS, QUARTER_BITS = 4, 16
 
 #: A-Z lower-cased; \x09-\x0D become the space that separates words.
@@ -55,7 +57,7 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(id, text_hash, fp) of every row."""
+    """(id, text_hash, fp) of every row; ``fp`` is never null."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +163,19 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id, text_hash, fp, component_id) of every row; ``component_id``: the smallest id that links reach."""
+    """(id, text_hash, fp, component_id) of every row; ``component_id``: the smallest id that links reach.
+
+    Rows of common fingerprints (under ``COMMON`` of them, broadcast) get their component where they lie; the others are dealt by fingerprint.
+    """
     prints = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "distinct")
     linked = components(near_edges(distinct, radius))
     named = (linked.join(distinct, linked["node"] == distinct["fp"]).groupBy("label").agg(F.min("least").alias("component_id")))
     linked = linked.join(named, "label").select(F.col("node").alias("fp"), "component_id")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(classes, "fp", "left").select("id", "text_hash", "fp", "component_id")
+    classes = written(distinct.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    common = F.broadcast(classes.filter(F.col("rows") * COMMON > prints.count()).drop("rows"))
+    named = [prints.join(common, "fp"), prints.join(common, "fp", "left_anti").join(classes.drop("rows"), "fp")]
+    return named[0].union(named[1]).select("id", "text_hash", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
