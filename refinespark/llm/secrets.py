@@ -1,7 +1,8 @@
 """Secret scan with structural confirmation.
 
 Base kinds (patterns): ``assign`` (a named value), ``access`` (AKIA...), ``hex`` (a long lower-case run).
-Confirmed kinds: base64 or hex candidates are decoded, and only those whose bytes parse are reported:
+Confirmed kinds: base64 or hex candidates are decoded, and only those whose bytes parse are reported.  Consecutive
+lines are joined, and a key may start inside a run (after a path or a name) and end inside one, as it holds its length:
 ``pem`` (an armoured private key), ``der`` (a private key in DER: every nested length must close exactly),
 ``openssh`` (openssh-key-v1 with its length-prefixed strings) and ``jwt`` (a signed token whose header is a
 JSON object with ``alg`` and whose payload is a JSON object).
@@ -18,6 +19,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +40,32 @@ HEX = re.compile(rb"[0-9a-f]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 _NAMES = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 
-#: The shortest candidate that can hold a key or a signed token; both run over characters without white space.
+#: Runs without white space of at least so many characters are searched for keys and signed tokens.
 LEAST_CANDIDATE = 20
-BASE64_RUN = re.compile(rb"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(rb"[0-9A-Fa-f]{80,}")
-TOKEN_RUN = re.compile(rb"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]+")
+#: Digits or letters of one run, and what follows on the next lines.
+_LINE = rb"(?:[ \t]*(?:\r\n|\n|\r)[ \t]*%b)*"
+BASE64_CHARS, HEX_CHARS = rb"[A-Za-z0-9+/_-]+", rb"[0-9A-Fa-f]+"
+BASE64_BLOCK = re.compile(BASE64_CHARS + _LINE % BASE64_CHARS)
+HEX_BLOCK = re.compile(HEX_CHARS + _LINE % HEX_CHARS)
+BASE64_RUN, HEX_RUN = re.compile(BASE64_CHARS), re.compile(HEX_CHARS)
+#: Where a key can start: the first byte of DER with a short or long length, or the magic of OpenSSH.
+BASE64_START = re.compile(rb"(?=M[A-I]|b3BlbnNzaC1rZXktdjEA)")
+HEX_START = re.compile(rb"(?=30[0-8]|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100)")
+PADDING = re.compile(rb"={0,2}")
+#: The bytes of the shortest key that ``is_private_der`` takes.
+LEAST_KEY = 16
+#: A token's three parts; its header can start where ``{`` does in base64.
+TOKEN_RUN = re.compile(rb"[A-Za-z0-9_.-]+")
+HEADER_START = re.compile(rb"(?=e[yw])")
 PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\-]*?)-----END \1-----")
 
+#: The head of a private key in DER: its length, then a version of 0 or 1, or the algorithm of an encrypted key.
+_SIZE = rb"(?:[\x00-\x7f]|\x81.|\x82..|\x83...|\x84....)"
+DER_HEAD = re.compile(rb"\x30(" + _SIZE + rb")(?:\x02(?:\x01|\x81\x01|\x82\x00\x01|\x83\x00\x00\x01|\x84\x00\x00\x00\x01)[\x00\x01]|\x30"
+                      + _SIZE + rb"\x06)", re.S)
+HEAD_BYTES = 18
+OPENSSH_MAGIC = b"openssh-key-v1\0"
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -81,7 +102,7 @@ def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 
 def is_private_der(data: bytes) -> bool:
     """An RSA, EC or PKCS#8 private key: one SEQUENCE that fills ``data``, with the items of such a key."""
-    if len(data) < 16 or data[0] != 0x30:
+    if len(data) < LEAST_KEY or data[0] != 0x30:
         return False
     outer = der_items(data, 0, len(data))
     if not outer or len(outer) != 1:
@@ -106,27 +127,31 @@ def is_private_der(data: bytes) -> bool:
     return len(tags) == 6 and set(tags) == {0x02}  # DSA
 
 
-def is_openssh(data: bytes) -> bool:
-    """openssh-key-v1: cipher, kdf, kdf options, key count, public keys and the private part close exactly."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at, strings = len(magic), 3
+def openssh_size(read: Callable[[int, int], bytes], most: int) -> int | None:
+    """Bytes of an openssh-key-v1 (cipher, kdf, kdf options, key count, public keys, private part) within ``most`` bytes."""
+    if read(0, len(OPENSSH_MAGIC)) != OPENSSH_MAGIC:
+        return None
+    at, strings = len(OPENSSH_MAGIC), 3
     for _ in range(strings):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    if at + 4 > len(data):
-        return False
-    keys = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > most:
+            return None
+        at += 4 + int.from_bytes(read(at, at + 4), "big")
+    if at + 4 > most:
+        return None
+    keys = int.from_bytes(read(at, at + 4), "big")
     at += 4
     if not 1 <= keys <= 16:
-        return False
+        return None
     for _ in range(keys + 1):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at == len(data)
+        if at + 4 > most:
+            return None
+        at += 4 + int.from_bytes(read(at, at + 4), "big")
+    return at if at <= most else None
+
+
+def is_openssh(data: bytes) -> bool:
+    """openssh-key-v1: cipher, kdf, kdf options, key count, public keys and the private part close exactly."""
+    return openssh_size(lambda a, b: data[a:b], len(data)) == len(data)
 
 
 def is_signed_token(run: bytes) -> bool:
@@ -138,6 +163,13 @@ def is_signed_token(run: bytes) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def _is_object(part: bytes) -> bool:
+    try:
+        return isinstance(json.loads(_decode64(part) or b""), dict)
+    except (ValueError, UnicodeDecodeError, RecursionError):
+        return False
+
+
 def _key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
@@ -155,18 +187,71 @@ def base_spans(text: bytes) -> list[tuple[int, int, str]]:
     return found
 
 
+def key_at(read: Callable[[int, int], bytes], most: int) -> tuple[str, int] | None:
+    """Kind and bytes of the key that starts at byte 0 of ``read`` and has ``most`` bytes at most."""
+    if m := DER_HEAD.match(read(0, min(HEAD_BYTES, most))):
+        size = 1 + len(m[1]) + int.from_bytes(m[1] if len(m[1]) == 1 else m[1][1:], "big")
+        if size <= most and is_private_der(read(0, size)):
+            return "der", size
+    return ("openssh", size) if (size := openssh_size(read, most)) else None
+
+
+def _hex_bytes(block: bytes, start: int) -> Callable[[int, int], bytes]:
+    return lambda a, b: bytes.fromhex(block[start + 2 * a : start + 2 * b].decode())
+
+
+def _base64_bytes(block: bytes, start: int) -> Callable[[int, int], bytes]:
+    def read(a: int, b: int) -> bytes:
+        part = block[start + a // 3 * 4 : start + (b + 2) // 3 * 4]
+        return (_decode64(part[:-1] if len(part) % 4 == 1 else part) or b"")[a % 3 : a % 3 + b - a]
+    return read
+
+
+def key_spans(text: bytes, runs: list[tuple[int, int]], armour: list[tuple[int, int, str]], run: re.Pattern, block: re.Pattern,
+              starts: re.Pattern, reader: Callable[[bytes, int], Callable[[int, int], bytes]], bits: int) -> list[tuple[int, int, str]]:
+    """Byte spans of the keys in blocks of digits (``bits`` a digit) that begin in ``runs``; lines are joined outside ``armour``."""
+    found, done = [], 0
+    for start, end in runs:
+        while m := run.search(text, max(start, done), end):
+            if not any(a <= m.start() < b for a, b, _ in armour):
+                m = block.match(text, m.start())
+            done = m.end()
+            if (done - m.start()) * bits < 8 * LEAST_KEY:
+                continue
+            raw = np.frombuffer(text, np.uint8)[m.start() : done]
+            place = np.flatnonzero((raw > 32))
+            digits, at = raw[place].tobytes(), 0
+            for s in starts.finditer(digits):
+                left = (len(digits) - s.start()) * bits // 8
+                if s.start() < at or left < LEAST_KEY or not (key := key_at(reader(digits, s.start()), left)):
+                    continue
+                at = s.start() + (8 * key[1] + bits - 1) // bits
+                found.append((m.start() + int(place[s.start()]), m.start() + int(place[at - 1]) + 1, key[0]))
+    return found
+
+
+def token_spans(text: bytes, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Byte spans of the signed tokens in one run: the payload is a whole part, the header may start inside one."""
+    found = []
+    for m in TOKEN_RUN.finditer(text, start, end):
+        parts = m[0].split(b".")
+        at, done = m.start(), 0
+        for header, payload, signature in zip(parts, parts[1:], parts[2:]):
+            stop = at + len(header) + len(payload) + len(signature) + 2
+            if at >= done and len(header) >= 8 and len(payload) >= 2 and signature and _is_object(payload):
+                for s in dict.fromkeys([0, *(x.start() for x in HEADER_START.finditer(header))]):
+                    if len(header) - s >= 8 and is_signed_token(b".".join((header[s:], payload, signature))):
+                        found.append((at + s, stop, "jwt"))
+                        done = stop
+                        break
+            at += len(header) + 1
+    return found
+
+
 def run_spans(text: bytes, start: int, end: int) -> list[tuple[int, int, str]]:
-    """Byte spans that lie in one run without white space: ``hex``, and candidates that parse."""
+    """Byte spans that lie in one run without white space: ``hex``, and signed tokens."""
     found = [(m.start(), m.end(), "hex") for m in HEX.finditer(text, start, end) if m.end() - m.start() >= LEAST_HEX]
-    for m in HEX_RUN.finditer(text, start, end):
-        digits = m[0][: len(m[0]) // 2 * 2]
-        if kind := _key_kind(bytes.fromhex(digits.decode())):
-            found.append((m.start(), m.start() + len(digits), kind))
-    for m in BASE64_RUN.finditer(text, start, end):
-        if kind := _key_kind(_decode64(m[0])):
-            found.append((m.start(), m.end(), kind))
-    found += [(m.start(), m.end(), "jwt") for m in TOKEN_RUN.finditer(text, start, end) if is_signed_token(m[0])]
-    return found
+    return found + token_spans(text, start, end) if text.count(b".", start, end) >= 2 else found
 
 
 def armoured_spans(text: bytes) -> list[tuple[int, int, str]]:
@@ -183,9 +268,13 @@ def armoured_spans(text: bytes) -> list[tuple[int, int, str]]:
 
 def find_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """All spans of a UTF-8 text in code points, by start, then kind; ``runs``: its long runs without white space."""
-    found = base_spans(text) + armoured_spans(text)
+    armour = armoured_spans(text)
+    found = base_spans(text) + armour
     for start, end in runs:
         found += run_spans(text, start, end)
+    found += key_spans(text, runs, armour, HEX_RUN, HEX_BLOCK, HEX_START, _hex_bytes, 4)
+    found += [(a, PADDING.match(text, b).end(), kind)
+              for a, b, kind in key_spans(text, runs, armour, BASE64_RUN, BASE64_BLOCK, BASE64_START, _base64_bytes, 6)]
     if not found:
         return []
     chars = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])

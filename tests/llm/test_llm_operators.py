@@ -348,6 +348,32 @@ def test_op9_confirms_structure():
     assert secrets.mask_text("a bb c", [(2, 4, "x"), (3, 4, "y")]) == "a [secret] c"
 
 
+def test_op9_wrapped_and_glued():
+    """Keys over several lines without armour, glued keys and tokens, and the shortest hex keys."""
+    b64 = base64.b64encode(RSA).decode()
+    openssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b""))
+    openssh += (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"s" * 136))
+    ssh = base64.b64encode(openssh).decode()
+    ec = der(0x30, der(2, b"\1") + der(4, bytes(range(32))))
+    assert len(ec) == 39
+
+    def wrap(x, width, sep="\n"):
+        return sep.join(x[i : i + width] for i in range(0, len(x), width))
+    for key, kind in ((b64, "der"), (RSA.hex(), "der"), (RSA.hex().upper(), "der"), (ssh, "openssh"), (openssh.hex(), "openssh"),
+                      (ec.hex(), "der"), (ec.hex().upper(), "der"), (base64.b64encode(ec).decode(), "der")):
+        for body in (key, wrap(key, 64), wrap(key, 76), wrap(key, 64, "\r\n"), wrap(key, 64, "\n    ")):
+            for before, after in (("", ""), ("\u00fc words\n", "\nand more words"), ("/etc/keys/", ""), ("key_", " end"), ("x.", "\n\nend")):
+                text = before + body + after
+                spans = [x for x in secrets.column_spans(pa.array([text]))[0] if x[2] in ("der", "openssh")]
+                assert spans == [(len(before), len(before) + len(body), kind)], (key[:8], before, after)
+        assert secrets.mask_text(f"a {wrap(key, 64)} b", secrets.column_spans(pa.array([f"a {wrap(key, 64)} b"]))[0]) == "a [secret] b"
+    for before in ("", "a.", "id_", "x-", "a.b.", "Bearer:", "v1/"):
+        spans = [x for x in secrets.column_spans(pa.array([before + TOKEN + " x"]))[0] if x[2] == "jwt"]
+        assert spans == [(len(before), len(before) + len(TOKEN), "jwt")], before
+    cut = [wrap(b64, 64)[:-8], wrap(b64, 64).replace("\n", "\n;", 1), "a.b.c " + TOKEN[3:], RSA.hex()[:-2]]
+    assert not [x for found in secrets.column_spans(pa.array(cut)) for x in found if x[2] in ("der", "openssh", "jwt")]
+
+
 def test_op10_forward_backward():
     rng = np.random.default_rng(6)
     model = toxicity.Model(np.zeros(1 << toxicity.BITS), rng.normal(size=(3, 2)))
