@@ -222,6 +222,33 @@ def test_op5_method_on_held_out_urls(spark):
     assert np.mean([(r.block_share >= 0.5) == (r.verdict == "block") for r in rows]) > 0.8
 
 
+def test_op5_counts_all_pages(spark, monkeypatch):
+    """Suffixes and segments are counted over all pages, whatever the trees' sample and the way the counts are joined."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    urls = [(p, u, *brute_url(u)) for p, u in pages.collect()]
+    ends = {p: (h.rpartition(".")[2], s.lstrip("/").partition("/")[0]) for p, _, h, s, *_ in urls}
+    expected = {}
+    for part, value in ((k, e[k]) for e in set(ends.values()) for k in (0, 1)):
+        rows = [v for p, *_, v in urls if ends[p][part] == value]
+        expected[part, value] = (len(rows), sum(v is not None for v in rows), rows.count("block"))
+    model = url_filter.fit(pages, rows=40)
+    assert Counter(tuple(r)[1:] for r in model.counts.table.collect()) == Counter(expected.values())
+    assert any(n and not judged for n, judged, _ in expected.values())
+
+    def features(model):
+        found = url_filter.described(pages, "url", url_filter.RULES, "u")
+        return {r.page_id: r.v.toArray().tolist()[-4:] for r in url_filter.with_suffix(found, "u", model.counts, 0.5, "v").collect()}
+    got = features(model)
+    assert len(got) == len(urls)
+    for p, values in got.items():
+        (n, judged, bad), (m, judged_m, bad_m) = (expected[k, ends[p][k]] for k in (0, 1))
+        assert np.allclose(values, [(bad + 5) / (judged + 10), np.log1p(n), (bad_m + 5) / (judged_m + 10), np.log1p(m)])
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+    for common in (1, 3, 10_000):
+        monkeypatch.setattr(url_filter, "COMMON", common)
+        assert features(url_filter.fit(pages, rows=40)) == got
+
+
 def test_op6(spark, tables):
     from tokenizers import Tokenizer
 
