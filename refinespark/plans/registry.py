@@ -356,7 +356,7 @@ def q_constrain_candidates(spark, sf):
     lines = lines.withColumn("line", F.struct("conv_id", "turn", "cand"))
     ids = voc.pad_truncate(voc.encode_tokens(lines, "line", "reply", _vocab(spark, sf), out="ids"), "ids", 37)
     cands = lines.join(ids, "line").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("qid"), F.col("cand").cast("int"), "reply",
+        src.turn_id().alias("qid"), F.col("cand").cast("int"), "reply",
         (-F.col("cand")).cast("double").alias("score"), "ids")
     return generate.constrain_candidates(cands, None, min_length=5, max_length=36, n_best=5).drop("ids")
 

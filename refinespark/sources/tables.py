@@ -7,7 +7,7 @@ stage, so it must be explicit before one).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,23 @@ PAIR_SCHEMA = T.StructType([
 ])
 
 
+# Fixed values of ``turn_id``: turns below SHORT keep the short id; the others lie from 2^62 on.
+SHORT, WIDE_CONV, WIDE_TURN = 100, 1 << 32, 1 << 30
+
+
+def turn_id(conv_id: str = "conv_id", turn: str = "turn") -> Column:
+    """One id per (conv_id, turn): conv_id * 100 + turn below turn 100, else 2^62 + conv_id * 2^30 + turn.
+
+    Both ranges are checked, so that no two turns share an id; a turn that fits neither raises an error.
+    """
+    c, t = F.col(conv_id).cast("long"), F.col(turn).cast("long")
+    short = (t >= 0) & (t < SHORT) & (c > -(1 << 55)) & (c < 1 << 55)  # |id| below 2^62
+    wide = (t >= SHORT) & (t < WIDE_TURN) & (c >= 0) & (c < WIDE_CONV)
+    return (F.when(c.isNull() | t.isNull(), F.lit(None).cast("long"))
+            .when(short, c * SHORT + t).when(wide, F.lit(1 << 62) + c * WIDE_TURN + t)
+            .otherwise(F.raise_error(F.concat_ws(" ", F.lit("no id for conversation and turn"), c, t)).cast("long")))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -83,7 +100,7 @@ def conversation_pairs(spark: SparkSession, sf_dir: str, dense_turns: bool | Non
         t = conv.select("conv_id", "turn", "role", F.col("text").alias("q"),
                         F.lead("text").over(w).alias("a"), F.lead("role").over(w).alias("nr")) \
                 .where((F.col("role") == "user") & (F.col("nr") == "assistant"))
-    return t.select((F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"), "q", "a")
+    return t.select(turn_id().alias("pair_id"), "q", "a")
 
 
 def passages(pairs: DataFrame) -> DataFrame:
@@ -95,7 +112,7 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User lines as a bounded table (the stream form is in ``streaming``)."""
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return (conv.where(F.col("role") == "user")
-                .select((F.col("conv_id") * 100 + F.col("turn")).alias("utt_id"), "text"))
+                .select(turn_id().alias("utt_id"), "text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

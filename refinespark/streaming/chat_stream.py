@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.chat import chat_retriever
 from ..session import shared_dir
+from ..sources.tables import turn_id
 
 UTTERANCE_SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -25,7 +26,7 @@ def utterance_stream(spark: SparkSession, source_dir: str, max_files_per_trigger
     raw = (spark.readStream.schema(UTTERANCE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
                 .parquet(source_dir))
     return raw.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("utt_id"), "text")
+        turn_id().alias("utt_id"), "text")
 
 
 def run_chat_stream(spark: SparkSession, stream: DataFrame, pairs: DataFrame, encoder, name: str,
