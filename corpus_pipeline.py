@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from refinespark.llm.common import fresh_names, written
 from refinespark.llm.decontaminate import drop_contaminated
-from refinespark.llm.pieces import encode
+from refinespark.llm.pieces import decode, encode
 from refinespark.llm.quality import keep_quality
 from refinespark.llm.secrets import mask_secrets
 from refinespark.llm.simhash import keep_one
@@ -42,12 +42,14 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the sampled piece ids of their text and their number."""
+    """All documents with the sampled piece ids of their text and their number; a text that they do not give back is an error."""
     import public_tokenizers
 
-    ids, n_tokens = fresh_names(docs, ["ids", "n_tokens"])
-    found = encode(docs, public_tokenizers.path("piece_bpe_32k.model"), "doc_id", out=ids)
-    return found.withColumn(n_tokens, F.size(ids).cast("long"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids, n_tokens, back = fresh_names(docs, ["ids", "n_tokens", "decoded"])
+    found = decode(written(encode(docs, model, "doc_id", out=ids), "pieces"), model, ids_col=ids, out=back)
+    changed = F.raise_error(F.concat(F.lit("pieces do not give back the text of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return found.select(*docs.columns, ids, F.when(F.col(back).eqNullSafe(F.col("text")), F.size(ids)).otherwise(changed.cast("int")).cast("long").alias(n_tokens))
 
 
 STAGES = [

@@ -452,4 +452,19 @@ def test_pipeline(spark, tables):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_pipeline_decodes_its_pieces(spark, monkeypatch):
+    """The last stage decodes what it wrote; a text that does not come back stops it."""
+    docs = spark.createDataFrame([(1, "some  words, Ünï ▁ cödé"), (2, ""), (3, None), (None, "x y")], "doc_id bigint, text string")
+    got = corpus_pipeline.sentencepiece_encoding(spark, docs, SMALL)
+    assert got.columns == ["doc_id", "text", "ids", "n_tokens"] and rows_of(got, "doc_id", "text") == rows_of(docs, "doc_id", "text")
+    assert got.filter("text is not null and n_tokens != size(ids)").isEmpty()
+
+    def lossy(df, *args, out, **kw):
+        return encode(df, *args, out=out, **kw).withColumn(out, F.expr(f"slice({out}, 1, size({out}) - 1)"))
+    encode = corpus_pipeline.encode
+    monkeypatch.setattr(corpus_pipeline, "encode", lossy)
+    with pytest.raises(Exception, match="do not give back the text of document"):
+        corpus_pipeline.sentencepiece_encoding(spark, docs.filter("text != ''"), SMALL).collect()
+
+
 DOCS_COLUMNS = [x.split()[0] for x in DOCS.split(", ")]
