@@ -1,8 +1,10 @@
-"""Registered queries of the ten operators and their DuckDB twins (where SQL can express them)."""
+"""Registered queries of the operators and their DuckDB twins (where SQL can express them)."""
 
 from __future__ import annotations
 
 from refinespark.llm.decontaminate import op1_decontaminate
+from refinespark.llm.merkle import ORACLE_SQL as MERKLE_SQL, op13_merkle_manifest
+from refinespark.llm.periodic import op12_periodic_runs
 from refinespark.llm.pieces import op8_sentencepiece_sampling
 from refinespark.llm.quality import op7_quality_rules
 from refinespark.llm.secrets import op9_secret_scan
@@ -24,6 +26,10 @@ QUERIES = {
     "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_merkle_manifest": MERKLE_SQL,
+}
