@@ -228,11 +228,11 @@ def proofs(rows: DataFrame, fan: int = FAN, depth: int = DEPTH) -> DataFrame:
     lower = tree(leaves, sizes[0] or 0, ["id", "presented"], fan, depth)
     one = lower.top.select(F.lit(0).cast("bigint").alias("grp"), F.lit(sizes[1]).cast("bigint").alias("total"), F.col("grp").alias("place"), "digest")
     upper = tree(one, sizes[1], [], fan, depth)
-    root = upper.top.select(F.lit(True).alias("any"), F.col("digest").alias("root"))  # one row
+    root = upper.top.select("digest").scalar()  # one row
     group_paths = node_paths(upper.stages[0], upper.block_paths(), fan, depth).select(F.col("place").alias("grp"), "path")
     group_paths = written(group_paths, "group-paths")
     above = lower.block_paths(group_paths)
-    tops_of = lower.top.select("grp", F.col("digest").alias("subroot")).withColumn("any", F.lit(True)).join(root, "any").drop("any")
+    tops_of = lower.top.select("grp", F.col("digest").alias("subroot")).withColumn("root", root)
     blocks = (lower.stages[0].join(above, ["grp", "block"]).join(tops_of, "grp")
               .select("total", "nodes", "path", "subroot", "root"))
 

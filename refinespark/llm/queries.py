@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from refinespark.llm.decontaminate import op1_decontaminate
+from refinespark.llm.jaccard import ORACLE_SQL as JACCARD_SQL, op11_ngram_jaccard
 from refinespark.llm.merkle import ORACLE_SQL as MERKLE_SQL, op13_merkle_manifest
 from refinespark.llm.periodic import op12_periodic_runs
 from refinespark.llm.pieces import op8_sentencepiece_sampling
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_ngram_jaccard": op11_ngram_jaccard,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_ngram_jaccard": JACCARD_SQL,
     "op13_merkle_manifest": MERKLE_SQL,
 }
