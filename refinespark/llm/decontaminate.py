@@ -180,4 +180,4 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     hits = F.col("benchmark_hits")
     return find_benchmark(docs, benchmark).select(
         "doc_id", hits["n_words"].alias("n_words"), hits["n_hit"].alias("n_hit"), F.size(hits["items"]).cast("long").alias("n_items"),
-        F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"), (hits["n_hit"] > 0).alias("contaminated"), hits["spans"].alias("spans"))
+        F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"), (hits["n_hit"] > 0).alias("contaminated"))

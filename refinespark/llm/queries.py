@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from refinespark.llm import oracles
 from refinespark.llm.decontaminate import op1_decontaminate
 from refinespark.llm.jaccard import ORACLE_SQL as JACCARD_SQL, op11_ngram_jaccard
 from refinespark.llm.merkle import ORACLE_SQL as MERKLE_SQL, op13_merkle_manifest
@@ -33,6 +34,9 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": oracles.DECONTAMINATE,
+    "op2_substring_dedup": oracles.SUBSTRINGS,
+    "op7_quality_rules": oracles.QUALITY,
     "op11_ngram_jaccard": JACCARD_SQL,
     "op13_merkle_manifest": MERKLE_SQL,
 }

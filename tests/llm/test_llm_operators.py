@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from refinespark.llm import pieces, quality, secrets, simhash, substrings, token_files, toxicity, url_filter, warc
+from refinespark.llm import decontaminate, pieces, quality, secrets, simhash, substrings, token_files, toxicity, url_filter, warc
 from refinespark.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -101,7 +101,8 @@ def test_op1(spark, tables):
         expected[doc, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0] += 1
     got = QUERIES["op1_decontaminate"](spark, folder)
     assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == expected
-    span = got.filter("doc_id = 9013").first()["spans"][0]
+    found = decontaminate.find_benchmark(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    span = found.filter("doc_id = 9013").first()["benchmark_hits"]["spans"][0]
     assert dict(docs)[9013][span["start"] : span["end"]].split()[0] == benchmark[0][1].split()[0]
 
 

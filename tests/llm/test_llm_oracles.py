@@ -1,0 +1,47 @@
+"""The registered queries of the subpackage: DuckDB twins where there are any, plans, and evidence for each query."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as E
+import corpus_pipeline
+from check_oracle import TABLES, digest
+from refinespark.llm.queries import ORACLES, QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_duckdb(spark, con, name):
+    df = E.queries()[name](spark, SMALL)
+    rows = [tuple(r) for r in df.collect()]
+    result = con.execute(E.oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert digest(df.columns, rows) == digest(columns, result.fetchall())
+
+
+def test_every_query_has_sql_or_a_test_of_its_own():
+    folder = os.path.dirname(os.path.abspath(__file__))
+    tests = "".join(open(f).read() for f in glob.glob(f"{folder}/test_*.py") if f != os.path.abspath(__file__))
+    for name in QUERIES:
+        assert name in ORACLES or name in tests, name
+    assert set(E.queries()) >= {*QUERIES, "pipeline"} and [n for n, _ in corpus_pipeline.STAGES] == [
+        "quality_rules", "simhash_near_dedup", "decontamination", "secret_masking", "sentencepiece_encoding"]
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_cartesian_plan(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
