@@ -4,7 +4,7 @@ A text's set holds the hashes of its different ``WIDTH``-word shingles.  Equal s
 one comparison.  Two sets link when ``den * intersection >= num * union``.  Hence (with u = a + b - i):
 
 * sizes bound a link: ``den * a >= num * b`` for a <= b.  Classes are sorted by size and cut into tiles of one
-  bitmap width and at most ``TILE`` classes; only tiles with compatible sizes meet (an equi-join on size bands);
+  bitmap width and a bounded number of classes; only tiles with compatible sizes meet (an equi-join on size bands);
 * a signature is a bitmap of the parities of hashed shingles, at least as many bits as shingles.  A bit differs only if
   the sets differ there, so the bit count of the exclusive-or is at most the symmetric difference, and bounds
   the overlap from above.  Half the width, by folding, decides nearly all pairs; the rest are decided at full width.
@@ -21,9 +21,9 @@ Null, empty and word-less texts: an empty set, linked with nothing, a component
 ``WIDTH``: the whole sequence is one shingle.  A null id names no component unless it has no other id.  Repeated rows
 and ids: every row is returned.  Empty tables give empty results; extra columns change nothing.
 
-Memory: two tiles at a time (``TILE`` bitmaps, or ``SETS`` arrays of ``SET_BYTES`` in all, one larger set apart).
+Memory: two tiles at a time (``TILE_MOST`` bitmaps at most, or ``SETS`` arrays of ``SET_BYTES`` in all, one larger set apart).
 The work of the bitmap comparison grows with the square of the number of different sets within a size band, spread
-over pairs of tiles; nothing but tile heads is exploded, and bytes are joined last.
+over pairs of tiles; nothing but tile heads is exploded, bytes are joined last, and what is sent grows with the power 1.5.
 """
 
 from __future__ import annotations
@@ -42,11 +42,14 @@ from refinespark.llm.periodic import word_numbers
 from refinespark.llm.simhash import merge
 
 WIDTH, NUM, DEN = 4, 85, 100
-TILE = 8_192
+#: Classes of a tile: so many times the root of the number of classes, within these bounds (a tile is sent to each tile that it meets).
+TILE_FACTOR, TILE_LEAST, TILE_MOST = 16, 4_096, 1 << 20
 SETS, SET_BYTES = 1_024, 8 << 20
 CELLS = 1 << 20
 #: Pairs of tile heads of one size band are formed in so many parts.
 PARTS = 32
+#: Bits of the filter that keeps texts of no candidate out of the shuffle (a longer list of candidates only lets more texts pass).
+FILTER_BITS = 1 << 20
 #: A class of more than one in so many rows is common: under ``COMMON`` of them exist, whatever the corpus.
 COMMON = 1_000
 _SEED = 0x4A616363
@@ -131,7 +134,7 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 # --- tiles -----------------------------------------------------------------------------------------
 
 
-def _pack(rows: DataFrame, payload: str, most: int, most_bytes: int) -> DataFrame:
+def _pack(rows: DataFrame, payload: str, most: int, most_bytes: int, parts: int) -> DataFrame:
     """(grp, head, least, largest, members, sizes, payload): tiles of rows (grp, n, member, payload).
 
     Sorted by (grp, n, member) and dealt by ranges of these; a tile has one group, one bitmap width, at most ``most``
@@ -164,8 +167,7 @@ def _pack(rows: DataFrame, payload: str, most: int, most_bytes: int) -> DataFram
         if members:
             yield tile(key, members, sizes, parts)
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.select("grp", "n", "member", payload).repartitionByRange(n, "grp", "n", "member").sortWithinPartitions("grp", "n", "member")
+    return (rows.select("grp", "n", "member", payload).repartitionByRange(parts, "grp", "n", "member").sortWithinPartitions("grp", "n", "member")
             .mapInArrow(run, "grp bigint, head bigint, least bigint, largest bigint, members binary, sizes binary, payload binary"))
 
 
@@ -306,10 +308,25 @@ def verified_star(num: int, den: int):
 # --- join ------------------------------------------------------------------------------------------
 
 
+def _filter_place(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).cast("int")
+
+
+def _filter_words(rows: DataFrame, columns: list[str]) -> Column:
+    """A bit for the hash of each row, in ``FILTER_BITS`` / 64 numbers: a scalar of fixed size."""
+    place = _filter_place(*columns)
+    some = rows.groupBy((place / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place % 64)).alias("bits"))
+    every = rows.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("w")).join(some, "w", "left")
+    in_order = F.array_sort(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return every.agg(F.transform(in_order, lambda x: x["bits"])).scalar()
+
+
 def _arrays(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(grp, n, member, payload): sorted arrays of the classes in ``wanted`` (grp, member, n, lo, hi, row_id, row_hash), from their text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    found = (rows.join(wanted, F.col("id").eqNullSafe(F.col("row_id")) & (F.col("text_hash") == F.col("row_hash")))
+    words, place = _filter_words(wanted, ["row_id", "row_hash"]), _filter_place("id", "text_hash")
+    rows = rows.filter(F.getbit(F.element_at(words, (place / 64).cast("int") + 1), place % 64) == 1)
+    found = (rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("row_id")) & (F.col("text_hash") == F.col("row_hash")))
              .select("grp", "n", "member", "text", "lo", "hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,11 +353,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                   F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("row")))
     classes = written(named.select(F.monotonically_increasing_id().alias("member"), "lo", "hi", "least", "rows", "n", "signs",
                                    F.col("row.id").alias("row_id"), F.col("row.text_hash").alias("row_hash")), "classes")
-    bitmaps = written(_pack(classes.withColumn("grp", F.lit(0).cast("bigint")), "signs", TILE, 64 << 20), "tiles")
+    most = min(TILE_MOST, max(TILE_LEAST, int(TILE_FACTOR * classes.count() ** 0.5)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bitmaps = written(_pack(classes.withColumn("grp", F.lit(0).cast("bigint")), "signs", most, 256 << 20, max(parts // 4, 4)), "tiles")
     candidates = components(_edges(bitmaps, candidate_star(num, den), num, den))
     wanted = (candidates.join(classes.drop("signs"), candidates["node"] == classes["member"])
               .select(F.col("label").alias("grp"), "member", "n", "lo", "hi", "row_id", "row_hash"))
-    arrays = written(_pack(_arrays(docs, written(wanted, "wanted"), id_col, text_col, width), "payload", SETS, SET_BYTES), "arrays")
+    rows = written(_arrays(docs, written(wanted, "wanted"), id_col, text_col, width), "arrays")
+    arrays = written(_pack(rows, "payload", SETS, SET_BYTES, parts), "array-tiles")
     linked = components(_edges(arrays, verified_star(num, den), num, den))
     least = linked.join(classes.select("member", "least"), linked["node"] == F.col("member")).groupBy("label").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "label").select(F.col("node").alias("member"), "component_id")

@@ -68,7 +68,8 @@ SCHEMA = "doc_id long, text string"
 @pytest.mark.parametrize("small", [False, True])
 def test_components_equal_brute_force(spark, monkeypatch, small):
     if small:  # many tiles, groups over several tiles, few rows a comparison step
-        monkeypatch.setattr(jaccard, "TILE", 7)
+        monkeypatch.setattr(jaccard, "TILE_MOST", 7)
+        monkeypatch.setattr(jaccard, "FILTER_BITS", 64)
         monkeypatch.setattr(jaccard, "SETS", 3)
         monkeypatch.setattr(jaccard, "CELLS", 16)
     rows = documents(1 + small)
@@ -77,7 +78,7 @@ def test_components_equal_brute_force(spark, monkeypatch, small):
 
 def test_one_group_of_near_copies_over_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SETS", 8)
-    monkeypatch.setattr(jaccard, "TILE", 16)
+    monkeypatch.setattr(jaccard, "TILE_MOST", 16)
     rng = random.Random(3)
     base = [f"v{i}" for i in range(120)]
     rows = [(i, " ".join(edited(rng, base, 0.03))) for i in range(160)]  # links come and go: chains join most of them
