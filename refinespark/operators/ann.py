@@ -1,159 +1,195 @@
 """Clustered, quantised search: IVF cells + per-dimension scalar codes.
 
-The index is two tables instead of an opaque file:
-
-* ``centroids(cell INT, vec ARRAY<DOUBLE>)`` - coarse cells by L2;
-* ``codes(pid, cell, code ARRAY<SMALLINT>)`` - every vector in its nearest
-  cell, quantised per dimension; written ``partitionBy("cell")`` so a probe
-  reads only the cells it needs.
-
-Centroids and the quantiser bounds are small and bounded by their
-parameters (``nlist`` x d and 2 x d numbers); they reach every row as
-scalar subqueries, never through a join.  Search = nearest ``nprobe``
-cells per query -> query groups per cell joined to blocks of that cell's
-codes on (cell, sub) -> numpy scoring of decoded codes -> top-k.
+The index is three small-to-large tables instead of an opaque file:
+
+* ``centroids(cell, vec, n, radius)`` - coarse cells by L2, the vectors each holds and how far the farthest (as decoded
+  from its code) lies from the centroid;
+* ``bounds(lo, hi)`` - one row, the quantiser's range per dimension;
+* ``lists(pids, codes, cell)`` - blocks of one cell each, sorted, written once ``partitionBy("cell")``.
+
+A search reads probed cells only: their numbers are a partition filter of the list scan, and the query groups are sent
+to the lists (broadcast up to a checked size, in several waves beyond it), so nothing is shuffled between
+the scan and the scoring.  By default probing is bounded: the nearest cells give each query a k-th score, and then
+exactly those unread cells are read that can hold a better vector by the triangle inequality on centroid distance and
+radius.  The result is that of reading every cell: the search is exact over the stored codes.  ``nprobe`` asks for a
+fixed number of nearest cells instead.
+
+Scores need no decoding.  A code is linear in its number, so a query's table of partial scores per dimension and code
+(asymmetric distance) is a slope and an offset: ``q . x = q . lo + sum(q * step * code)``, and with the code's own
+squared norm the same holds for L2.
+
+Model parameters (nlist x d centroids, 2 x d bounds) are the only things that the driver collects.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from typing import Iterator
-
-import numpy as np
-import pyarrow as pa
-
-from ..functions.vectors import SCORE_DECIMALS, l2sq
-from ..session import ensure_arrow_limits, materialise, shared_dir
-from .exact import HIT_SCHEMA, _final_rank, _matrix, _TopK
 from ..functions.text import hash32
+from ..session import ensure_arrow_limits, materialise, shared_dir
+from .exact import DEFAULT_BROADCAST_BYTES, HIT_SCHEMA, METRICS, _final_rank, _matrix, _TopK
 from .sampling import DEFAULT_SEED
 
 # Distances are rounded to this many places before the arg-min, so both
 # engines pick the same cell on near-ties; ties go to the lower cell.
 ASSIGN_DECIMALS = 9
 DEFAULT_LIST_ROWS = 2048
-LAMBDA_MAX_CELLS = 256            # up to this many cells: nearest cells with JVM lambdas
-MAX_CENTROID_BYTES = 512 << 20     # broadcast bound of the centroid matrix
 DEFAULT_QUERY_GROUP_ROWS = 2048
+# Partial rows of one key that one step of a tree merge sees.
+MERGE_FAN_IN = 64
+# Centroids compared at once with an Arrow batch of vectors (bounds the distance matrix of a task).
+CENTROID_STEP = 4096
+# Cells that hold at least k vectors are read before any bound is known; this many at least.
+FIRST_CELLS = 1
+# Scores closer than this to a bound are read (rounding of the scores and of the bounds).
+BOUND_SLACK = 2e-6
 
 
 @dataclass
 class IvfIndex:
-    """centroids(cell, vec); lists(cell, sub, lst ARRAY<STRUCT<pid, code>>) = the stored layout."""
+    """Stored tables of an index, and the quantiser's bounds (``bits`` 0: the lists hold the vectors themselves)."""
     centroids: DataFrame
     lists: DataFrame
-    lo: Column
-    hi: Column
+    lo: np.ndarray
+    hi: np.ndarray
     bits: int
     nlist: int
 
     @property
     def codes(self) -> DataFrame:
         """(pid, cell, code) view of the inverted lists."""
-        return (self.lists.select("cell", F.explode("lst").alias("e"))
-                    .select(F.col("e.pid").alias("pid"), "cell", F.col("e.code").alias("code")))
+        bits, kind = self.bits, "array<smallint>" if self.bits else "array<float>"
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for cell, pids, codes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    ids = np.frombuffer(pids, np.int64)
+                    mat = _codes(codes, len(ids), bits)
+                    mat = mat.astype(np.int16) if bits else mat
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * mat.shape[1]), pa.array(mat.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), cell, np.int32)), flat], names=["pid", "cell", "code"])
+        return self.lists.select("cell", "pids", "codes").mapInArrow(unpack, f"pid long, cell int, code {kind}")
+
+
+def _codes(raw: bytes, n: int, bits: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if bits else np.float32).reshape(n, -1)
+
+
+# ------------------------------------------------------------------ cells
+def _centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, nlist x d) in cell order: bounded model parameters, like MLlib's cluster centres."""
+    rows = sorted(centroids.select("cell", "vec").collect())
+    return np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.float64)
 
 
-def _centroid_array(centroids: DataFrame) -> Column:
-    return centroids.agg(F.array_sort(F.collect_list(F.struct("cell", "vec")))).scalar()
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared L2 distances (n, nlist), rounded; the centroids in steps."""
+    x2 = np.einsum("ij,ij->i", x, x)[:, None]
+    parts = []
+    for at in range(0, len(c), CENTROID_STEP):
+        part = c[at:at + CENTROID_STEP]
+        parts.append(x2 + np.einsum("ij,ij->i", part, part)[None, :] - 2.0 * (x @ part.T))
+    return np.round(np.maximum(np.concatenate(parts, axis=1), 0.0), ASSIGN_DECIMALS)
 
 
-def with_nearest_cells(df: DataFrame, vec: str, centroids: DataFrame, n: int = 1,
-                       out: str = "cells", method: str = "auto", nlist: int | None = None) -> DataFrame:
-    """Add ARRAY<INT> ``out``: the n nearest cells by L2 (distance rounded, then cell).
+def _nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n nearest centroids of each vector, nearest first; ties to the lower place."""
+    d = _distances(x, c)
+    if n == 1:
+        return d.argmin(axis=1)[:, None]
+    return np.argsort(d, axis=1, kind="stable")[:, :n]
 
-    ``lambda``: the centroid array (a scalar subquery, projected as a column
-    first because subqueries may not sit inside a lambda) is scanned with
-    JVM lambdas - no Python hop, right for small nlist x d.
-    ``arrow``: the centroid matrix (nlist x d, bounded by the index
-    parameters and checked) is broadcast once and every Arrow batch of
-    vectors is scored with one matrix product - for large nlist.
-    ``auto`` picks ``lambda`` for at most LAMBDA_MAX_CELLS cells (``nlist``
-    as known to the caller; counted when not given).
+
+def with_nearest_cells(df: DataFrame, vec: str, centroids: DataFrame, n: int = 1, out: str = "cells") -> DataFrame:
+    """Add ARRAY<INT> ``out``: the n nearest cells by L2 (distance rounded, then cell); null for a null vector.
+
+    The centroid matrix (nlist x d, bounded by the index parameters) is broadcast once and every Arrow batch
+    is compared with it by matrix products.
     """
-    if method == "auto":
-        cells = nlist if nlist is not None else centroids.count()
-        method = "lambda" if cells <= LAMBDA_MAX_CELLS else "arrow"
-    if method == "arrow":
-        return _nearest_arrow(df, vec, centroids, n, out)
-    with_c = df.withColumn("_cents", _centroid_array(centroids))
-    dists = F.transform("_cents", lambda c: F.struct(F.round(l2sq(F.col(vec), c["vec"]), ASSIGN_DECIMALS)
-                                                     .alias("d"), c["cell"].alias("cell")))
-    return with_c.withColumn(out, F.transform(F.slice(F.array_sort(dists), 1, n),
-                                              lambda x: x["cell"])).drop("_cents")
-
-
-def _nearest_arrow(df: DataFrame, vec: str, centroids: DataFrame, n: int, out: str) -> DataFrame:
     spark = df.sparkSession
     ensure_arrow_limits(spark)
-    shape = centroids.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    if shape[0] * shape[1] * 8 > MAX_CENTROID_BYTES:
-        raise ValueError(f"{shape[0]} x {shape[1]} centroids exceed the broadcast bound")
-    # bounded model parameters (like MLlib's cluster centres): one copy per executor
-    rows = centroids.select("cell", "vec").collect()
-    cells = np.array([r["cell"] for r in rows], dtype=np.int32)
-    mat = np.array([r["vec"] for r in rows], dtype=np.float64)
-    shared = spark.sparkContext.broadcast((cells, mat))
+    shared = spark.sparkContext.broadcast(_centroid_matrix(centroids))
     schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.IntegerType()))])
     idx = df.columns.index(vec)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell_ids, c = shared.value
-        c2 = np.einsum("ij,ij->i", c, c)
-        take = min(n, len(cell_ids))
+        cells, c = shared.value
+        take = min(n, len(cells))
         for b in batches:
-            x, _ = _matrix(b.column(idx))
-            x = x.astype(np.float64)
-            d = np.einsum("ij,ij->i", x, x)[:, None] + c2[None, :] - 2.0 * (x @ c.T)
-            d = np.round(np.maximum(d, 0.0), ASSIGN_DECIMALS)
-            order = np.lexsort((np.broadcast_to(cell_ids, d.shape), d), axis=-1)[:, :take]
-            picked = cell_ids[order]
-            lst = pa.ListArray.from_arrays(pa.array(np.arange(len(picked) + 1, dtype=np.int32) * take),
-                                           pa.array(picked.ravel()))
-            yield pa.RecordBatch.from_arrays(list(b.columns) + [lst], schema=pa.schema(
-                list(b.schema) + [pa.field(out, pa.list_(pa.int32()))]))
+            some = b.column(idx).is_valid()
+            x, _ = _matrix(b.column(idx).filter(some))
+            picked = cells[_nearest(x.astype(np.float64), c, take)] if len(x) else np.zeros((0, take), np.int32)
+            ends = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False) * take)]).astype(np.int32)
+            null = np.append(~some.to_numpy(zero_copy_only=False), False)
+            lst = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=null), pa.array(picked.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(b.columns) + [lst], schema=pa.schema(list(b.schema) + [pa.field(out, pa.list_(pa.int32()))]))
+
+    return df.mapInArrow(assign, schema)
+
+
+def tree_merge(partial: DataFrame, keys: list[str], merge: Callable[[pa.Table], list[pa.Array]], name: str) -> DataFrame:
+    """One row per ``keys`` out of the rows that tasks gave, tagged with their number in ``tag``.
+
+    A step merges at most ``MERGE_FAN_IN`` rows of a key, so no row or group grows with the number of tasks.
+    ``merge`` returns the one-row columns after ``keys`` and ``tag``.
+    """
+    partial = materialise(partial, name)
+    schema = partial.schema
+    tags = (partial.agg(F.max("tag")).first()[0] or 0) + 1
 
-    return df.where(F.col(vec).isNotNull()).mapInArrow(assign, schema)
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        head = [pa.array([x.as_py()], table.schema.field(n).type) for x, n in zip(key, [*keys, "tag"], strict=True)]
+        return pa.Table.from_arrays([*head, *merge(table)], names=[*keys, "tag", *[c for c in table.column_names if c not in keys and c != "tag"]])
 
+    while True:
+        order = [*keys, "tag", *[c for c in partial.columns if c not in keys and c != "tag"]]
+        partial = partial.select(*order).withColumn("tag", F.floor(F.col("tag") / MERGE_FAN_IN).cast("int"))
+        partial = partial.groupBy(*keys, "tag").applyInArrow(run, T.StructType([schema[c] for c in order]))
+        tags = math.ceil(tags / MERGE_FAN_IN)
+        if tags <= 1:
+            return partial.drop("tag")
 
-def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _stack(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.array(list(rows), pa.list_(pa.float64()))
+
+
+def _lloyd_sums(shared) -> Callable:
     """Per task: vector sum and count of every cell seen (at most nlist rows out)."""
-    sums: dict[int, np.ndarray] = {}
-    counts: dict[int, int] = {}
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        cells = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        x, _ = _matrix(b.column(1))
-        x = x.astype(np.float64)
-        for c in np.unique(cells):
-            rows = x[cells == c]
-            if c in sums:
-                sums[c] = sums[c] + rows.sum(axis=0)
-                counts[c] += len(rows)
-            else:
-                sums[c] = rows.sum(axis=0)
-                counts[c] = len(rows)
-    if sums:
-        keys = sorted(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int32()), pa.array([counts[k] for k in keys], pa.int64()),
-             pa.array([sums[k] for k in keys], pa.list_(pa.float64()))], names=["cell", "n", "s"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        cells, c = shared.value
+        sums, counts = np.zeros(c.shape), np.zeros(len(c), np.int64)
+        for b in batches:
+            x, _ = _matrix(b.column(0))
+            if len(x):
+                x = x.astype(np.float64)
+                place = _nearest(x, c, 1)[:, 0]
+                np.add.at(sums, place, x)
+                counts += np.bincount(place, minlength=len(c))
+        seen = np.flatnonzero(counts)
+        if len(seen):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cells[seen]), pa.array(np.full(len(seen), TaskContext.get().partitionId(), np.int32)), pa.array(counts[seen]), _lists(sums[seen])],
+                names=["cell", "tag", "n", "s"])
+    return run
 
-def _mean_by_cell(assigned: DataFrame) -> DataFrame:
-    """Mean vector per cell: numpy sums per task (nlist rows each), then one small merge per cell."""
-    partial = assigned.select(F.col("cell").cast("int"), F.col("vec").cast("array<float>")) \
-                      .mapInArrow(_partial_sums, "cell int, n long, s array<double>")
-    merged = partial.groupBy("cell").agg(F.sum("n").alias("n"), F.collect_list("s").alias("ss"))
-    total = F.aggregate(F.slice("ss", 2, F.greatest(F.size("ss") - 1, F.lit(0))), F.col("ss")[0],
-                        lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
-    return merged.select("cell", F.transform(total, lambda v: v / F.col("n")).alias("vec"))
+
+def _add_sums(table: pa.Table) -> list[pa.Array]:
+    return [pa.array([sum(table["n"].to_pylist())], pa.int64()), _lists(_stack(table["s"]).sum(axis=0)[None])]
 
 
 def ivf_train(vectors: DataFrame, nlist: int = 16, iters: int = 2, seed: int = DEFAULT_SEED,
@@ -162,17 +198,19 @@ def ivf_train(vectors: DataFrame, nlist: int = 16, iters: int = 2, seed: int = D
 
     ``hash_sample``: the ``nlist`` vectors first in seeded-hash order, then
     ``iters`` Lloyd steps (assign by L2, mean per cell; an empty cell keeps
-    its centroid).  Each step is one distributed aggregate over the vectors
-    and the small centroid table is checkpointed to cut lineage.
+    its centroid).  A step is one pass over the vectors that sums per task and cell, and a
+    tree merge of these sums; the small centroid table is written each step, which cuts lineage.
     ``kmeans``: ``pyspark.ml`` k-means|| on the same vectors.
+    Null vectors are left out.
     """
-    v = vectors.select(F.col(key).alias("pid"), F.col(vec).alias("vec"))
+    spark = vectors.sparkSession
+    ensure_arrow_limits(spark)
+    v = vectors.select(F.col(key).alias("pid"), F.col(vec).cast("array<float>").alias("vec")).where(F.col("vec").isNotNull())
     if method == "kmeans":
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
         feats = v.select(array_to_vector("vec").alias("features"))
         model = KMeans(k=nlist, seed=seed, maxIter=max(iters, 1)).fit(feats)
-        spark = vectors.sparkSession
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
         return spark.createDataFrame(rows, "cell int, vec array<double>")
     # the nlist vectors first in seeded-hash order: a top-n (per-partition top-n, then a merge of
@@ -180,20 +218,23 @@ def ivf_train(vectors: DataFrame, nlist: int = 16, iters: int = 2, seed: int = D
     h = hash32(F.concat(F.lit(f"{seed}:"), F.col("pid").cast("string")))
     first = v.select("pid", "vec", h.alias("_h")).orderBy("_h", "pid").limit(nlist)
     w = Window.orderBy("_h", "pid")  # over nlist rows only
-    cents = first.select((F.row_number().over(w) - 1).cast("int").alias("cell"),
-                         F.col("vec").cast("array<double>").alias("vec"))
-    for step in range(iters):
-        assigned = with_nearest_cells(v, "vec", cents, 1, nlist=nlist).select(F.col("cells")[0].alias("cell"), "vec")
-        means = _mean_by_cell(assigned)
-        cents = (cents.alias("o").join(means.alias("m"), "cell", "left")
-                      .select("cell", F.coalesce(F.col("m.vec"), F.col("o.vec")).alias("vec")))
-        # cut lineage: the small centroid table is written to the shared folder each step
-        cents = materialise(cents, "centroids")
+    cents = materialise(first.select((F.row_number().over(w) - 1).cast("int").alias("cell"),
+                                     F.col("vec").cast("array<double>").alias("vec")), "centroids")
+    for _ in range(iters):
+        shared = spark.sparkContext.broadcast(_centroid_matrix(cents))
+        partial = v.select("vec").mapInArrow(_lloyd_sums(shared), "cell int, tag int, n long, s array<double>")
+        merged = tree_merge(partial, ["cell"], _add_sums, "cell-sums")
+        means = merged.select("cell", F.transform("s", lambda x: x / F.col("n")).alias("mean"))
+        cents = materialise(cents.join(means, "cell", "left").select("cell", F.coalesce("mean", "vec").alias("vec")), "centroids")
+        shared.unpersist()
     return cents
 
 
+# -------------------------------------------------------------- quantiser
 def _partial_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: per-dimension min and max (one row out)."""
+    from pyspark import TaskContext
+
     lo = hi = None
     for b in batches:
         if b.num_rows == 0:
@@ -203,27 +244,26 @@ def _partial_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         lo = x.min(axis=0) if lo is None else np.minimum(lo, x.min(axis=0))
         hi = x.max(axis=0) if hi is None else np.maximum(hi, x.max(axis=0))
     if lo is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([lo], pa.list_(pa.float64())), pa.array([hi], pa.list_(pa.float64()))],
-                                         names=["lo", "hi"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), _lists(lo[None]), _lists(hi[None])],
+                                         names=["tag", "lo", "hi"])
 
 
-def sq_train(vectors: DataFrame, vec: str = "vec") -> tuple[Column, Column]:
-    """Per-dimension bounds (lo, hi) as two ARRAY<DOUBLE> scalar subqueries.
+def _merge_bounds(table: pa.Table) -> list[pa.Array]:
+    return [_lists(_stack(table["lo"]).min(axis=0)[None]), _lists(_stack(table["hi"]).max(axis=0)[None])]
 
-    Each task reduces its vectors to one (lo, hi) pair with numpy; the task
-    rows are merged element-wise.
-    """
+
+def sq_bounds(vectors: DataFrame, vec: str = "vec") -> DataFrame:
+    """Per-dimension bounds of all vectors: one row (lo, hi ARRAY<DOUBLE>), written; no row without vectors."""
+    ensure_arrow_limits(vectors.sparkSession)
     part = vectors.select(F.col(vec).cast("array<float>")).where(F.col(vec).isNotNull()) \
-                  .mapInArrow(_partial_bounds, "lo array<double>, hi array<double>")
-    merged = part.agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+                  .mapInArrow(_partial_bounds, "tag int, lo array<double>, hi array<double>")
+    return materialise(tree_merge(part, [], _merge_bounds, "partial-bounds"), "bounds")
 
-    def fold(col: str, pick):
-        rest = F.slice(col, 2, F.greatest(F.size(col) - 1, F.lit(0)))
-        return F.aggregate(rest, F.col(col)[0], lambda acc, x: F.zip_with(acc, x, pick))
 
-    lo = merged.select(fold("los", lambda a, b: F.least(a, b))).scalar()
-    hi = merged.select(fold("his", lambda a, b: F.greatest(a, b))).scalar()
-    return lo, hi
+def sq_train(vectors: DataFrame, vec: str = "vec") -> tuple[Column, Column]:
+    """The bounds (lo, hi) as two ARRAY<DOUBLE> scalar subqueries over the written row."""
+    bounds = sq_bounds(vectors, vec)
+    return bounds.select("lo").scalar(), bounds.select("hi").scalar()
 
 
 def sq_encode(df: DataFrame, vec: str, lo: Column, hi: Column, bits: int = 8, out: str = "code") -> DataFrame:
@@ -240,6 +280,17 @@ def sq_encode(df: DataFrame, vec: str, lo: Column, hi: Column, bits: int = 8, ou
     return b.withColumn(out, F.transform(vec, code)).drop("_lo", "_hi")
 
 
+def _encode(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int) -> np.ndarray:
+    """As ``sq_encode``, for a matrix of doubles."""
+    levels, width = float((1 << bits) - 1), hi - lo
+    raw = np.floor((x - lo) / np.where(width == 0, 1.0, width) * levels + 0.5)
+    return np.where(width == 0, 0.0, np.clip(raw, 0.0, levels)).astype(np.uint8)
+
+
+def _step(lo: np.ndarray, hi: np.ndarray, bits: int) -> np.ndarray:
+    return (hi - lo) / float((1 << bits) - 1)
+
+
 def sq_decode(df: DataFrame, code: str, lo: Column, hi: Column, bits: int = 8, out: str = "dvec") -> DataFrame:
     levels = float((1 << bits) - 1)
     b = df.withColumn("_lo", lo).withColumn("_hi", hi)
@@ -248,115 +299,270 @@ def sq_decode(df: DataFrame, code: str, lo: Column, hi: Column, bits: int = 8, o
     return b.withColumn(out, dec).drop("_lo", "_hi")
 
 
-def ivf_add(vectors: DataFrame, centroids: DataFrame, lo: Column, hi: Column, bits: int = 8,
-            key: str = "pid", vec: str = "vec", nlist: int | None = None) -> DataFrame:
-    """(pid, cell, code) - nearest cell by L2 and the scalar code of every vector."""
-    v = vectors.select(F.col(key).alias("pid"), F.col(vec).alias("vec"))
-    v = with_nearest_cells(v, "vec", centroids, 1, nlist=nlist).withColumn("cell", F.col("cells")[0])
-    if bits == 0:  # flat lists: the vectors themselves, no quantiser
-        return v.select("pid", "cell", F.col("vec").cast("array<float>").alias("code"))
-    return sq_encode(v, "vec", lo, hi, bits).select("pid", "cell", "code")
+# ------------------------------------------------------------------ index
+def ivf_add(vectors: DataFrame, centroids: DataFrame, lo: np.ndarray, hi: np.ndarray, bits: int = 8,
+            key: str = "pid", vec: str = "vec") -> DataFrame:
+    """(pid, cell, code BINARY, away) - nearest cell by L2, the code, and how far what it decodes to is from the centroid.
+
+    One pass: assigning, coding and the distance happen in one task function.  Null vectors are left out.
+    """
+    if bits not in range(0, 9):
+        raise ValueError("bits must be 0 (vectors as they are) or 1 to 8")
+    spark = vectors.sparkSession
+    ensure_arrow_limits(spark)
+    shared = spark.sparkContext.broadcast(_centroid_matrix(centroids))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, c = shared.value
+        for b in batches:
+            x32, d = _matrix(b.column(1))
+            if not len(x32):
+                continue
+            x = x32.astype(np.float64)
+            place = _nearest(x, c, 1)[:, 0]
+            code = _encode(x, lo, hi, bits) if bits else x32
+            back = lo + code * _step(lo, hi, bits) if bits else x
+            raw = np.ascontiguousarray(code).view(np.uint8).reshape(len(x), -1)
+            offsets = np.arange(len(x) + 1, dtype=np.int32) * raw.shape[1]
+            packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(raw.ravel())])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells[place]), packed, pa.array(np.sqrt(((back - c[place]) ** 2).sum(axis=1)))],
+                                             names=["pid", "cell", "code", "away"])
+
+    v = vectors.select(F.col(key).cast("long").alias("pid"), F.col(vec).cast("array<float>").alias("vec")).where(F.col("vec").isNotNull())
+    return v.mapInArrow(add, "pid long, cell int, code binary, away double")
+
+
+def inverted_lists(added: DataFrame, block_rows: int = DEFAULT_LIST_ROWS) -> DataFrame:
+    """Rows of ``ivf_add`` as blocks (cell, n, radius, pids BINARY, codes BINARY) of at most ``block_rows``.
+
+    Dealt by ranges of (cell, pid): a cell that holds a large share of all vectors is spread over many tasks.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(cell: int, held: list[tuple]) -> pa.RecordBatch:
+            pids, codes, away = (np.concatenate([h[k] for h in held]) for k in range(3))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([cell], pa.int32()), pa.array([len(pids)], pa.int64()), pa.array([float(away.max())]),
+                 pa.array([pids.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=["cell", "n", "radius", "pids", "codes"])
+
+        cell, held, size = -1, [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pids, cells, away = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            codes = np.array([np.frombuffer(x, np.uint8) for x in b.column(2).to_pylist()]).reshape(len(pids), -1)
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                at = lo
+                while at < hi:
+                    if held and (cells[at] != cell or size >= block_rows):
+                        yield block(cell, held)
+                        held, size = [], 0
+                    cell, stop = int(cells[at]), min(hi, at + block_rows - size)
+                    held.append((pids[at:stop].astype(np.int64), codes[at:stop], away[at:stop]))
+                    size, at = size + stop - at, stop
+        if held:
+            yield block(cell, held)
+
+    n = int(added.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (added.select("pid", "cell", "code", "away").repartitionByRange(n, "cell", "pid").sortWithinPartitions("cell", "pid")
+                 .mapInArrow(pack, "cell int, n long, radius double, pids binary, codes binary"))
 
 
 def build_index(vectors: DataFrame, nlist: int = 16, bits: int = 8, iters: int = 2,
                 seed: int = DEFAULT_SEED, method: str = "hash_sample",
-                list_rows: int = DEFAULT_LIST_ROWS) -> IvfIndex:
+                list_rows: int = DEFAULT_LIST_ROWS, path: str | None = None) -> IvfIndex:
     """Train cells, fit the quantiser, add every vector; ``bits=0`` keeps flat (unquantised) lists.
 
-    The inverted lists (codes packed per (cell, sub) block) are the index:
-    shuffled into place once and written to the shared folder, so a search
-    never reshuffles the corpus.
+    The tables are written once to ``path`` (default: a new folder of the shared one), the lists clustered by cell;
+    the centroids come last, so an index without them is not complete.
     """
+    spark = vectors.sparkSession
+    if path is None:
+        import uuid
+        path = shared_dir(spark, "tables", f"ivf-{uuid.uuid4().hex}")
     cents = ivf_train(vectors, nlist, iters, seed, method)
-    lo, hi = sq_train(vectors)
-    lists = materialise(inverted_lists(ivf_add(vectors, cents, lo, hi, bits, nlist=nlist), list_rows))
-    return IvfIndex(cents, lists, lo, hi, bits, nlist)
+    bounds = sq_bounds(vectors)
+    row = bounds.first()
+    lo, hi = (np.array(x, np.float64) for x in row) if row else (np.zeros(0), np.zeros(0))
+    added = materialise(ivf_add(vectors, cents, lo, hi, bits), "added")  # read for the ranges and for the lists
+    inverted_lists(added, list_rows).write.partitionBy("cell").parquet(f"{path}/lists")
+    bounds.write.parquet(f"{path}/bounds")
+    sizes = spark.read.schema(LIST_SCHEMA).parquet(f"{path}/lists").groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"))
+    (cents.join(sizes, "cell", "left").select("cell", "vec", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
+          .write.parquet(f"{path}/centroids"))
+    return open_index(spark, path, bits, nlist)
 
 
-def inverted_lists(codes: DataFrame, block_rows: int = DEFAULT_LIST_ROWS) -> DataFrame:
-    """Codes packed as (cell, sub, lst ARRAY<STRUCT<pid, code>>) blocks of about ``block_rows``.
+LIST_SCHEMA = "n long, radius double, pids binary, codes binary, cell int"
 
-    A cell holding a large share of all vectors is split into many ``sub``
-    blocks, so no task ever holds a whole hot cell.  Cell sizes are one
-    aggregate with ``nlist`` rows (bounded by the index parameter).
-    """
-    sizes = _cell_splits(codes, "nsub", block_rows)
-    keyed = codes.join(F.broadcast(sizes), "cell").withColumn(
-        "sub", F.pmod(F.xxhash64("pid"), F.col("nsub")).cast("int"))
-    return keyed.groupBy("cell", "sub").agg(F.collect_list(F.struct("pid", "code")).alias("lst"))
+
+def open_index(spark, path: str, bits: int, nlist: int) -> IvfIndex:
+    """The index stored at ``path``."""
+    row = spark.read.schema("lo array<double>, hi array<double>").parquet(f"{path}/bounds").first()
+    lo, hi = (np.array(x, np.float64) for x in row) if row else (np.zeros(0), np.zeros(0))
+    cents = spark.read.schema("cell int, vec array<double>, n long, radius double").parquet(f"{path}/centroids")
+    return IvfIndex(cents, spark.read.schema(LIST_SCHEMA).parquet(f"{path}/lists"), lo, hi, bits, nlist)
+
+
+# ----------------------------------------------------------------- search
+def _probe_rows(b: pa.RecordBatch, which: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
+    """(qid, qvec, cell): rows ``which`` of the batch, each with a cell."""
+    take = pa.array(which)
+    return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(cells.astype(np.int32))], names=["qid", "qvec", "cell"])
 
 
-def _cell_splits(df: DataFrame, name: str, rows: int) -> DataFrame:
-    return df.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).select(
-        "cell", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows))).cast("int").alias(name))
+_PROBES = "qid long, qvec array<float>, cell int"
 
 
-def _ann_score_fn(k: int, bits: int):
-    levels = float((1 << bits) - 1) if bits else 0.0
+def _first_probes(q: DataFrame, model, k: int, nprobe: int | None) -> DataFrame:
+    """The nearest cells of each query: ``nprobe`` of them, or as many as hold k vectors (``FIRST_CELLS`` at least)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, c, n, _ = model.value
+        for b in batches:
+            x, _ = _matrix(b.column(1))
+            if not len(x):
+                continue
+            order = _nearest(x.astype(np.float64), c, len(c))
+            if nprobe is None:
+                held = np.cumsum(n[order], axis=1)
+                use = np.arange(len(c))[None, :] < np.maximum(FIRST_CELLS, 1 + (held < k).sum(axis=1))[:, None]
+            else:
+                use = np.broadcast_to(np.arange(len(c))[None, :] < nprobe, order.shape)
+            row, place = np.nonzero(use)
+            yield _probe_rows(b, row, cells[order[row, place]])
+    return q.select("qid", "qvec").mapInArrow(run, _PROBES)
 
+
+def _open_probes(q: DataFrame, model, metric: str) -> DataFrame:
+    """Cells not yet read (``seen``) that can hold a vector as good as the query's k-th (``kth``; null: fewer than k found)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, c, n, radius = model.value
+        for b in batches:
+            x, _ = _matrix(b.column(1))
+            if not len(x):
+                continue
+            x = x.astype(np.float64)
+            kth = b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+            if metric == "ip":
+                best = x @ c.T + np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] * radius[None, :]
+                reach = ~(best < kth[:, None] - BOUND_SLACK)
+            else:
+                best = np.maximum(np.sqrt(_distances(x, c)) - radius[None, :], 0.0) ** 2
+                reach = ~(best > kth[:, None] + BOUND_SLACK)
+            reach &= n[None, :] > 0
+            seen = b.column(3)
+            rows = np.repeat(np.arange(len(x)), np.diff(seen.offsets.to_numpy()))
+            reach[rows, np.searchsorted(cells, seen.flatten().to_numpy())] = False
+            row, place = np.nonzero(reach)
+            yield _probe_rows(b, row, cells[place])
+    return q.select("qid", "qvec", "kth", "seen").mapInArrow(run, _PROBES)
+
+
+def _query_groups(probes: DataFrame, rows: int) -> DataFrame:
+    """(cell, qids BINARY, qmat BINARY): the queries of a cell in groups of about ``rows``."""
+    sizes = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).select("cell", F.greatest(F.lit(1), F.ceil(F.col("c") / F.lit(rows))).alias("groups"))
+    keyed = probes.join(F.broadcast(sizes), "cell").withColumn("grp", F.pmod(F.xxhash64("qid"), F.col("groups")))  # nlist rows
+
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        mat, _ = _matrix(table["qvec"].combine_chunks())
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "qids": pa.array([table["qid"].to_numpy().astype(np.int64).tobytes()], pa.binary()),
+                         "qmat": pa.array([np.ascontiguousarray(mat).tobytes()], pa.binary())})
+    return keyed.select("cell", "grp", "qid", "qvec").groupBy("cell", "grp").applyInArrow(pack, "cell int, qids binary, qmat binary")
+
+
+class _Scorer:
+    """Scores of one query group against code blocks: a slope per dimension and an offset per query, no decoding."""
+
+    def __init__(self, qmat: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int, metric: str):
+        self.l2, self.bits = metric == "l2", bits
+        self.step = _step(lo, hi, bits) if bits else np.ones(qmat.shape[1])
+        base = lo if bits else np.zeros(qmat.shape[1])
+        if self.l2:
+            rest = qmat - base
+            self.slope, self.offset = -2.0 * rest * self.step, np.einsum("ij,ij->i", rest, rest)
+        else:
+            self.slope, self.offset = qmat * self.step, qmat @ base
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        codes = codes.astype(np.float64)
+        scores = self.slope @ codes.T + self.offset[:, None]
+        if self.l2:
+            own = codes * self.step
+            scores = np.maximum(scores + np.einsum("ij,ij->i", own, own)[None, :], 0.0)
+        return scores
+
+
+def _score_fn(k: int, metric: str, index_bits: int, lo: np.ndarray, hi: np.ndarray):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple, tuple] = {}
+        groups: dict[bytes, tuple] = {}
         for b in batches:
-            cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-            for i in range(b.num_rows):
-                gk = (cols["cell"][i].as_py(), cols["qg"][i].as_py())
-                if gk not in groups:
-                    qrows = cols["q"][i].values
-                    qids = qrows.field("qid").to_numpy(zero_copy_only=False).astype(np.int64)
-                    qmat, _ = _matrix(qrows.field("qvec"))
-                    lo = np.asarray(cols["lo"][i].values.to_numpy(zero_copy_only=False), np.float64)
-                    hi = np.asarray(cols["hi"][i].values.to_numpy(zero_copy_only=False), np.float64)
-                    groups[gk] = (qids, _TopK(k, "ip"), qmat.astype(np.float64), lo, hi)
-                qids, top, q64, lo, hi = groups[gk]
-                lst = cols["lst"][i].values
-                pids = lst.field("pid").to_numpy(zero_copy_only=False).astype(np.int64)
-                codes, _ = _matrix(lst.field("code"))
-                if bits:
-                    dec = lo[None, :] + (codes.astype(np.float64) * (hi - lo)[None, :]) / levels
-                else:
-                    dec = codes.astype(np.float64)
-                top.add(q64 @ dec.T, pids)
-        for qids, top, *_ in groups.values():
+            for qids, qmat, pids, codes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if qids not in groups:
+                    ids = np.frombuffer(qids, np.int64)
+                    mat = np.frombuffer(qmat, np.float32).reshape(len(ids), -1).astype(np.float64)
+                    groups[qids] = (ids, _TopK(k, metric), _Scorer(mat, lo, hi, index_bits, metric))
+                _, top, scorer = groups[qids]
+                own = np.frombuffer(pids, np.int64)
+                top.add(scorer(_codes(codes, len(own), index_bits)), own)
+        for ids, top, _ in groups.values():
             if len(top.r):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[top.r]), pa.array(top.pid), pa.array(top.score)],
-                    names=["qid", "pid", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[top.r]), pa.array(top.pid), pa.array(top.score)], names=["qid", "pid", "score"])
     return score
 
 
-def ann_search_bulk(query_vecs: DataFrame, index: IvfIndex, k: int = 1, nprobe: int = 1,
-                    qkey: str = "qid", vec: str = "vec",
-                    query_group_rows: int = DEFAULT_QUERY_GROUP_ROWS) -> DataFrame:
-    """(qid, rk INT, pid, score) from the ``nprobe`` nearest cells of each query.
-
-    Probes are grouped per cell (a cell probed by very many queries is split
-    into several query groups), each group is replicated over the ``sub``
-    blocks of its cell and joined on (cell, sub); a task scores a query group
-    against a block of codes with one matrix product on the decoded vectors
-    and keeps a running top-k.  ``row_number() <= k`` merges the task results.
-    Scores are inner products with the decoded vectors; with nprobe = nlist
-    every vector is scored.
+def _scan(probes: DataFrame, index: IvfIndex, k: int, metric: str, group_rows: int, broadcast_bytes: int) -> DataFrame | None:
+    """Hits (qid, pid, score) of the probes; None without any.  Reads the lists of probed cells only."""
+    probes = materialise(probes, "probes")
+    cells = sorted(r[0] for r in probes.select("cell").distinct().collect())  # nlist at most
+    if not cells:
+        return None
+    waves = max(1, math.ceil(probes.count() * (len(index.lo) * 4 + 8) / broadcast_bytes))
+    lists = index.lists.where(F.col("cell").isin(cells)).select("cell", "pids", "codes")
+    found = None
+    for wave in range(waves):
+        own = probes if waves == 1 else probes.where(F.pmod(F.xxhash64("qid", F.lit(1)), F.lit(waves)) == wave)
+        groups = materialise(_query_groups(own, group_rows), "query-groups")
+        joined = lists.join(F.broadcast(groups), "cell").select("qids", "qmat", "pids", "codes")
+        hits = joined.mapInArrow(_score_fn(k, metric, index.bits, index.lo, index.hi), HIT_SCHEMA)
+        found = hits if found is None else found.union(hits)
+    return found
+
+
+def ann_search_bulk(query_vecs: DataFrame, index: IvfIndex, k: int = 1, nprobe: int | None = None,
+                    qkey: str = "qid", vec: str = "vec", metric: str = "ip",
+                    query_group_rows: int = DEFAULT_QUERY_GROUP_ROWS,
+                    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """(qid, rk INT, pid, score) over the stored codes; see the module's description.
+
+    ``nprobe``: a fixed number of nearest cells (the answer is approximate); None: bounded probing, the same answer as
+    reading every cell.  Queries with a null vector have no hits; ids of queries are unique.
     """
-    ensure_arrow_limits(query_vecs.sparkSession)
-    q = query_vecs.select(F.col(qkey).cast("long").alias("qid"), F.col(vec).cast("array<float>").alias("qvec"))
-    probes = with_nearest_cells(q, "qvec", index.centroids, nprobe, nlist=index.nlist).select(
-        "qid", "qvec", F.explode("cells").alias("cell"))
-    qsplit = _cell_splits(probes, "nqg", query_group_rows)
-    qgroups = (probes.join(F.broadcast(qsplit), "cell")
-                     .withColumn("qg", F.pmod(F.xxhash64("qid"), F.col("nqg")).cast("int"))
-                     .groupBy("cell", "qg").agg(F.collect_list(F.struct("qid", "qvec")).alias("q")))
-    lists = index.lists
-    nsub = lists.groupBy("cell").agg((F.max("sub") + 1).alias("nsub"))  # one row per block in, nlist out
-    qrep = qgroups.join(F.broadcast(nsub), "cell").withColumn(
-        "sub", F.explode(F.sequence(F.lit(0), F.col("nsub") - 1))).drop("nsub")
-    joined = (qrep.join(lists, ["cell", "sub"])
-                  .withColumn("lo", index.lo).withColumn("hi", index.hi)
-                  .select("cell", "qg", "q", "lst", "lo", "hi"))
-    hits = joined.mapInArrow(_ann_score_fn(k, index.bits), HIT_SCHEMA)
-    return _final_rank(hits, k, "ip")
-
-
-def ann_search(query_vec: DataFrame, index: IvfIndex, k: int = 1, nprobe: int = 1, vec: str = "vec") -> DataFrame:
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    if k < 1 or (nprobe is not None and nprobe < 1):
+        raise ValueError("k and nprobe must be at least 1")
+    spark = query_vecs.sparkSession
+    ensure_arrow_limits(spark)
+    q = materialise(query_vecs.select(F.col(qkey).cast("long").alias("qid"), F.col(vec).cast("array<float>").alias("qvec"))
+                              .where(F.col("qvec").isNotNull()), "queries")
+    rows = sorted(index.centroids.select("cell", "n", "radius", "vec").collect())  # model parameters
+    none = spark.createDataFrame([], "qid long, rk int, pid long, score double")
+    if not rows:
+        return none
+    model = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int32), np.array([r[3] for r in rows], np.float64),
+                                          np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)))
+    probes = materialise(_first_probes(q, model, k, nprobe), "first-probes")
+    hits = _scan(probes, index, k, metric, query_group_rows, broadcast_bytes)
+    if nprobe is not None or hits is None:
+        return none if hits is None else _final_rank(hits, k, metric)
+    first = materialise(_final_rank(hits, k, metric), "first-hits")
+    kth = first.where(F.col("rk") == k).select("qid", F.col("score").alias("kth"))
+    seen = probes.groupBy("qid").agg(F.collect_set("cell").alias("seen"))  # nlist cells at most
+    more = _scan(_open_probes(q.join(kth, "qid", "left").join(seen, "qid"), model, metric), index, k, metric, query_group_rows, broadcast_bytes)
+    return first if more is None else _final_rank(first.drop("rk").union(more), k, metric)
+
+
+def ann_search(query_vec: DataFrame, index: IvfIndex, k: int = 1, nprobe: int | None = None, vec: str = "vec", metric: str = "ip") -> DataFrame:
     """One query (one-row frame with ``vec``) -> (rk, pid, score)."""
     q = query_vec.select(F.lit(0).cast("long").alias("qid"), F.col(vec).alias("vec"))
-    return ann_search_bulk(q, index, k, nprobe).drop("qid")
+    return ann_search_bulk(q, index, k, nprobe, metric=metric).drop("qid")

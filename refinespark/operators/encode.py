@@ -15,6 +15,7 @@ function from a list of texts to an (n, d) array, run with ``mapInPandas``.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from typing import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import encoder_tokens, wrap
 from ..functions.vectors import vec_sum
+from ..session import materialise
 
 DEFAULT_DIM = 1024
 
@@ -133,8 +135,12 @@ class TfidfEncoder(HashedEncoder):
         all_buckets = corpus.sparkSession.range(self.dim).select(F.col("id").cast("int").alias("bucket"))
         idf = all_buckets.join(df_counts, "bucket", "left").select(
             "bucket", F.log((n + 1).cast("double") / (F.coalesce("df", F.lit(0)) + 1)).alias("w"))
-        self.idf = idf.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "w"))),
-                                       lambda x: x["w"])).scalar()
+        fitted = materialise(idf.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "w"))),
+                                                 lambda x: x["w"]).alias("idf")), "idf")
+        self.idf = fitted.scalar()
+        # the weights are part of the name, so that what is stored under it belongs to this fit (``dim`` numbers)
+        weights = array("d", fitted.first()[0]).tobytes()
+        self.name = f"tfidf-{self.dim}-{hashlib.sha1(weights).hexdigest()[:16]}"
         return self
 
     def _with_params(self, df: DataFrame) -> DataFrame:

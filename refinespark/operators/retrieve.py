@@ -15,12 +15,12 @@ from .exact import topk_exact_bulk
 
 
 def search(query_vecs: DataFrame, passage_vecs: DataFrame, k: int = 1, metric: str = "ip",
-           index=None, nprobe: int = 1, dim: int | None = None) -> DataFrame:
-    """Hits (qid, rk, pid, score) by exact block search, or by an IVF index when given."""
+           index=None, nprobe: int | None = None, dim: int | None = None) -> DataFrame:
+    """Hits (qid, rk, pid, score) by exact block search, or by an IVF index when given (``nprobe`` None: bounded probing)."""
     if index is None:
         return topk_exact_bulk(query_vecs, passage_vecs, k=k, metric=metric, dim=dim)
     from .ann import ann_search_bulk
-    return ann_search_bulk(query_vecs, index, k=k, nprobe=nprobe)
+    return ann_search_bulk(query_vecs, index, k=k, nprobe=nprobe, metric=metric)
 
 
 def join_context(hits: DataFrame, passages: DataFrame, sep: str = " ") -> DataFrame:
@@ -39,7 +39,7 @@ def lookup_passage(hits: DataFrame, passages: DataFrame, out: str = "text") -> D
 
 def retrieve_table(queries: DataFrame, passages: DataFrame, encoder, k: int = 1,
                    qkey: str = "qid", question: str = "q", wrap_markers: bool = False,
-                   guard: str = "quarantine", index=None, nprobe: int = 1,
+                   guard: str = "quarantine", index=None, nprobe: int | None = None,
                    passage_vecs: DataFrame | None = None) -> DataFrame:
     """Every input row plus ``retrieve`` = the k hit texts joined by a blank.
 
@@ -56,7 +56,7 @@ def retrieve_table(queries: DataFrame, passages: DataFrame, encoder, k: int = 1,
 
 
 def retrieve_table_ids(dataset: DataFrame, passages: DataFrame, encoder, k: int = 1,
-                       guard: str = "quarantine", index=None, nprobe: int = 1,
+                       guard: str = "quarantine", index=None, nprobe: int | None = None,
                        passage_vecs: DataFrame | None = None) -> DataFrame:
     """(id, question, context_id, context[, original_context, answers]).
 
@@ -81,7 +81,7 @@ def retrieve_table_ids(dataset: DataFrame, passages: DataFrame, encoder, k: int
 
 
 def search_passages(spark, text: str, passages: DataFrame, encoder, k: int = 10,
-                    passage_vecs: DataFrame | None = None, index=None, nprobe: int = 1) -> DataFrame:
+                    passage_vecs: DataFrame | None = None, index=None, nprobe: int | None = None) -> DataFrame:
     """One string -> ranked (rk, score, text) rows."""
     q = spark.createDataFrame([(0, text)], "qid long, q string")
     qv = guard_zero_vector(encode_queries(q, "qid", "q", encoder, wrap_markers=False), "vec", "fail")

@@ -26,7 +26,8 @@ from . import chat, datasets
 DIM = 64            # hashed encoder width
 SEED = 42
 VOCAB_MIN_COUNT = 2
-NLIST, BITS, IVF_ITERS, NPROBE = 16, 8, 2, 2
+MAX_LEN = 512       # tokens of a padded and cut text
+NLIST, BITS, IVF_ITERS = 16, 8, 2
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -57,7 +58,7 @@ def _mean_query(spark, sf):
 
 
 def _index(spark, sf) -> ann.IvfIndex:
-    return ann.build_index(src.vectors(spark, sf), NLIST, BITS, IVF_ITERS, SEED)
+    return stores.index_store(src.vectors(spark, sf), NLIST, BITS, IVF_ITERS, SEED)
 
 
 def _queries_from_vectors(spark, sf):
@@ -84,8 +85,7 @@ def q_embedding_store(spark, sf):
 
 
 def q_index_store(spark, sf):
-    idx = stores.index_store(src.vectors(spark, sf), NLIST, BITS, IVF_ITERS, SEED)
-    return idx.codes.select("pid", "cell", "code")
+    return _index(spark, sf).codes.select("pid", "cell", "code")
 
 
 def q_utterances(spark, sf):
@@ -165,7 +165,7 @@ def q_pad_longest(spark, sf):
 
 def q_pad_truncate(spark, sf):
     ids = voc.encode_tokens(_pairs(spark, sf), "pair_id", "q", _vocab(spark, sf))
-    return voc.pad_truncate(ids, "input_ids", max_len=32, mask_col="attention_mask")
+    return voc.pad_truncate(ids, "input_ids", max_len=MAX_LEN, mask_col="attention_mask")
 
 
 def q_attention_mask(spark, sf):
@@ -175,8 +175,7 @@ def q_attention_mask(spark, sf):
 
 def q_token_type_ids(spark, sf):
     ids = voc.encode_tokens(_pairs(spark, sf), "pair_id", "q", _vocab(spark, sf))
-    padded = voc.pad_truncate(ids, "input_ids", max_len=32)
-    return padded.select("pair_id", voc.token_type_ids("input_ids").alias("token_type_ids"))
+    return ids.select("pair_id", voc.token_type_ids("input_ids").alias("token_type_ids"))
 
 
 def q_labels_column(spark, sf):
@@ -262,11 +261,15 @@ def q_ivf_add(spark, sf):
 
 
 def q_ann_search(spark, sf):
-    return ann.ann_search(_mean_query(spark, sf), _index(spark, sf), k=10, nprobe=NPROBE)
+    return ann.ann_search(_mean_query(spark, sf), _index(spark, sf), k=10)
 
 
 def q_ann_search_bulk(spark, sf):
-    return ann.ann_search_bulk(_queries_from_vectors(spark, sf), _index(spark, sf), k=10, nprobe=NPROBE)
+    return ann.ann_search_bulk(_queries_from_vectors(spark, sf), _index(spark, sf), k=10)
+
+
+def q_ann_search_l2(spark, sf):
+    return retrieve.search(_queries_from_vectors(spark, sf), None, k=10, metric="l2", index=_index(spark, sf))
 
 
 def q_retrieve_table(spark, sf):

@@ -88,12 +88,11 @@ def test_contains_join_equals_brute_force(spark):
     assert got == want
 
 
-def test_nearest_cells_arrow_equals_lambda(spark):
-    v = src.vectors(spark, SF_SMALL)
-    cents = ann.ivf_train(v, nlist=8, iters=1)
-    a = {r.pid: r.cells for r in ann.with_nearest_cells(v, "vec", cents, 3, method="lambda").collect()}
-    b = {r.pid: r.cells for r in ann.with_nearest_cells(v, "vec", cents, 3, method="arrow").collect()}
-    assert a == b
+def test_nearest_cells_keep_null_vectors(spark):
+    cents = spark.createDataFrame([(0, [0.0, 0.0]), (1, [4.0, 0.0]), (2, [4.0, 0.0])], "cell int, vec array<double>")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [4.0, 1.0]), (4, [2.0, 0.0])], "pid long, vec array<float>")
+    got = {r.pid: r.cells for r in ann.with_nearest_cells(v, "vec", cents, 2).collect()}
+    assert got == {1: [0, 1], 2: None, 3: [1, 2], 4: [0, 1]}  # ties go to the lower cell
 
 
 def test_hot_cell_split_changes_nothing(spark):
