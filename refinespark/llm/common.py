@@ -115,16 +115,21 @@ _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 6
 _POWERS: dict[int, np.ndarray] = {}
 
 
+#: Powers of one base that a worker keeps at most (8 bytes each); longer tables are made anew for each use.
+_KEPT_POWERS = 2 * STEP_BYTES
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept per worker."""
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; up to ``_KEPT_POWERS`` are kept per worker."""
     have = _POWERS.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 2 * len(have) if have is not None else 0)
+        size = max(n, 1 << 16, min(2 * len(have), _KEPT_POWERS) if have is not None else 0)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         with np.errstate(over="ignore"):
             np.multiply.accumulate(have, out=have)
-        _POWERS[int(base)] = have
+        if size <= _KEPT_POWERS:
+            _POWERS[int(base)] = have
     return have[:n]
 
 

@@ -2,7 +2,7 @@
 
 Forward filtering, backward sampling over the piece lattice: a text, with the model's leading space, is cut into
 units (spaces and the characters up to the next space; no piece but runs of spaces crosses such a place).  Each
-different unit of a slice gets its lattice once: a trie walk from every character finds all pieces, and a character
+different unit of a slice gets its lattice once, ``LATTICE_BYTES`` of units at a time: a trie walk from every character finds all pieces, and a character
 that is no piece of its own gets its byte pieces.  Forward sums give each node its weight over all segmentations;
 backward, each occurrence of the unit draws one segmentation with probability in proportion to the product of
 its pieces' weights.  Every draw is a hash of (seed, row key, place in the text): the same row gives the same
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,10 @@ from pyspark.sql import types as T
 from refinespark.llm.common import as_binary, fresh_names, mix, prepare, starts_char, steps, word_hashes
 
 SEED, ALPHA = 7, 1.0
+#: Bytes of different units whose lattices are built at once (one longer unit alone); a lattice takes about 1 KB a byte.
+LATTICE_BYTES = 1 << 16
+#: Shares of a node's edges are whole multiples of one of so many, so that sums do not depend on what else is in the lattice.
+_PARTS = 1 << 32
 _SPACE = 32
 _FREE = np.uint64((1 << 64) - 1)
 
@@ -177,7 +182,7 @@ class Lattice:
                 share[lo:hi] = value / np.repeat(total, count)
         share = np.nan_to_num(share)
         self.forward = forward
-        self.upto = np.cumsum(share)
+        self.upto = np.cumsum(np.rint(share * _PARTS).astype(np.int64))
         self.first, self.last = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
         self.first[target[heads]], self.last[target[heads]] = heads, np.append(heads[1:], len(piece)) - 1
 
@@ -193,8 +198,8 @@ class Lattice:
             random = mix(key + (node + shift).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             random = (random >> np.uint64(11)).astype(np.float64) * 2.0**-53
             first, last = self.first[node], self.last[node]
-            before = np.where(first > 0, self.upto[first - 1], 0.0)
-            edge = np.searchsorted(self.upto, before + random * (self.upto[last] - before), side="right")
+            before = np.where(first > 0, self.upto[first - 1], 0)
+            edge = np.searchsorted(self.upto, before + (random * (self.upto[last] - before)).astype(np.int64), side="right")
             edge = np.clip(edge, first, last)
             node = self.origin[edge]
             ids[node + shift] = self.piece[edge]
@@ -217,13 +222,26 @@ def encode_texts(model: Model, texts: list[bytes], keys: np.ndarray, alpha: floa
     ends = np.append(starts[1:], len(data))
     _, first, which = np.unique(word_hashes(data, starts, ends) + (ends - starts).astype(np.uint64), return_index=True, return_inverse=True)
     size = (ends - starts)[first]
-    own_end = np.cumsum(size)
-    own = data[np.arange(own_end[-1]) + np.repeat(starts[first] - own_end + size, size)]
-    lattice = Lattice(model, own, own_end - size, own_end, alpha)
+    order = np.argsort(size, kind="stable")  # units of like length together: a lattice has as many levels as its longest
+    first, size = first[order], size[order]
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    which = rank[which.reshape(-1)]
+    turn = np.argsort(which, kind="stable")
+    which = which[turn]
     text = np.searchsorted(offs, starts, side="right") - 1
-    begin = offs[text].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    key = keys[text] - offs[text].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ids = np.full(len(data), -1, np.int32)
-    lattice.draw(which, starts, keys[text] - begin, ids)
+    at, upto = 0, np.cumsum(size)
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + LATTICE_BYTES, side="right")))
+        own_size = size[at:stop]
+        own_end = np.cumsum(own_size)
+        own = data[np.arange(own_end[-1]) + np.repeat(starts[first[at:stop]] - own_end + own_size, own_size)]
+        lattice = Lattice(model, own, own_end - own_size, own_end, alpha)
+        lo, hi = np.searchsorted(which, [at, stop])
+        lattice.draw(which[lo:hi] - at, starts[turn[lo:hi]], key[turn[lo:hi]], ids)
+        at = stop
     used = ids >= 0
     return ids[used], np.concatenate([[0], np.cumsum(used)])[offs], data, offs
 
@@ -237,6 +255,20 @@ def decode_bytes(model: Model, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return model.bytes[np.arange(end[-1]) + np.repeat(model.places[ids] - end + size, size)], end
 
 
+def decode_lists(model: Model, lists: pa.Array) -> pa.Array:
+    """The text of each list of ids, without the leading space that encoding adds (null: null)."""
+    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw, end = decode_bytes(model, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    offs = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])]
+    some = np.diff(offs) > 0
+    keep = np.ones(len(raw), bool)
+    keep[offs[:-1][some]] = False
+    offs = offs - np.concatenate([[0], np.cumsum(some)])
+    valid = np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little")
+    found = pa.Array.from_buffers(pa.large_binary(), len(lists), [pa.py_buffer(valid), pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw[keep]))])
+    return found.cast(pa.binary()).cast(pa.string())
+
+
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
 
 
@@ -266,6 +298,7 @@ def encode(df: DataFrame, model_path: str, key_col: str, text_col: str = "text",
                     wrong = np.concatenate([[0], np.cumsum(~same)])[begins]
                     new.append(pa.array(np.diff(wrong) == 0, pa.bool_(), mask=null))
                 yield pa.RecordBatch.from_arrays([*columns, *new], names=names)
+                pa.default_memory_pool().release_unused()
 
     return df.withColumn(key, F.xxhash64(F.lit(seed), F.col(key_col))).mapInArrow(run, schema)
 
@@ -280,11 +313,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for batch in batches:
-            texts = []
-            for ids in batch.column(at):
-                raw = None if not ids.is_valid else decode_bytes(model, ids.values.to_numpy(zero_copy_only=False).astype(np.int64))[0].tobytes()
-                texts.append(raw[1:] if raw else raw)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode_lists(model, batch.column(at))], names=names)
 
     return df.mapInArrow(run, schema)
 
