@@ -17,7 +17,6 @@ one id follow each other, by a hash of their text.  Repeated rows are kept.  Emp
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -30,50 +29,161 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refinespark.llm.common import file_system, new_folder, prepare, steps, written
+from refinespark.llm.common import file_system, flat, new_folder, prepare, steps, written
 
 #: The id that ends a document; the file's magic.
 END_ID, MAGIC = 2, b"IDPLANES"
 CHUNK_IDS = 1 << 16
 FILE_IDS, FILE_DOCS = 1 << 26, 1 << 20
-#: Pieces of text whose ids a worker keeps; beyond that it starts anew.
-KEPT_PIECES = 400_000
-
-# White space around a space: such a text is not cut there (see ``encode``).
-_NOT_CUT = re.compile(r"\s \s|\s \Z")
+#: Pieces of text whose ids a worker keeps, in two generations of so many; longer pieces are not kept.
+KEPT_PIECES, KEPT_BYTES = 150_000, 48
+#: Bytes of pieces that one call of the tokenizer gets.
+CALL_BYTES = 1 << 10
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+_IS_BLANK = _BLANK.tolist()
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def blank_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte belongs to white space, that of Unicode included (fixed set of code points)."""
+    blank = _BLANK[data]
+    if len(data) > 1 and (data >= 0xC2).any():
+        two = (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+        for k in (0, 1):
+            blank[k : len(data) - 1 + k] |= two
+    if len(data) > 2 and (data >= 0xE1).any():
+        x, y, z = data[:-2], data[1:-1], data[2:]
+        three = ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80)) | ((x == 0xE2) & (y == 0x81) & (z == 0x9F)) | (
+            (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)))
+        for k in (0, 1, 2):
+            blank[k : len(data) - 2 + k] |= three
+    return blank
+
+
+def piece_starts(data: np.ndarray, offs: np.ndarray, marks: bool = True) -> np.ndarray:
+    """Where pieces begin: at each text, and where the pre-tokenizer never joins two characters.
+
+    A space or a newline with no white space on either side of it begins a token, and such a newline is a token of its own.
+    With ``marks`` also an ASCII mark after a letter (ASCII, or U+00C0 to U+00FF but the two signs there).
+    """
+    n = len(data)
+    begins = np.zeros(n + 1, bool)
+    begins[offs] = True
+    if n > 2:
+        blank = blank_bytes(data)
+        inner = ((data[1:-1] == 32) | (data[1:-1] == 10)) & ~blank[:-2] & ~blank[2:] & ~begins[1:n - 1] & ~begins[2:n]
+        begins[1 : n - 1] |= inner
+        begins[2:n] |= inner & (data[1:-1] == 10)
+        if marks:
+            letter = _LETTER[data[1:-1]] | ((data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7))
+            begins[2:n] |= letter & _MARK[data[2:]]
+    return np.flatnonzero(begins[:n])
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE of the tokenizers library, as little-endian 32-bit integers.
+    """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
-    Its pre-tokenizer never joins two characters over the place before a space, unless white space is on both
-    sides of that space; so a text is cut there, and the ids of each different piece are kept.  Texts with such
-    white space, or with what may be a special token, are encoded as they are.
+    Texts are cut in pieces that the pre-tokenizer never joins (``piece_starts``); each different piece of a slice is looked
+    up once.  Unknown pieces are encoded many in a call, end to end, and told apart by the bytes of their ids.  Pieces with white
+    space at an end, or with a special token's text, are encoded each by itself.  Of two generations of known pieces the older one goes
+    when the younger is full; what is met again stays.
     """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "<|" in t or _NOT_CUT.search(t) else t.split(" ") for t in texts]
-        firsts = {p[0] for p in cut if p}
-        pieces = set()
-        for p in cut:
-            if p:
-                pieces.update(p[1:])
+        known = json.loads(self.model.to_str())
+        before = known["pre_tokenizer"] or {}
+        if known["normalizer"] or before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space"):
+            raise ValueError("the tokenizer must be a byte-level BPE with the usual pattern, without a normaliser or a prefix space")
+        self.special = [x["content"].encode() for x in known["added_tokens"]]
+        self.size = np.zeros(self.model.get_vocab_size(), np.int64)  # a byte-level token has one character a byte
+        for token, i in self.model.get_vocab(with_added_tokens=False).items():
+            self.size[i] = len(token)
+        self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def alone(self, pieces: list[bytes]) -> list[bytes]:
+        found = self.model.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def together(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces without white space at their ends, but for one space in front: end to end, a newline before those without a space."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        gap = np.fromiter((p[0] != 32 for p in pieces), bool, len(pieces))
+        stop = np.cumsum(size + gap)
+        cuts = np.flatnonzero(np.diff(stop // CALL_BYTES, prepend=-1)).tolist()
+        calls = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(pieces)], strict=True)]
+        whole = [b"".join([b"\n" + p if p[0] != 32 else p for p in pieces[c]]).decode() for c in calls]
+        out: list[bytes] = []
+        for c, found in zip(calls, self.model.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            place = np.concatenate([[0], np.cumsum(self.size[ids])])
+            end = stop[c] - (stop[c.start] - size[c.start] - gap[c.start])
+            cut = np.stack([end - size[c], end], axis=1)
+            where = np.searchsorted(place, cut)
+            if place[-1] != end[-1] or not np.array_equal(place[np.minimum(where, len(ids))], cut):
+                out += self.alone(pieces[c])
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in where.tolist()]
+        return out
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces."""
+        found: list[bytes | None] = list(map(self.kept.get, pieces))
+        unknown = []
+        for k, ids in enumerate(found):
+            if ids is None:
+                found[k] = ids = self.older.get(pieces[k])
+                if ids is None:
+                    unknown.append(k)
+                else:
+                    self.kept[pieces[k]] = ids
+        plain, odd = [], []
+        for k in unknown:
+            p = pieces[k]
+            if p[0] < 128 and p[-1] < 128:
+                is_odd = _IS_BLANK[p[-1]] or (_IS_BLANK[p[0]] and (p[0] != 32 or len(p) == 1))
+            else:
+                ends = blank_bytes(np.frombuffer(p[:4] + p[-4:], np.uint8))
+                is_odd = ends[-1] or (ends[0] and p[0] != 32)
+            if is_odd or any(map(p.__contains__, self.special)):
+                odd.append(k)
+            else:
+                plain.append(k)
+        for group, way in ((plain, self.together), (odd, self.alone)):
+            for k, ids in zip(group, way([pieces[k] for k in group]), strict=True):
+                found[k] = ids
+                if len(pieces[k]) <= KEPT_BYTES:
+                    self.kept[pieces[k]] = ids
         if len(self.kept) > KEPT_PIECES:
-            self.kept.clear()
-        new = [p for p in pieces if p not in self.kept]
-        self.kept.update(zip(new, self.whole([" " + p for p in new]), strict=True))
-        first = dict(zip(firsts, self.whole(list(firsts)), strict=True))
-        rest = iter(self.whole([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        return [next(rest) if p is None else first[p[0]] + b"".join(map(self.kept.__getitem__, p[1:])) for p in cut]
+            self.kept, self.older = {}, self.kept
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and the n + 1 offsets of the texts in them (null: empty)."""
+        data, offs = flat(texts)
+        starts = piece_starts(data, offs, not any(map(data.tobytes().__contains__, self.special)))
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(offs), np.int64)
+        cuts = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, cuts, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        which = coded.indices.to_numpy()
+        known = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, count = np.cumsum(size) - size, size[which]
+        end = np.cumsum(count)
+        out = known[np.arange(end[-1]) + np.repeat(first[which] - end + count, count)]
+        return out, np.concatenate([[0], end])[np.searchsorted(starts, offs)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -222,11 +332,11 @@ def write_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         part, model, files, end, out = TaskContext.get().partitionId(), encoder(tokenizer), [], array("I", [END_ID]).tobytes(), None
         for batch in batches:
             for rows in steps(batch, 1):
-                found = model.encode([t or "" for t in rows.column(1).to_pylist()])
-                for doc, ids in zip(rows.column(0).to_pylist(), found, strict=True):
+                ids, offs = model.encode(rows.column(1))
+                for doc, a, b in zip(rows.column(0).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                     if out is None:
                         out = Writer(f"{folder}/{part:06d}-{uuid.uuid4().hex}.ids", bits)
-                    out.add(doc, ids + end)
+                    out.add(doc, ids[a:b].tobytes() + end)
                     if out.ids >= FILE_IDS or len(out.docs) >= FILE_DOCS:
                         files.append(out.close())
                         out = None
