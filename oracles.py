@@ -195,6 +195,8 @@ Q["shuffled_batches"] = _with(P, f"r as (select pair_id, {hash_rank('pair_id', '
 Q["encode_passages"] = _with(P, "pp as (select pair_id id, a t from pairs)", hashed_sparse("pp", "p"),
                              "p_ids as (select id from pp)", hashed_dense("p")) + "select id pid, vec from p_vec"
 Q["embedding_store"] = Q["encode_passages"]
+Q["encode_incremental"] = _with("pp as (select doc_id id, text t from documents)", hashed_sparse("pp", "p"),
+                                "p_ids as (select id from pp)", hashed_dense("p")) + "select id pid, vec from p_vec"
 Q["encode_queries"] = _with(U, f"uq as (select utt_id id, {wrap(strip_blank('text'))} t from utt)",
                             hashed_sparse("uq", "q"), "q_ids as (select id from uq)", hashed_dense("q")) + \
     "select id qid, vec from q_vec"
@@ -408,5 +410,10 @@ Q["chat_generator"] = _with(U, f"gp as (select utt_id qid, {strip_blank('text')}
     "select qid utt_id, cand, reply, reason from kept"
 
 
+Q["chat_modes"] = f"""select 'generator' mode, utt_id, cand, reply from ({Q['chat_generator']})
+union all select 'retriever', utt_id, null::int, reply from ({Q['chat_retriever']})
+union all select 'anything else', utt_id, cand, reply from ({Q['chat_refine']})"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

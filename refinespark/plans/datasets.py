@@ -17,29 +17,37 @@ from ..operators.evaluate import evaluate_batches
 from ..operators.exact import topk_exact_bulk
 from ..operators.retrieve import lookup_passage
 from ..operators.sampling import DEFAULT_SEED, bernoulli_mix, exact_split, shuffled_batches
-from ..operators.vocab import attention_mask, encode_tokens, labels_column, pad_longest
+from ..operators.vocab import attention_mask, encode_columns, encode_tokens, fits, labels_column, pad_columns
 from ..session import materialise
+from ..sources.stores import embedding_store
 
 
-def _padded(df: DataFrame, key: str, text_col: str, vocab: DataFrame, ids: str, mask: str) -> DataFrame:
-    enc = encode_tokens(df, key, text_col, vocab, out=ids)
-    return pad_longest(enc, ids, mask_col=mask)
+def _examples(df: DataFrame, columns: dict[str, tuple[str, str | None]], vocab: DataFrame) -> DataFrame:
+    """(pair_id, ids and masks) of the text columns ({text column: (ids column, mask column or None)}).
+
+    One pass makes the ids of all columns and writes them; one aggregate over what was written gives all maxima.
+    """
+    if fits(vocab):
+        ids = encode_columns(df.select("pair_id", *columns), {c: out for c, (out, _) in columns.items()}, vocab).drop(*columns)
+    else:
+        ids = None
+        for c, (out, _) in columns.items():
+            part = encode_tokens(df, "pair_id", c, vocab, out=out)
+            ids = part if ids is None else ids.join(part, "pair_id")
+    return pad_columns(materialise(ids, "ids"), dict(columns.values()))
 
 
 def generator_dataset(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
     """L2: wrapped question -> wrapped answer: (pair_id, input_ids, attention_mask, labels)."""
     p = pairs.select("pair_id", wrap("q").alias("wq"), wrap("a").alias("wa"))
-    q = _padded(p, "pair_id", "wq", vocab, "input_ids", "attention_mask")
-    a = _padded(p, "pair_id", "wa", vocab, "labels", "_am")
-    return q.join(a.select("pair_id", labels_column("labels").alias("labels")), "pair_id")
+    both = _examples(p, {"wq": ("input_ids", "attention_mask"), "wa": ("labels", None)}, vocab)
+    return both.select("pair_id", "input_ids", "attention_mask", labels_column("labels").alias("labels"))
 
 
 def dpr_dataset(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
     """L3: raw question and raw answer, each tokenised, padded and masked on its own."""
-    q = _padded(pairs, "pair_id", "q", vocab, "q_input_ids", "q_attention_mask")
-    a = _padded(pairs, "pair_id", "a", vocab, "a_input_ids", "a_attention_mask")
-    return q.join(a, "pair_id").select("pair_id", "q_input_ids", "q_attention_mask", "a_input_ids",
-                                       "a_attention_mask")
+    both = _examples(pairs, {"q": ("q_input_ids", "q_attention_mask"), "a": ("a_input_ids", "a_attention_mask")}, vocab)
+    return both.select("pair_id", "q_input_ids", "q_attention_mask", "a_input_ids", "a_attention_mask")
 
 
 def refine_prompts(pairs: DataFrame, encoder, p: float = 0.3, seed: int = DEFAULT_SEED,
@@ -47,13 +55,16 @@ def refine_prompts(pairs: DataFrame, encoder, p: float = 0.3, seed: int = DEFAUL
     """(pair_id, prompt, retrieved_pid): gold prompt, or for drawn rows question + top-1 answer.
 
     The retrieval corpus is an argument (default: the answers of the same
-    pairs) and hits carry keys, never positions.
+    pairs) and hits carry keys, never positions; its vectors come from the store and are encoded
+    only once.  ``exclude_self``: never the pair's own answer, so it needs the pairs' own corpus.
     """
+    if exclude_self and corpus is not None:
+        raise ValueError("exclude_self compares answers of the pairs themselves; it has no meaning for another corpus")
     corpus = corpus if corpus is not None else pairs.select(F.col("pair_id").alias("pid"), F.col("a").alias("text"))
     chosen = bernoulli_mix(pairs.select("pair_id", "q"), "pair_id", p, seed)
     qv = guard_zero_vector(encode_queries(chosen.select(F.col("pair_id").alias("qid"), "q"), "qid", "q", encoder,
                                           wrap_markers=True), "vec", "quarantine")
-    pv = encode_passages(corpus, "pid", "text", encoder)
+    pv = embedding_store(corpus, encoder)
     k = 2 if exclude_self else 1
     hits = topk_exact_bulk(qv, pv, k=k, dim=getattr(encoder, "dim", None))
     if exclude_self:
@@ -68,13 +79,10 @@ def refine_prompts(pairs: DataFrame, encoder, p: float = 0.3, seed: int = DEFAUL
 
 
 def refine_dataset(pairs: DataFrame, vocab: DataFrame, encoder, p: float = 0.3, seed: int = DEFAULT_SEED,
-                   corpus: DataFrame | None = None) -> DataFrame:
+                   corpus: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
     """L1: (pair_id, input_ids, attention_mask, labels) of the retrieve-and-refine set."""
-    # read four times below (ids and maxima of prompts and targets): computed once
-    prompts = materialise(refine_prompts(pairs, encoder, p, seed, corpus))
-    x = _padded(prompts, "pair_id", "prompt", vocab, "input_ids", "attention_mask")
-    y = _padded(prompts, "pair_id", "target", vocab, "labels", "_am")
-    return x.join(y.select("pair_id", "labels"), "pair_id")
+    prompts = refine_prompts(pairs, encoder, p, seed, corpus, exclude_self)
+    return _examples(prompts, {"prompt": ("input_ids", "attention_mask"), "target": ("labels", None)}, vocab)
 
 
 def evaluate_retriever(pairs: DataFrame, encoder, train_fraction: float = 0.8, batch_size: int = 20,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import gold_prompt, refine_prompt, wrap
 from ..functions.vectors import SCORE_DECIMALS
 from ..operators import ann, encode, evaluate, exact, generate, retrieve, sampling, vocab as voc
+from ..session import shared_dir
 from ..sources import stores
 from ..sources import tables as src
 from ..streaming import chat_stream
@@ -208,6 +209,15 @@ def q_encode_passages(spark, sf):
     return encode.encode_passages(_passages(spark, sf), "pid", "text", _enc())
 
 
+def q_encode_incremental(spark, sf):
+    """A corpus that grows: one language stored first, then all documents; only what is new is encoded."""
+    import uuid
+    docs = src.read_table(spark, sf, "documents", "doc_id", "text", "lang")
+    store = stores.VectorStore(spark, _enc(), root=shared_dir(spark, "stores", f"grown-{uuid.uuid4().hex}"))
+    store.append(docs.where(F.col("lang") == "en"), key="doc_id")
+    return store.read(docs, key="doc_id").withColumnRenamed("doc_id", "pid")
+
+
 def q_encode_queries(spark, sf):
     u = chat.normalize_utterance(src.utterances(spark, sf))
     return encode.encode_queries(u.select(F.col("utt_id").alias("qid"), "prompt"), "qid", "prompt", _enc(),
@@ -274,26 +284,29 @@ def q_ann_search_l2(spark, sf):
 
 def q_retrieve_table(spark, sf):
     pairs = _pairs(spark, sf)
-    return retrieve.retrieve_table(pairs.select("pair_id", "q", "a"), src.passages(pairs), _enc(), k=1,
-                                   qkey="pair_id")
+    side = chat.serve(pairs, _enc())
+    return retrieve.retrieve_table(pairs.select("pair_id", "q", "a"), side.passages, _enc(), k=1,
+                                   qkey="pair_id", passage_vecs=side.vectors)
 
 
 def q_retrieve_table_ids(spark, sf):
     pairs = _pairs(spark, sf)
     ds = pairs.select(F.col("pair_id").alias("id"), F.col("q").alias("question"))
-    return retrieve.retrieve_table_ids(ds, src.passages(pairs), _enc(), k=2)
+    side = chat.serve(pairs, _enc())
+    return retrieve.retrieve_table_ids(ds, side.passages, _enc(), k=2, passage_vecs=side.vectors)
 
 
 def q_retrieve_with_truth(spark, sf):
     docs = src.read_table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("pid"), "text")
     truth = src.truth_queries(spark, sf)
-    return retrieve.retrieve_table_ids(truth, docs, _enc(), k=1)
+    return retrieve.retrieve_table_ids(truth, docs, _enc(), k=1, passage_vecs=stores.embedding_store(docs, _enc()))
 
 
 def q_search_passages(spark, sf):
     # the question of the R13 call is one string; it is searched over the whole corpus
-    return retrieve.search_passages(spark, "Que la vie est belle, et le monde aussi.", _passages(spark, sf),
-                                    _enc(), k=10)
+    side = chat.serve(_pairs(spark, sf), _enc())
+    return retrieve.search_passages(spark, "Que la vie est belle, et le monde aussi.", side.passages,
+                                    _enc(), k=10, passage_vecs=side.vectors)
 
 
 def q_lookup_passage(spark, sf):
@@ -389,6 +402,19 @@ def q_chat_refine(spark, sf):
     return chat.chat_refine(src.utterances(spark, sf), _pairs(spark, sf), _enc())
 
 
+def q_chat_modes(spark, sf):
+    """The mode choice: any value but the two named ones means refine."""
+    utts, side = src.utterances(spark, sf), chat.serve(_pairs(spark, sf), _enc())
+    found = None
+    for mode in ("generator", "retriever", "anything else"):
+        kw = {} if mode == "generator" else {"encoder": _enc()}
+        part = chat.chat(utts, side, mode, **kw)
+        cand = F.col("cand") if "cand" in part.columns else F.lit(None)
+        part = part.select(F.lit(mode).alias("mode"), "utt_id", cand.cast("int").alias("cand"), "reply")
+        found = part if found is None else found.union(part)
+    return found
+
+
 def q_chat_stream(spark, sf):
     import uuid
     stream = chat_stream.utterance_stream(spark, f"{sf.rstrip('/')}/conversations*.parquet")

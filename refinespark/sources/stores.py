@@ -29,8 +29,8 @@ def fingerprint(df: DataFrame, *cols: str, params: str = "") -> str:
     return hashlib.sha1(f"{_content(df, *cols)}:{params}".encode()).hexdigest()[:16]
 
 
-def _generations(spark: SparkSession, root: str, last: str) -> list[str]:
-    """Complete generations in ``root``, in order of their names: those whose table ``last`` is complete."""
+def complete_folders(spark: SparkSession, root: str, last: str = "") -> list[str]:
+    """Folders in ``root``, in order of their names, whose table ``last`` (default: they themselves) is complete."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     top = path(root)
@@ -38,7 +38,7 @@ def _generations(spark: SparkSession, root: str, last: str) -> list[str]:
     if not fs.exists(top):
         return []
     names = sorted(s.getPath().getName() for s in fs.listStatus(top))
-    return [f"{root}/{n}" for n in names if fs.exists(path(f"{root}/{n}/{last}/_SUCCESS"))]
+    return [f"{root}/{n}" for n in names if fs.exists(path(f"{root}/{n}/{last}/_SUCCESS" if last else f"{root}/{n}/_SUCCESS"))]
 
 
 class VectorStore:
@@ -54,7 +54,7 @@ class VectorStore:
         self.root = root or shared_dir(spark, "stores", f"{name}-{encoder.name}")
 
     def generations(self) -> list[str]:
-        return _generations(self.spark, self.root, "manifest")
+        return complete_folders(self.spark, self.root, "manifest")
 
     def _rows(self, kind: str, generations: list[str]) -> DataFrame:
         schema = f"key {kind}, text_hash long, vec array<float>"
@@ -115,7 +115,7 @@ def index_store(vectors: DataFrame, nlist: int = 16, bits: int = 8, iters: int =
     spark = vectors.sparkSession
     fp = fingerprint(vectors, "pid", "vec", params=f"ivf:{nlist}:{bits}:{iters}:{seed}:{method}")
     root = shared_dir(spark, "stores", f"ivf-{fp}")
-    found = _generations(spark, root, "centroids")
+    found = complete_folders(spark, root, "centroids")
     if found:
         return open_index(spark, found[0], bits, nlist)
     return build_index(vectors, nlist, bits, iters, seed, method, path=f"{root}/{uuid.uuid4().hex}")

@@ -150,7 +150,7 @@ def test_half_written_generations_do_not_count(spark, tmp_path):
     p.write.parquet(f"{store.root}/000000-lost/vectors")  # a writer was lost before its manifest
     assert store.generations() == [] and vectors_of(store.read(p)) == vectors_of(encode_passages(p, "pid", "text", enc))
     with pytest.raises(Exception):
-        stores._generations(spark, "nosuchscheme://x/y", "manifest")
+        stores.complete_folders(spark, "nosuchscheme://x/y", "manifest")
 
 
 def test_content_is_a_multiset(spark):
