@@ -7,15 +7,18 @@ any mark are left out.  Near copies count once (least hash of their word shingle
 copies makes no marks.
 
 The field has two states.  Emissions are hashed features of the word, its beginnings and its neighbours;
-transitions and a start vector are learnt too.  Training averages the parameters of ``PARTS`` parts of the sample
-after ``LOCAL_STEPS`` gradient steps each, ``ROUNDS`` times.  The sample is bounded by ``SAMPLE_ROWS`` labelled
-rows (the least hashes of ids); a part of it is kept apart to calibrate document scores from the marginals.
+transitions and a start vector are learnt too.  Training cuts the sample in parts of about ``PART_BYTES``, climbs
+``LOCAL_STEPS`` steps in each and merges the parameters (each weighted by how much the part saw of it), ``ROUNDS``
+times; the merge is a tree over the parts' numbers.  The sample is bounded by ``SAMPLE_ROWS`` labelled rows (the least hashes
+of ids) and ``SAMPLE_BYTES`` of text (the least hashes again); a labelled text over ``LONGEST`` bytes is not fitted on, but scored
+like any other.  A part of the sample is kept apart to calibrate document scores from the marginals.  Every choice is by hashes
+of ids and texts and every sum is taken in a fixed order, so a model depends on the tables, not on how their rows are dealt.
 
 Scoring maps every row: forward-backward over the whole text, in both directions exact, marginals aggregated to
 a score, and the words whose marginal exceeds one half are reported as spans in code points.
 
-Null, empty and word-less texts: no words, no spans, the score of a text without evidence.  No labelled rows,
-or one class only: all scores are the prior.  A label row without id or label is ignored; of several the
+Null, empty and word-less texts: no words, no spans, the score of a text without evidence.  One class of labels
+only, or none: all scores are the share of toxic labels (0 without any label).  A label row without id or label is ignored; of several the
 largest label counts.  Repeated rows, null ids, empty tables and extra columns: every row is scored by its text alone.
 """
 
@@ -34,15 +37,17 @@ from refinespark.llm.common import (_BYTE_VALUES, _INVERSE, _ODD, append_columns
                                     window_hashes, word_spans, written)
 from refinespark.llm.decontaminate import IS_SEPARATOR
 
-SAMPLE_ROWS = 16_000
-PARTS, ROUNDS, LOCAL_STEPS = 4, 2, 12
-#: Marks kept at most, the most frequent first; a bounded sample has few.
-MAX_MARKS = 50_000
+SAMPLE_ROWS, SAMPLE_BYTES, LONGEST = 16_000, 12 << 20, 1 << 20
+PART_BYTES, ROUNDS, LOCAL_STEPS = 512 << 10, 2, 10
+#: The sample is cut by bytes at one of so many ranges of hashes; parts merged at once.
+RANGES, MERGED = 1_024, 8
 RATIO, SUPPORT = 10.0, 5
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
 RATE, RIDGE, SHINGLE = 0.5, 1e-3, 5
 HELD_OUT_MOD = 5
+#: Evidence weights before any calibration row is seen (the log-odds of the largest marginal), and how much they count.
+PRIOR, KEEP = np.array([0.0, 1.0, 0.0, 0.0]), 0.1
 
 
 class Words(NamedTuple):
@@ -172,8 +177,8 @@ def gradient(model: Model, places: np.ndarray, begins: np.ndarray, labels: np.nd
     return Model(weights, links)
 
 
-def climb(model: Model, slices: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int) -> Model:
-    """Steps up the likelihood of all slices, each parameter with a rate of its own."""
+def climb(model: Model, slices: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int) -> tuple[Model, Model]:
+    """Steps up the likelihood of all slices, each parameter with a rate of its own; and the squared gradients seen."""
     seen_w, seen_l = np.full(1 << BITS, 1e-8), np.full((3, 2), 1e-8)
     for _ in range(rounds):
         parts = [gradient(model, *x) for x in slices]
@@ -181,7 +186,7 @@ def climb(model: Model, slices: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
         grad_l = sum(p.links for p in parts) - RIDGE * model.links
         seen_w, seen_l = seen_w + grad_w**2, seen_l + grad_l**2
         model = Model(model.weights + RATE * grad_w / np.sqrt(seen_w), model.links + RATE * grad_l / np.sqrt(seen_l))
-    return model
+    return model, Model(seen_w, seen_l)
 
 
 # --- training ------------------------------------------------------------------------------------
@@ -210,8 +215,14 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     chosen = written(chosen, "labels")  # at most ``rows`` ids and labels: bounded for the broadcast
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "toxic")
-    return (texts.mapInArrow(_sketches, f"id {kind}, text string, toxic int, sketch bigint")
-            .dropDuplicates(["sketch", "toxic"]))
+    texts = texts.filter(F.octet_length("text") <= LONGEST)
+    one = F.min(F.struct(F.xxhash64("id").alias("h"), "id", "text")).alias("row")  # the same of each group, however the rows lie
+    once = texts.mapInArrow(_sketches, f"id {kind}, text string, toxic int, sketch bigint").groupBy("sketch", "toxic").agg(one)
+    once = written(once.select("row.id", "row.text", "toxic", "sketch", F.shiftrightunsigned("row.h", 64 - RANGES.bit_length() + 1).alias("range")), "once")
+    sizes = sorted(once.groupBy("range").agg(F.sum(F.octet_length("text").cast("long"))).collect())  # ``RANGES`` rows at most
+    upto = np.cumsum([n for _, n in sizes])
+    within = [r for (r, _), n in zip(sizes, upto.tolist(), strict=True) if n <= SAMPLE_BYTES]
+    return once.filter(F.col("range") <= (within[-1] if within else RANGES)).drop("range")
 
 
 def marks(train: DataFrame) -> np.ndarray:
@@ -235,7 +246,7 @@ def marks(train: DataFrame) -> np.ndarray:
     counted = (train.select("text", "toxic").mapInArrow(run, "key bigint, clean bigint, toxic bigint").filter("key != 0")
                .groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     often = (F.col("toxic") + 0.5) / (toxic + 1) >= RATIO * (F.col("clean") + 0.5) / (clean + 1)
-    found = counted.filter(often & (F.col("toxic") >= SUPPORT)).orderBy(F.desc("toxic"), "key").limit(MAX_MARKS).select("key").collect()
+    found = counted.filter(often & (F.col("toxic") >= SUPPORT)).select("key").collect()  # words of the bounded sample
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
@@ -257,27 +268,57 @@ def _labelled(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> list[tupl
     return [x for x in found if len(x[2])]
 
 
-def fit_field(train: DataFrame, known: np.ndarray, parts: int = PARTS, rounds: int = ROUNDS, local_steps: int = LOCAL_STEPS) -> Model:
-    """The field's parameters: averages over the parts, ``rounds`` times."""
+_STATE = "part int, weights binary, links binary, seen_weights binary, seen_links binary"
+_ARROW_STATE = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("weights", "links", "seen_weights", "seen_links"))])
+
+
+def _state_row(part: int, model: Model, seen: Model) -> pa.Table:
+    return pa.table({"part": [part], "weights": [model.weights.tobytes()], "links": [model.links.tobytes()],
+                     "seen_weights": [seen.weights.tobytes()], "seen_links": [seen.links.tobytes()]}, schema=_ARROW_STATE)
+
+
+def _state(row: dict) -> tuple[Model, Model]:
+    w, k, sw, sk = (np.frombuffer(row[c]) for c in ("weights", "links", "seen_weights", "seen_links"))
+    return Model(w, k.reshape(3, 2)), Model(sw, sk.reshape(3, 2))
+
+
+def _merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Parts in order of their numbers as one: parameters weighted by the squared gradients seen."""
+    total, mass = Model.zero(), Model.zero()
+    for row in sorted(table.to_pylist(), key=lambda r: r["part"]):
+        model, seen = _state(row)
+        total = Model(total.weights + model.weights * seen.weights, total.links + model.links * seen.links)
+        mass = Model(mass.weights + seen.weights, mass.links + seen.links)
+    return _state_row(key[0].as_py(), Model(total.weights / mass.weights, total.links / mass.links), mass)
+
+
+def fit_field(train: DataFrame, known: np.ndarray, part_bytes: int = PART_BYTES, rounds: int = ROUNDS, local_steps: int = LOCAL_STEPS) -> Model:
+    """The field's parameters: climbed in parts and merged, ``rounds`` times."""
     spark = train.sparkSession
+    size = train.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
     part = F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")
     train = written(train.select(part.alias("part"), "text", "toxic"), "train")
     model = Model.zero()
     for _ in range(rounds):
-        state = spark.sparkContext.broadcast((model, known))  # 2 MB of weights, MAX_MARKS hashes
+        state = spark.sparkContext.broadcast((model, known))  # 2 MB of weights, hashes of the sample's marks
 
         def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             now, marked = state.value
-            slices = _labelled(iter(table.select(["text", "toxic"]).to_batches()), marked)
-            now = climb(now, slices, local_steps) if slices else now
-            return pa.table({"weights": [now.weights.tobytes()], "links": [now.links.tobytes()]},
-                            schema=pa.schema([("weights", pa.binary()), ("links", pa.binary())]))
-
-        got = train.groupBy("part").applyInArrow(run, "weights binary, links binary").collect()  # ``parts`` rows of 2 MB
+            table = table.select(["text", "toxic"]).sort_by([("text", "ascending"), ("toxic", "ascending")]).combine_chunks()
+            slices = _labelled(iter(table.to_batches()), marked)
+            now, seen = climb(now, slices, local_steps) if slices else (now, Model(np.full(1 << BITS, 1e-8), np.full((3, 2), 1e-8)))
+            return _state_row(key[0].as_py(), now, seen)
+
+        found, left = written(train.groupBy("part").applyInArrow(run, _STATE), "parts"), parts
+        while left > 1:
+            step = found.withColumn("group", F.floor(F.col("part") / MERGED).cast("int")).groupBy("group")
+            found, left = written(step.applyInArrow(lambda key, table: _merged(key, table.drop(["group"])), _STATE), "merged"), -(-left // MERGED)
+        got = found.collect()  # one row
         state.unpersist()
         if not got:
             return model
-        model = Model(np.mean([np.frombuffer(r[0]) for r in got], axis=0), np.mean([np.frombuffer(r[1]).reshape(3, 2) for r in got], axis=0))
+        model = _state(got[0].asDict())[0]
     return model
 
 
@@ -305,14 +346,22 @@ def calibrate(train: DataFrame, model: Model) -> np.ndarray:
                 evidence = tag(state.value, part.column(0))[2]
                 yield pa.RecordBatch.from_arrays([pa.array(evidence[:, k]) for k in range(1, 4)] + [part.column(1)], names=["a", "b", "c", "toxic"])
 
-    rows = np.array(train.select("text", "toxic").mapInArrow(run, "a double, b double, c double, toxic int").collect(), float).reshape(-1, 4)
+    rows = sorted(map(tuple, train.select("text", "toxic").mapInArrow(run, "a double, b double, c double, toxic int").collect()))
+    rows = np.array(rows, float).reshape(-1, 4)
     x, y = np.hstack([np.ones((len(rows), 1)), rows[:, :3]]), rows[:, 3]
-    w, keep = np.zeros(4), np.diag([1e-2, 1e-2, 1e-2, 1e-2])
-    for _ in range(50):  # Newton steps; the ridge keeps separable classes finite
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + KEEP / 2 * ((w - PRIOR) ** 2).sum())
+
+    w = PRIOR.copy()
+    for _ in range(50):  # Newton steps, halved until the loss falls; the ridge towards ``PRIOR`` keeps separable classes and small samples finite
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + KEEP * np.eye(4), x.T @ (y - p) - KEEP * (w - PRIOR))
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w = w + size * step
+        if size * np.abs(step).max() < 1e-8:
             break
     return w
 
@@ -322,6 +371,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The field and the weights of the evidence, from rows whose crc32(id) modulo ``HELD_OUT_MOD`` is not 0."""
     prepare(docs.sparkSession)
     train = written(sample(docs, labels, id_col, text_col, label_col, rows), "sample")
+    counts = dict(train.groupBy("toxic").count().collect())
+    if not counts.get(0) or not counts.get(1):  # one class or none: the share of toxic labels, whatever the text
+        odds = 30.0 if counts.get(1) else -30.0
+        return Model.zero(), np.array([odds, 0.0, 0.0, 0.0])
     apart = _bucket(F.col("id")) == 1
     learn = train.filter(~apart)
     model = fit_field(learn, marks(learn))
