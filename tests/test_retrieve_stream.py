@@ -73,21 +73,6 @@ def test_store_reuses_by_fingerprint(spark):
     assert a.inputFiles() != c.inputFiles()
 
 
-def test_contains_join_equals_brute_force(spark):
-    from refinespark.operators.textmatch import contains_join
-    import random
-    rng = random.Random(3)
-    words = ["alpha", "beta", "gamma", "delta", "épée", "ß", "x"]
-    docs = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 80))) for _ in range(40)]
-    pats = [d[i:i + ln] for d in docs[:10] if d for i, ln in [(rng.randint(0, max(0, len(d) - 50)), 45)]]
-    pats += ["beta gamma", "zzz not there at all, long enough to have a key......", ""]
-    ddf = spark.createDataFrame(list(enumerate(docs)), "did long, d_text string")
-    pdf = spark.createDataFrame(list(enumerate(pats)), "pid long, p_text string")
-    got = {(r.did, r.pid) for r in contains_join(ddf, pdf).collect()}
-    want = {(i, j) for i, d in enumerate(docs) for j, p in enumerate(pats) if p in d}
-    assert got == want
-
-
 def test_nearest_cells_keep_null_vectors(spark):
     cents = spark.createDataFrame([(0, [0.0, 0.0]), (1, [4.0, 0.0]), (2, [4.0, 0.0])], "cell int, vec array<double>")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [4.0, 1.0]), (4, [2.0, 0.0])], "pid long, vec array<float>")
