@@ -138,6 +138,8 @@ Q: dict[str, str] = {}
 # sources
 Q["read_pairs"] = PAIRS
 Q["utterances"] = UTTERANCES
+Q["read_pairs_csv"] = _with(P) + """select row_number() over (order by pair_id) - 1 pair_id, q, a from pairs
+  where q is not null and a is not null"""
 Q["corpus_profile"] = _with(P) + """select count(*) rows_before, count(*) filter (where q is not null and a is not null) rows_after,
   count(a) passages, count(distinct a) distinct_answers, count(distinct q) distinct_questions from pairs"""
 Q["passage_ids"] = _with(P) + "select pair_id pid, row_number() over (order by pair_id) - 1 pos, a text from pairs"

@@ -71,6 +71,15 @@ def q_read_pairs(spark, sf):
     return _pairs(spark, sf)
 
 
+def q_read_pairs_csv(spark, sf):
+    """The pairs written as CSV files (quoted, with line breaks) in their order, and read back with their positions."""
+    import uuid
+    path = shared_dir(spark, "csv", uuid.uuid4().hex)
+    pairs = _pairs(spark, sf).orderBy("pair_id").select(F.col("q").alias("Q"), F.col("a").alias("A"))
+    pairs.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return src.read_pairs_csv(spark, path)
+
+
 def q_corpus_profile(spark, sf):
     return src.corpus_profile(_pairs(spark, sf))
 

@@ -9,12 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PAIR_SCHEMA = T.StructType([
-    T.StructField("Q", T.StringType()),
-    T.StructField("A", T.StringType()),
-])
+PAIR_DDL = "Q string, A string"
 
 
 # Fixed values of ``turn_id``: turns below SHORT keep the short id; the others lie from 2^62 on.
@@ -61,15 +57,18 @@ def with_position(df: DataFrame, name: str = "pair_id") -> DataFrame:
 def read_pairs_csv(spark: SparkSession, path: str, drop_duplicate_answers: bool = False) -> DataFrame:
     """question/answer CSV with header ``Q,A`` -> (pair_id, q, a).
 
-    Quoted fields may hold line breaks and doubled quotes.  Literal ``NA`` or
-    ``null`` stay text; rows with an empty q or a are dropped.
+    Quoted fields may hold line breaks and doubled quotes; a file is read by many tasks all the same
+    (``quoted_csv``).  ``pair_id`` is the record's position in file order.  Literal ``NA`` or
+    ``null`` stay text; rows with an empty q or a are dropped.  ``drop_duplicate_answers`` keeps the first pair of
+    each answer.
     """
-    raw = (spark.read.schema(PAIR_SCHEMA).option("header", True).option("multiLine", True)
-           .option("escape", '"').csv(path))
-    df = with_position(raw).select("pair_id", F.col("Q").alias("q"), F.col("A").alias("a"))
+    from .quoted_csv import csv_records
+    parsed = csv_records(spark, path).select(F.col("position").alias("pair_id"), F.from_csv("text", F.lit(PAIR_DDL), {"multiLine": "true", "escape": '"'}).alias("r"))
+    df = parsed.select("pair_id", F.col("r.Q").alias("q"), F.col("r.A").alias("a"))
     df = df.where(F.col("q").isNotNull() & F.col("a").isNotNull())
     if drop_duplicate_answers:  # present but disabled in the original builder
-        df = df.dropDuplicates(["a"])
+        first = df.groupBy("a").agg(F.min("pair_id").alias("pair_id"))
+        df = df.join(first, ["pair_id", "a"]).select("pair_id", "q", "a")
     return df
 
 
