@@ -1,10 +1,11 @@
 """Global rank, seeded draws, exact splits and batches.
 
-A dense global order number without a single-partition window: rows are put
-in buckets that are monotone in the wanted order; one small table of bucket
+A dense global order number without a single-partition window: in hash order, rows are put
+in buckets of the top hash bits; one small table of bucket
 counts gives each bucket its offset (prefix sum), and ``row_number`` runs
 inside each bucket only.  The bucket table is the only thing ordered as a
-whole, and its size is fixed by ``bucket_bits``.
+whole, and its size is fixed by ``bucket_bits``.  In key order, where buckets may be as uneven as the keys, rows are
+dealt by sampled ranges instead (``ranked_by_ranges``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash32
+from ..session import materialise
 
 DEFAULT_SEED = 42
 
@@ -22,14 +24,12 @@ def _key(seed: int, key: str, salt: str = "") -> Column:
 
 
 def ranked_by_buckets(df: DataFrame, bucket: Column, order: list[Column], name: str = "rank",
-                      with_total: bool = False, broadcast_offsets: bool = True) -> DataFrame:
+                      with_total: bool = False) -> DataFrame:
     """Add a dense 1-based rank in (bucket asc, *order) order.
 
     ``bucket`` must be monotone in ``order``.  The offsets table has one row
     per bucket; it is joined back with a broadcast hint only because its size
     is bounded by the bucket expression (callers keep it in the thousands).
-    Callers whose bucket count grows with the data pass
-    ``broadcast_offsets=False`` and AQE chooses the join at run time.
     """
     b = df.withColumn("_bk", bucket)
     counts = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))
@@ -39,7 +39,7 @@ def ranked_by_buckets(df: DataFrame, bucket: Column, order: list[Column], name:
         cols.append(F.sum("_n").over(Window.partitionBy()).alias("_total"))
     offsets = counts.select(*cols)
     rn = F.row_number().over(Window.partitionBy("_bk").orderBy(*order))
-    out = b.join(F.broadcast(offsets) if broadcast_offsets else offsets, "_bk").withColumn(name, (F.col("_off") + rn).cast("long"))
+    out = b.join(F.broadcast(offsets), "_bk").withColumn(name, (F.col("_off") + rn).cast("long"))
     return out.drop("_bk", "_off")
 
 
@@ -52,15 +52,32 @@ def global_rank(df: DataFrame, key: str, seed: int = DEFAULT_SEED, name: str = "
     return ranked_by_buckets(df, bucket, [F.col("_h"), F.col(key)], name, with_total).drop("_h")
 
 
-def key_order_rank(df: DataFrame, key: str, name: str = "rank", buckets: int = 4096) -> DataFrame:
-    """Dense rank in plain key order; buckets are equal-width ranges of the key."""
-    stats = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    lo = stats.select("lo").scalar()
-    hi = stats.select("hi").scalar()
-    bucket = F.when(F.lit(hi) == F.lit(lo), F.lit(0)).otherwise(
-        F.width_bucket(F.col(key).cast("double"), lo.cast("double"), (hi + 1).cast("double"),
-                       F.lit(buckets)))
-    return ranked_by_buckets(df, bucket, [F.col(key)], name)
+def ranked_by_ranges(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Add a dense 1-based rank in the given order, whatever the distribution of the keys.
+
+    Rows are dealt by sampled ranges of (*order, hash of the row, input place): an outlier key takes no more than its share, and one value that
+    many rows have is cut by the hash, equal rows by their place.  The sorted rows are written; one count per
+    partition (a row a task) gives each partition its offset.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_tie", F.xxhash64(*df.columns)).withColumn("_place", F.monotonically_increasing_id())
+    keys = [*order, F.col("_tie"), F.col("_place")]
+    dealt = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie", "_place")
+    dealt = materialise(dealt.withColumn("_mid", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_mid", 33))
+    counts = sorted(map(tuple, dealt.groupBy("_part").agg(F.count(F.lit(1))).collect()))  # a row a task
+    offsets, total = [], 0
+    for part, rows in counts:
+        offsets.append((part, total))
+        total += rows
+    shift = df.sparkSession.createDataFrame(offsets, "_part long, _off long")
+    row = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    out = dealt.join(F.broadcast(shift), "_part").withColumn(name, (F.col("_off") + row + 1).cast("long"))
+    return out.drop("_part", "_mid", "_off")
+
+
+def key_order_rank(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
+    """Dense rank in plain key order."""
+    return ranked_by_ranges(df, [F.col(key)], name)
 
 
 def bernoulli_mix(df: DataFrame, key: str, p: float = 0.3, seed: int = DEFAULT_SEED) -> DataFrame:

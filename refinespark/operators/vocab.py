@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import BOS, EOS, vocab_tokens
 from ..session import materialise
-from .sampling import ranked_by_buckets
+from .sampling import ranked_by_ranges
 
 # Special tokens and their ids.
 PAD, UNK = "<pad>", "<unk>"
@@ -37,17 +37,16 @@ def build_vocab(texts: DataFrame, text_col: str = "text", min_count: int = 1,
                 max_size: int | None = None, materialised: bool = True) -> DataFrame:
     """(token, id INT, count LONG); specials first, then count desc, token asc.
 
-    Ranking uses buckets (count desc, first two characters): monotone in the
-    wanted order, so no window ever sees the whole vocabulary.  The result is
+    Words are ranked by sampled ranges of (count, token), so no window or task ever sees the whole vocabulary, and the many
+    words of a low count spread like any others.  The result is
     written once to the shared folder (``materialised``): every builder
-    joins it several times and it should not be re-derived from the corpus.
+    reads it several times and it should not be re-derived from the corpus.
     """
     spark = texts.sparkSession
     toks = (texts.select(F.explode(vocab_tokens(text_col)).alias("token"))
                  .where(~F.col("token").isin(BOS, EOS)))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
-    bucket = F.struct((-F.col("count")).alias("c"), F.substring("token", 1, 2).alias("p"))
-    ranked = ranked_by_buckets(counts, bucket, [F.col("token")], "_rk", broadcast_offsets=False)
+    ranked = ranked_by_ranges(counts, [F.col("count").desc(), F.col("token").asc()], "_rk")
     words = ranked.select("token", (F.col("_rk") + (N_SPECIAL - 1)).cast("int").alias("id"), "count")
     if max_size is not None:
         words = words.where(F.col("id") < N_SPECIAL + max_size)

@@ -7,9 +7,16 @@ stage, so it must be explicit before one).
 
 from __future__ import annotations
 
+from typing import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_arrow_limits, materialise
+
 PAIR_DDL = "Q string, A string"
 
 
@@ -72,34 +79,67 @@ def read_pairs_csv(spark: SparkSession, path: str, drop_duplicate_answers: bool
     return df
 
 
-def conversation_pairs(spark: SparkSession, sf_dir: str, dense_turns: bool | None = None) -> DataFrame:
-    """Pair fixture: a user turn followed at once by an assistant turn -> (pair_id, q, a).
+def next_rows(conv: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, next_role, next_text): every turn with the one that follows it in its conversation.
 
-    "Followed at once" is ``lead`` over (conv_id order by turn).  When every
-    conversation numbers its turns densely and without repeats (checked by
-    one aggregate unless ``dense_turns`` is given), the next turn is turn + 1
-    and the pairs come from an equi-join on (conv_id, turn): unique keys, so a
-    conversation holding a large share of all turns is spread over many
-    tasks.  Otherwise the window runs per conversation (sort-based, spills).
+    Turns are dealt by ranges of (conv_id, turn), so a conversation that holds a large share of all turns is spread over many
+    tasks and gaps, repeats or nulls need no form of their own.  A task pairs neighbours in its range; the last turn of a
+    range meets the first one of the next range in a table of border rows (two a task).  Null conversations are one
+    conversation; turns without a number come last; equal numbers go by role and text.
     """
+    spark = conv.sparkSession
+    ensure_arrow_limits(spark)
+    names = ["part", "border", "conv_id", "turn", "role", "text", "next_role", "next_text"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId(), None
+
+        def row(kind: str | None, columns: list[pa.Array], follows: list[pa.Array]) -> pa.RecordBatch:
+            n = len(columns[0])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array([kind] * n, pa.string()), *columns, *follows], names=names)
+
+        def none(n: int) -> list[pa.Array]:
+            return [pa.nulls(n, pa.string())] * 2
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.cast(t) for c, t in zip(b.columns, kinds, strict=True)]
+            if held is None:
+                yield row("first", [c.slice(0, 1) for c in cols], none(1))  # a copy for the range before
+            else:
+                cols = [pa.concat_arrays([x, c]) for x, c in zip(held, cols, strict=True)]
+            n = len(cols[0]) - 1
+            if n:
+                here, after = cols[0].slice(0, n), cols[0].slice(1)
+                same = pc.or_(pc.fill_null(pc.equal(here, after), False), pc.and_(pc.is_null(here), pc.is_null(after)))
+                at = pa.array(np.arange(1, n + 1), mask=~same.to_numpy(zero_copy_only=False))  # null where another conversation begins
+                yield row(None, [c.slice(0, n) for c in cols], [cols[2].take(at), cols[3].take(at)])
+            held = [c.slice(n) for c in cols]
+        if held is not None:
+            yield row("last", held, none(1))
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.asc_nulls_first("conv_id"), F.asc_nulls_last("turn"), F.col("role"), F.col("text")]
+    dealt = conv.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    schema = "part int, border string, conv_id long, turn long, role string, text string, next_role string, next_text string"
+    found = materialise(dealt.mapInArrow(run, schema), "turns")
+    by_part = Window.orderBy("part")  # a row a task
+    firsts = found.where("border = 'first'").select("part", F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("text").alias("t"))
+    after = firsts.select(F.lag("part").over(by_part).alias("part"), "c", "r", "t")
+    lasts = found.where("border = 'last'").drop("next_role", "next_text").join(after, "part", "left")
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    crossing = lasts.select("conv_id", "turn", "role", "text", F.when(same, F.col("r")).alias("next_role"), F.when(same, F.col("t")).alias("next_text"))
+    return found.where("border is null").select(*names[2:]).union(crossing)
+
+
+def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair fixture: a user turn followed at once by an assistant turn -> (pair_id, q, a)."""
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    if dense_turns is None:
-        per_conv = conv.groupBy("conv_id").agg(
-            F.count(F.lit(1)).alias("n"), F.countDistinct("turn").alias("nd"),
-            (F.max("turn") - F.min("turn") + 1).alias("span"))
-        dense_turns = per_conv.where((F.col("n") != F.col("nd")) | (F.col("n") != F.col("span"))) \
-                              .limit(1).count() == 0
-    if dense_turns:
-        users = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("q"))
-        nxt = conv.where(F.col("role") == "assistant").select(
-            "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
-        t = users.join(nxt, ["conv_id", "turn"])
-    else:
-        w = Window.partitionBy("conv_id").orderBy("turn")
-        t = conv.select("conv_id", "turn", "role", F.col("text").alias("q"),
-                        F.lead("text").over(w).alias("a"), F.lead("role").over(w).alias("nr")) \
-                .where((F.col("role") == "user") & (F.col("nr") == "assistant"))
-    return t.select(turn_id().alias("pair_id"), "q", "a")
+    t = next_rows(conv).where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
+    return t.select(turn_id().alias("pair_id"), F.col("text").alias("q"), F.col("next_text").alias("a"))
 
 
 def passages(pairs: DataFrame) -> DataFrame:
@@ -155,5 +195,4 @@ def truth_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .agg(F.min("d_text").alias("context"), F.array_sort(F.collect_set("d_text")).alias("answers"))
                  .select("id", F.col("p_text").alias("question"), "context", "answers"))
     # a scan of the whole corpus stands behind it and callers read it twice: write it once
-    from ..session import materialise
     return materialise(truth)

@@ -60,12 +60,60 @@ def test_batches_exact_size_last_short(spark):
     assert {r.k: r.batch_id for r in e0.collect()} != {r.k: r.batch_id for r in e1.collect()}
 
 
-def test_pairs_join_form_equals_window_form(spark):
-    from conftest import SF_CHECK
-    from refinespark.sources.tables import conversation_pairs
-    a = sorted(conversation_pairs(spark, SF_CHECK, dense_turns=True).collect())
-    b = sorted(conversation_pairs(spark, SF_CHECK, dense_turns=False).collect())
-    assert a == b and len(a) > 0
+def plain_pairs(rows):
+    """(q, a) of user turns followed at once by an assistant turn, by plain sorting."""
+    found = []
+    groups = {}
+    for conv, turn, role, text in rows:
+        groups.setdefault(conv, []).append((turn is None, turn or 0, role, text))
+    for turns in groups.values():
+        turns.sort()
+        found += [(x[3], y[3]) for x, y in zip(turns, turns[1:]) if x[2] == "user" and y[2] == "assistant"]
+    return sorted(found)
+
+
+def test_pairs_over_partition_borders(spark, tmp_path):
+    """Dense, sparse, repeated, null and one hot conversation: one plan, many ranges."""
+    import random
+    from refinespark.sources.tables import next_rows
+    rng = random.Random(8)
+    rows = [(7, t, rng.choice(["user", "assistant"]), f"hot {t}") for t in range(400)]  # most of all turns
+    rows += [(c, t * 3, rng.choice(["user", "assistant"]), f"{c} {t}") for c in range(20, 40) for t in range(rng.randrange(1, 6))]
+    rows += [(None, t, rng.choice(["user", "assistant"]), f"null {t}") for t in range(20)]
+    rows += [(50, 1, "user", "twice"), (50, 1, "user", "twice"), (50, 2, "assistant", "once"), (51, None, "assistant", "last"), (51, 3, "user", "before")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = next_rows(df).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.text, r.next_text) for r in got if r.role == "user" and r.next_role == "assistant") == plain_pairs(rows)
+    assert next_rows(df.limit(0)).collect() == []
+
+
+def test_ranks_of_outliers_and_of_one_value(spark):
+    from refinespark.operators.sampling import key_order_rank, sequential_batches
+    keys = [*range(500), 10**17, -10**17, *[42] * 300]
+    df = spark.createDataFrame([(k, i % 5) for i, k in enumerate(keys)], "k long, v int").repartition(7)
+    rows = key_order_rank(df, "k", name="r").collect()
+    assert sorted(r.r for r in rows) == list(range(1, len(keys) + 1))
+    ordered = [r.k for r in sorted(rows, key=lambda r: r.r)]
+    assert ordered == sorted(keys)
+    spread = spark.createDataFrame([(1, "same")] * 400, "k long, v string")
+    from refinespark.operators import sampling
+    seen = []
+    keep = sampling.materialise
+
+    def spy(d, name="table"):
+        out = keep(d, name)
+        seen.append(max(r[1] for r in out.groupBy(F.shiftright("_mid", 33)).count().collect()))
+        return out
+    sampling.materialise = spy
+    try:
+        assert sorted(r.r for r in key_order_rank(spread, "k", name="r").collect()) == list(range(1, 401))
+    finally:
+        sampling.materialise = keep
+    assert seen[0] < 200  # one value of all rows lies in many parts
+    batches = sequential_batches(df, "k", 100).groupBy("batch_id").count().collect()
+    assert sorted(r["count"] for r in batches) == [2, *[100] * 8]
+    assert key_order_rank(df.limit(0), "k").collect() == []
 
 
 def test_with_position_dense_over_partitions(spark):
