@@ -6,15 +6,16 @@ Plan (queries Q x d, passages N x d, N >> Q):
    own partitions* (``mapInArrow``; no shuffle, the scan is the only pass).
 2. Queries are hashed into ``G`` groups of about ``query_group_rows`` each
    and packed per group with ``collect_list`` (JVM side).
-3. Each passage block meets each query group through an equi-join on the
-   group id ``g``; passage blocks are replicated once per group.  When the
-   query side is under ``broadcast_bytes`` (checked from its row count and
-   width before planning) the groups are broadcast and passages never move;
-   above it both sides are hashed on (g, stripe) instead.
-4. A ``mapInArrow`` task scores every (block, group) pair with one matrix
+3. When the query side is under ``broadcast_bytes`` (checked from its row count and
+   width before planning) the groups are broadcast, each passage block meets each group through an equi-join on the
+   group id ``g``, and passages never move.  Above it both sides are dealt over a grid of query rows x passage
+   columns (``grid_factors``): a cell holds at most ``cell_bytes`` of either side, so a passage is copied once per
+   query row - query bytes / cell bytes - and not once per group, and a query once per column.
+4. A task scores every (block, group) pair with one matrix
    product, keeps a running top-k per query for the whole task (ties at the
    cut kept in full, order = score desc / distance asc, then pid asc) and
-   emits at most k rows per query per task.
+   emits at most k rows per query per task.  A block whose norms can't reach any query's k-th score (Cauchy-Schwarz for inner
+   products, difference of norms for L2) is skipped.
 5. ``row_number() <= k`` per query merges the task results; Catalyst plans it
    as a partial ``WindowGroupLimit`` before the shuffle and a final one after.
 
@@ -40,6 +41,7 @@ METRICS = ("ip", "l2")
 DEFAULT_BLOCK_ROWS = 2048
 DEFAULT_QUERY_GROUP_ROWS = 2048
 DEFAULT_BROADCAST_BYTES = 256 << 20
+DEFAULT_CELL_BYTES = 64 << 20     # of one side of a grid cell
 
 HIT_SCHEMA = "qid long, pid long, score double"
 _BLOCK_SCHEMA = pa.schema([("blk", pa.int64()), ("ids", pa.list_(pa.int64())),
@@ -154,9 +156,74 @@ class _TopK:
         self.thr[r[full]] = score[full] * self.sign
 
 
+    def out_of_reach(self, q_norms: np.ndarray, p_norms: np.ndarray, metric: str) -> bool:
+        """Whether no vector of a block with these norms can be among the k best of any query so far."""
+        if self.thr is None or np.isinf(self.thr).any() or not len(p_norms):
+            return False
+        lo, hi = float(p_norms.min()), float(p_norms.max())
+        if metric == "ip":
+            best = q_norms * hi
+        else:
+            best = -np.maximum(np.maximum(q_norms - hi, lo - q_norms), 0.0) ** 2
+        return bool((best < self.thr - 2 * 10.0 ** -SCORE_DECIMALS).all())
+
+
+class _Group:
+    """Queries of one group: their running top-k and norms."""
+
+    def __init__(self, qids: np.ndarray, qmat: np.ndarray, k: int, metric: str):
+        self.qids, self.q, self.metric, self.top = qids, qmat.astype(np.float64), metric, _TopK(k, metric)
+        self.q2 = np.einsum("ij,ij->i", self.q, self.q)
+
+    def score(self, pids: np.ndarray, pmat: np.ndarray) -> None:
+        if pmat.shape[1] != self.q.shape[1]:
+            raise ValueError(f"query width {self.q.shape[1]} != passage width {pmat.shape[1]}")
+        p = pmat.astype(np.float64)
+        p2 = np.einsum("ij,ij->i", p, p)
+        if self.top.out_of_reach(np.sqrt(self.q2), np.sqrt(p2), self.metric):
+            return
+        s = self.q @ p.T
+        if self.metric == "l2":
+            s = np.maximum(self.q2[:, None] + p2[None, :] - 2.0 * s, 0.0)
+        self.top.add(s, pids)
+
+    def hits(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.qids[self.top.r]), pa.array(self.top.pid), pa.array(self.top.score)],
+                                          names=["qid", "pid", "score"])
+
+
+def grid_factors(q_bytes: int, p_bytes: int, cell_bytes: int = DEFAULT_CELL_BYTES, tasks: int = 1) -> tuple[int, int]:
+    """(query rows, passage columns) of the grid: each side of a cell under ``cell_bytes``, ``tasks`` cells at least.
+
+    Query rows are what a passage is copied by, so extra cells for more tasks come from columns first.
+    """
+    rows = max(1, math.ceil(q_bytes / cell_bytes))
+    columns = max(1, math.ceil(p_bytes / cell_bytes))
+    return rows, max(columns, math.ceil(tasks / rows))
+
+
+def _cell_fn(k: int, metric: str, group_rows: int):
+    def run(key: tuple, queries: pa.Table, blocks: pa.Table) -> pa.Table:
+        found = []
+        if queries.num_rows and blocks.num_rows:
+            qids = queries["qid"].to_numpy().astype(np.int64)
+            qmat, _ = _matrix(queries["vec"].combine_chunks())
+            packed = [(np.asarray(i.values.to_numpy(zero_copy_only=False), np.int64), m.as_py(), d.as_py())
+                      for i, m, d in zip(blocks["ids"], blocks["mat"], blocks["d"], strict=True)]
+            for at in range(0, len(qids), group_rows):
+                group = _Group(qids[at:at + group_rows], qmat[at:at + group_rows], k, metric)
+                for ids, mat, d in packed:
+                    group.score(ids, np.frombuffer(mat, np.float32).reshape(len(ids), d))
+                if len(group.top.r):
+                    found.append(group.hits())
+        schema = pa.schema([("qid", pa.int64()), ("pid", pa.int64()), ("score", pa.float64())])
+        return pa.Table.from_batches(found, schema=schema)
+    return run
+
+
 def _score_fn(k: int, metric: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[int, tuple[np.ndarray, _TopK]] = {}
+        groups: dict[int, _Group] = {}
         for b in batches:
             cols = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             for i in range(b.num_rows):
@@ -167,24 +234,11 @@ def _score_fn(k: int, metric: str):
                 if g not in groups:
                     qrows = cols["q"][i].values  # struct<qid, vec>
                     qids = qrows.field("qid").to_numpy(zero_copy_only=False).astype(np.int64)
-                    qmat, qd = _matrix(qrows.field("vec"))
-                    if qd and qd != d:
-                        raise ValueError(f"query width {qd} != passage width {d}")
-                    groups[g] = (qids, _TopK(k, metric), qmat.astype(np.float64))
-                qids, top, q64 = groups[g]
-                p64 = pmat.astype(np.float64)
-                if metric == "ip":
-                    s = q64 @ p64.T
-                else:
-                    s = (np.einsum("ij,ij->i", q64, q64)[:, None] + np.einsum("ij,ij->i", p64, p64)[None, :]
-                         - 2.0 * (q64 @ p64.T))
-                    s = np.maximum(s, 0.0)
-                top.add(s, pids)
-        for qids, top, _ in groups.values():
-            if len(top.r):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[top.r]), pa.array(top.pid), pa.array(top.score)],
-                    names=["qid", "pid", "score"])
+                    groups[g] = _Group(qids, _matrix(qrows.field("vec"))[0], k, metric)
+                groups[g].score(pids, pmat)
+        for group in groups.values():
+            if len(group.top.r):
+                yield group.hits()
     return score
 
 
@@ -199,7 +253,8 @@ def topk_exact_bulk(queries: DataFrame, passages: DataFrame, k: int = 1, metric:
                     qkey: str = "qid", pkey: str = "pid", vec: str = "vec",
                     block_rows: int = DEFAULT_BLOCK_ROWS,
                     query_group_rows: int = DEFAULT_QUERY_GROUP_ROWS,
-                    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, dim: int | None = None) -> DataFrame:
+                    broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, dim: int | None = None,
+                    cell_bytes: int = DEFAULT_CELL_BYTES) -> DataFrame:
     """R3 (and R2, R9): top-k passages for every query -> (qid, rk INT, pid, score).
 
     k larger than the corpus gives the whole corpus (a short list, no padding).
@@ -227,21 +282,23 @@ def topk_exact_bulk(queries: DataFrame, passages: DataFrame, k: int = 1, metric:
         return spark.createDataFrame([], "qid long, rk int, pid long, score double")
     groups = max(1, math.ceil(n_q / query_group_rows))
     q_bytes = n_q * max(width, 1) * 4
-    broadcast = q_bytes <= broadcast_bytes
-    stripes = 1 if broadcast else max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // groups)
-
-    qg = (q.withColumn("g", F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int"))
-           .groupBy("g").agg(F.collect_list(F.struct("qid", "vec")).alias("q")))
     pb = pack_blocks(passages.select(F.col(pkey).alias("pid"), F.col(vec).alias("vec")), "pid", "vec",
                      block_rows)
-    pb = pb.select("ids", "mat", "d", F.pmod(F.col("blk"), F.lit(stripes)).cast("int").alias("s"),
-                   F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    if broadcast:
+    if q_bytes <= broadcast_bytes:
+        qg = (q.withColumn("g", F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int"))
+               .groupBy("g").agg(F.collect_list(F.struct("qid", "vec")).alias("q")))
+        pb = pb.select("ids", "mat", "d", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
         joined = pb.join(F.broadcast(qg), "g")
+        hits = joined.select("g", "ids", "mat", "d", "q").mapInArrow(_score_fn(k, metric), HIT_SCHEMA)
     else:
-        qg = qg.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-        joined = pb.join(qg, ["g", "s"])
-    hits = joined.select("g", "ids", "mat", "d", "q").mapInArrow(_score_fn(k, metric), HIT_SCHEMA)
+        pb = materialise(pb, "blocks")  # packed once, read for its size and for the grid
+        p_bytes = pb.agg(F.sum(F.octet_length("mat").cast("long"))).first()[0] or 0
+        rows, columns = grid_factors(q_bytes, p_bytes, cell_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        qs = (q.withColumn("gr", F.pmod(F.xxhash64("qid"), F.lit(rows)).cast("int"))
+               .withColumn("gc", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))))
+        ps = (pb.withColumn("gc", F.pmod(F.xxhash64("blk", F.lit(7)), F.lit(columns)).cast("int"))
+                .withColumn("gr", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))))
+        hits = qs.groupBy("gr", "gc").cogroup(ps.groupBy("gr", "gc")).applyInArrow(_cell_fn(k, metric, query_group_rows), HIT_SCHEMA)
     return _final_rank(hits, k, metric)
 
 

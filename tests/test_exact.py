@@ -49,6 +49,45 @@ def test_shuffle_path_equals_broadcast_path(spark, data):
     assert sorted(a.collect()) == sorted(b.collect())
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+@pytest.mark.parametrize("cell_bytes", [64, 200, 1 << 20])
+def test_grid_equals_brute_force(spark, data, metric, cell_bytes):
+    q, p = data
+    got = topk_exact_bulk(frame(spark, q, "qid"), frame(spark, p, "pid").repartition(5), k=5, metric=metric, block_rows=6, query_group_rows=4,
+                          broadcast_bytes=0, cell_bytes=cell_bytes)
+    assert sorted(tuple(r) for r in got.collect()) == brute(q, p, 5, metric)
+
+
+def test_grid_copies_a_passage_once_per_query_row():
+    from refinespark.operators.exact import grid_factors
+    gib = 1 << 30
+    rows, columns = grid_factors(100_000_000 * 64 * 4, 1_000_000_000 * 64 * 4, 256 << 20, 10_000)
+    groups = 100_000_000 / 2048  # copies of a passage if each query group had its own
+    assert rows == 96 and rows < groups / 400 and columns >= 954
+    assert rows * columns >= 10_000 and 25.6e9 / rows <= 256 << 20 and 256e9 / columns <= 256 << 20
+    assert grid_factors(0, 0, gib, 8) == (1, 8) and grid_factors(gib, gib, gib, 1) == (1, 1)
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_blocks_out_of_reach_are_skipped_and_change_nothing(spark, monkeypatch, metric):
+    import numpy as np
+    from refinespark.operators import exact
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(300, 8))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    p = [(i, (v * (10.0 if i < 40 else 0.01)).round(4).tolist()) for i, v in enumerate(base)]
+    q = [(i, (v * (10.0 if metric == "l2" else 1.0)).round(4).tolist()) for i, v in enumerate(base[:10])]
+    group = exact._Group(np.arange(10), np.array([v for _, v in q], np.float32), 3, metric)
+    added = []
+    keep = group.top.add
+    group.top.add = lambda s, ids: (added.append(len(ids)), keep(s, ids))
+    for at in range(0, 300, 20):
+        group.score(np.arange(at, min(at + 20, 300)), np.array([v for _, v in p[at:at + 20]], np.float32))
+    assert len(added) < 15  # of 15 blocks
+    got = topk_exact_bulk(frame(spark, q, "qid"), frame(spark, p, "pid").coalesce(1), k=3, metric=metric, block_rows=20)
+    assert sorted(tuple(r) for r in got.collect()) == brute(q, p, 3, metric)
+
+
 def test_k_larger_than_corpus_gives_short_list(spark):
     p = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])]
     got = topk_exact_bulk(frame(spark, [(0, [1.0, 0.5])], "qid"), frame(spark, p, "pid"), k=10).collect()
