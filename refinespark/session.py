@@ -2,16 +2,21 @@
 
 Everything that must survive an executor loss (stores, stream sinks, cut
 lineage) lives under ``spark.checkpoint.dir``.  On a cluster that setting
-names a shared folder and is only read here; a fresh local folder is made
-only when the setting is absent (local runs and tests).
+names a shared folder and is only read here (without it, an error); a fresh local folder is made
+only when the setting is absent and the master is local (local runs and tests).
+
+Intermediate tables are written by jobs that run while a plan is built (sizes and parameters decide how it goes
+on).  They stay for as long as results may read them; ``job_scope`` gives them a folder that goes when the scope ends.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -20,14 +25,22 @@ from pyspark.sql import SparkSession
 ARROW_MAX_BYTES = 64 << 20
 
 
-def get_session(master: str | None = None, shuffle_partitions: int = 8,
+LOCAL_SHUFFLE_PARTITIONS = 8
+
+
+def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "refinespark") -> SparkSession:
+    """A session with this library's defaults.  The number of shuffle partitions is set for a local master, or if given; a
+    cluster's own setting is left as it is."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if shuffle_partitions is None and master and master.startswith("local"):
+        shuffle_partitions = LOCAL_SHUFFLE_PARTITIONS
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
         builder
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -83,16 +96,42 @@ def ensure_arrow_limits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_MAX_BYTES))
 
 
+#: Folder of the innermost ``job_scope``, below the shared folder, and what is written there.
+_SCOPE: list[str] = []
+_SCOPED = ("tables", "llm")
+
+
+@contextlib.contextmanager
+def job_scope(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written in the scope lie in one folder, which is removed at its end.
+
+    Results that read them must be written (or collected) inside; stores, indexes and stream sinks are not part of it.
+    """
+    name = f"job-{uuid.uuid4().hex}"
+    path = shared_dir(spark, name)
+    _SCOPE.append(name)
+    try:
+        yield path
+    finally:
+        _SCOPE.remove(name)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """Path under the cluster's ``spark.checkpoint.dir``.
 
-    The setting is read from the session.  Only when it is unset (local runs,
+    The setting is read from the session.  Only when it is unset and the master is local (local runs,
     tests) is a new local folder made and registered, so later calls in the
     same session agree on it.
     """
+    if _SCOPE and parts and parts[0] in _SCOPED:
+        parts = (_SCOPE[-1], *parts)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="refinespark-")
         try:

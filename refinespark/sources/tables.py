@@ -61,18 +61,23 @@ def with_position(df: DataFrame, name: str = "pair_id") -> DataFrame:
     return out.drop("_mid", "_part", "_row", "_off")
 
 
-def read_pairs_csv(spark: SparkSession, path: str, drop_duplicate_answers: bool = False) -> DataFrame:
-    """question/answer CSV with header ``Q,A`` -> (pair_id, q, a).
+def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Question/answer CSV with header ``Q,A`` -> (pair_id, q, a): every record, empty fields as null.
 
     Quoted fields may hold line breaks and doubled quotes; a file is read by many tasks all the same
-    (``quoted_csv``).  ``pair_id`` is the record's position in file order.  Literal ``NA`` or
-    ``null`` stay text; rows with an empty q or a are dropped.  ``drop_duplicate_answers`` keeps the first pair of
-    each answer.
+    (``quoted_csv``).  ``pair_id`` is the record's position in file order.  Literal ``NA`` or ``null`` stay text.
     """
     from .quoted_csv import csv_records
     parsed = csv_records(spark, path).select(F.col("position").alias("pair_id"), F.from_csv("text", F.lit(PAIR_DDL), {"multiLine": "true", "escape": '"'}).alias("r"))
-    df = parsed.select("pair_id", F.col("r.Q").alias("q"), F.col("r.A").alias("a"))
-    df = df.where(F.col("q").isNotNull() & F.col("a").isNotNull())
+    return parsed.select("pair_id", F.col("r.Q").alias("q"), F.col("r.A").alias("a"))
+
+
+def read_pairs_csv(spark: SparkSession, path: str, drop_duplicate_answers: bool = False) -> DataFrame:
+    """The records of ``read_csv_records`` that have both a q and an a (``corpus_profile`` of all records counts the others).
+
+    ``drop_duplicate_answers`` keeps the first pair of each answer.
+    """
+    df = read_csv_records(spark, path).where(F.col("q").isNotNull() & F.col("a").isNotNull())
     if drop_duplicate_answers:  # present but disabled in the original builder
         first = df.groupBy("a").agg(F.min("pair_id").alias("pair_id"))
         df = df.join(first, ["pair_id", "a"]).select("pair_id", "q", "a")
@@ -171,7 +176,7 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_profile(pairs: DataFrame) -> DataFrame:
-    """Rows before and after loading, passages, distinct answers: one aggregate."""
+    """Rows before and after loading, passages, distinct answers: one aggregate over the records as they were read."""
     return pairs.agg(
         F.count(F.lit(1)).alias("rows_before"),
         F.count(F.when(F.col("q").isNotNull() & F.col("a").isNotNull(), 1)).alias("rows_after"),

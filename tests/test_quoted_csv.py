@@ -56,3 +56,20 @@ def test_first_pair_of_each_answer(spark, tmp_path):
     (tmp_path / "p.csv").write_text("Q,A\nq0,same\nq1,other\nq2,same\n")
     got = sorted(tuple(r) for r in read_pairs_csv(spark, str(tmp_path), drop_duplicate_answers=True).collect())
     assert got == [(0, "q0", "same"), (1, "q1", "other")]
+
+
+def test_profile_counts_what_loading_drops(spark, tmp_path):
+    from refinespark.sources.tables import corpus_profile, read_csv_records
+    (tmp_path / "p.csv").write_text("Q,A\nq0,same\n,no question\nno answer,\nq2,same\n")
+    row = corpus_profile(read_csv_records(spark, str(tmp_path))).first()
+    assert (row.rows_before, row.rows_after, row.passages, row.distinct_answers) == (4, 2, 3, 2)
+
+
+def test_job_scope_removes_its_intermediates(spark):
+    import os
+    from refinespark.session import job_scope, materialise, shared_dir
+    with job_scope(spark) as path:
+        df = materialise(spark.range(5), "five")
+        assert df.count() == 5 and os.path.isdir(path) and shared_dir(spark, "tables").startswith(path)
+        assert not shared_dir(spark, "stores").startswith(path)
+    assert not os.path.exists(path) and not shared_dir(spark, "tables").startswith(path)
