@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Callable
@@ -163,6 +164,57 @@ def is_signed_token(run: bytes) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+#: Characters that no JSON text holds as they are: control characters, and what stands for a broken byte.
+_NOT_JSON = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff]")
+#: How an object with a member begins.
+_OBJECT = re.compile(r'\{[ \t\r\n]*"(?:[^"\\]|\\.)*"[ \t\r\n]*:', re.S)
+_JSON = json.JSONDecoder()
+
+
+def _ends(data: bytes) -> tuple[int, str]:
+    """Where the longest end of ``data`` begins that is UTF-8 without control bytes, and that end."""
+    text = data.decode("utf-8", "surrogateescape")
+    last = -1
+    for m in _NOT_JSON.finditer(text):
+        last = m.start()
+    clean = text[last + 1 :]
+    return len(data) - len(clean.encode()), clean
+
+
+def header_start(header: bytes) -> int | None:
+    """Where a token's header begins in a part: the first place from which the rest decodes to an object with ``alg``.
+
+    The part is decoded once for each of the four alignments, not once for each place; a place before bytes that no JSON text
+    holds is passed over, as is one where no object begins, and a parse stops at the first error.
+    """
+    decoded: dict[int, tuple[int, str, bool]] = {}
+    for m in itertools.chain([None], HEADER_START.finditer(header)):
+        s = m.start() if m else 0
+        if len(header) - s < 8:
+            break
+        turn = s % 4
+        if turn not in decoded:
+            data = _decode64(header[turn:])
+            found = _ends(data) if data else (0, "")
+            decoded[turn] = (*found, data.isascii()) if found[1].rstrip(" \t\r\n").endswith("}") else (1 << 62, "", True)
+        clean, text, plain = decoded[turn]
+        at = (s - turn) // 4 * 3 - clean
+        if at < 0:
+            continue
+        if not plain:  # bytes to characters
+            text, at = text.encode()[at:].decode("utf-8", "replace"), 0
+        at += len(text[at : at + 64]) - len(text[at : at + 64].lstrip(" \t\r\n"))
+        if not _OBJECT.match(text, at):
+            continue
+        try:
+            head, end = _JSON.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(head, dict) and isinstance(head.get("alg"), str) and not text[end:].strip(" \t\r\n"):
+            return s
+    return None
+
+
 def _is_object(part: bytes) -> bool:
     try:
         return isinstance(json.loads(_decode64(part) or b""), dict)
@@ -239,11 +291,9 @@ def token_spans(text: bytes, start: int, end: int) -> list[tuple[int, int, str]]
         for header, payload, signature in zip(parts, parts[1:], parts[2:]):
             stop = at + len(header) + len(payload) + len(signature) + 2
             if at >= done and len(header) >= 8 and len(payload) >= 2 and signature and _is_object(payload):
-                for s in dict.fromkeys([0, *(x.start() for x in HEADER_START.finditer(header))]):
-                    if len(header) - s >= 8 and is_signed_token(b".".join((header[s:], payload, signature))):
-                        found.append((at + s, stop, "jwt"))
-                        done = stop
-                        break
+                if (s := header_start(header)) is not None:
+                    found.append((at + s, stop, "jwt"))
+                    done = stop
             at += len(header) + 1
     return found
 

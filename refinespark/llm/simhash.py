@@ -28,6 +28,8 @@ from refinespark.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 BLOCK = 16_384
+#: Pairs of the blocks of one tile are formed in so many parts.
+PARTS = 16
 #: Cells of one comparison step in a task (8 bytes each).
 CELLS = 1 << 21
 #: A fingerprint of more than one in so many rows is common: under ``COMMON`` of them exist, whatever the corpus.
@@ -148,9 +150,14 @@ def links(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple
 def near_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) fingerprints: edges whose components are those of all links of ``radius`` bits."""
     packed = written(blocks(distinct, radius), "blocks")
-    left = packed.select(F.explode("near").alias("tile"), F.col("head").alias("h1"), F.col("fps").alias("f1"), F.col("tile").alias("t1"))
-    right = packed.select("tile", F.col("head").alias("h2"), F.col("fps").alias("f2"))
-    pairs = left.join(right, "tile").filter("t1 != tile or h1 <= h2").select("f1", "f2", (F.col("h1") == F.col("h2")).alias("same"))
+    # heads meet first, in ``PARTS`` parts of a tile; bytes join last, by block, so no tile is one task's
+    heads = packed.select("tile", "head", "near")
+    left = heads.select(F.explode("near").alias("tile"), F.col("head").alias("h1"), F.col("tile").alias("t1"), F.pmod(F.xxhash64("head"), F.lit(PARTS)).alias("part"))
+    right = heads.select("tile", F.col("head").alias("h2"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))).alias("part"))
+    near = left.join(right, ["tile", "part"]).filter("t1 != tile or h1 <= h2").select("h1", "h2")
+    blocks_ = packed.select("head", "fps")
+    pairs = (near.join(blocks_.toDF("h2", "f2"), "h2").join(blocks_.toDF("h1", "f1"), "h1")
+             .select("f1", "f2", (F.col("h1") == F.col("h2")).alias("same")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

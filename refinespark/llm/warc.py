@@ -287,25 +287,45 @@ def lookup(urls: DataFrame, folder: str, url_col: str = "url") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["key", "shard"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, held, table, firsts = Ranges(), None, [], []
+        ranges, held, table, firsts, out = Ranges(), None, [], [], []
+        known: dict[int, dict[str, list]] = {}  # the captures by key of the blocks read last: keys come in order
+
+        def block(k: int) -> dict[str, list]:
+            if k not in known:
+                while len(known) >= 2:
+                    del known[min(known)]
+                by_key: dict[str, list] = {}
+                for row in _block(ranges, table[k]["file"], table[k]["offset"], table[k]["length"]):
+                    by_key.setdefault(row[0], []).append(row)
+                known[k] = by_key
+            return known[k]
+
         for batch in batches:
             for key, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != held:
                     table = sorted(read_folder(f"{folder}/directory/shard={shard}", ["first", "last", "file", "offset", "length"]).to_pylist(), key=lambda r: r["offset"])
                     held, firsts = shard, [r["first"] for r in table]
-                k = bisect.bisect_right(firsts, key) - 1
-                while k >= 0 and table[k]["last"] >= key:
-                    yield _captures_batch([r for r in _block(ranges, table[k]["file"], table[k]["offset"], table[k]["length"]) if r[0] == key])
+                    known.clear()
+                last = bisect.bisect_right(firsts, key) - 1
+                k = last
+                while k > 0 and table[k - 1]["last"] >= key:  # a key may fill several blocks
                     k -= 1
+                for k in range(max(k, 0), last + 1):
+                    out += block(k).get(key, [])
+                    if len(out) >= BLOCK_LINES:
+                        yield _captures_batch(out)
+                        out = []
+        if out:
+            yield _captures_batch(out)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = urls.select(url_col).distinct().mapInArrow(shards, "key string, shard int").distinct()
-    return asked.repartition(n, "shard", "key").sortWithinPartitions("shard", "key").mapInArrow(blocks, CAPTURE)
+    asked = written(urls.select(url_col).distinct().mapInArrow(shards, "key string, shard int").distinct(), "asked")
+    return asked.repartitionByRange(n, "shard", "key").sortWithinPartitions("shard", "key").mapInArrow(blocks, CAPTURE)
 
 
 def op3_warc_archives(spark, sf_dir: str) -> DataFrame:
-    """Every page written as a WARC record, indexed, and read back."""
+    """Every page written as a WARC record, indexed, and read back: its capture found by URL through both binary searches."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     folder = new_folder(spark, "warc")
     write_index(write_archives(pages, f"{folder}/archives"), folder)
-    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_records(lookup(pages.select("url"), folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
