@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -49,6 +50,19 @@ def fresh_names(df: DataFrame, wanted: list[str]) -> list[str]:
     return out
 
 
+def release() -> None:
+    """Give memory that nothing uses back to the system: a worker that is kept for later stages holds what it needs."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # GNU C library
+except (AttributeError, OSError):
+    _TRIM = None
+
+
 # --- Arrow -----------------------------------------------------------------------------------
 
 
@@ -116,7 +130,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 #: Powers of one base that a worker keeps at most (8 bytes each); longer tables are made anew for each use.
-_KEPT_POWERS = 2 * STEP_BYTES
+_KEPT_POWERS = 1 << 18
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:

@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from refinespark.llm.common import as_binary, fresh_names, mix, prepare, starts_char, steps, word_hashes
+from refinespark.llm.common import as_binary, fresh_names, mix, prepare, release, starts_char, steps, word_hashes
 
 SEED, ALPHA = 7, 1.0
+#: Text bytes of one step; a longer single text is a step of its own.
+STEP = 1 << 20
 #: Bytes of different units whose lattices are built at once (one longer unit alone); a lattice takes about 1 KB a byte.
-LATTICE_BYTES = 1 << 16
+LATTICE_BYTES = 1 << 15
 #: Shares of a node's edges are whole multiples of one of so many, so that sums do not depend on what else is in the lattice.
 _PARTS = 1 << 32
 _SPACE = 32
@@ -284,8 +286,9 @@ def encode(df: DataFrame, model_path: str, key_col: str, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
+        release()  # what earlier stages left in this worker
         for batch in batches:
-            for part in steps(batch, at):
+            for part in steps(batch, at, STEP):
                 *columns, keys = part.columns
                 texts = as_binary(part.column(at))
                 ids, offs, data, begins = encode_texts(model, [t or b"" for t in texts.to_pylist()], keys.to_numpy().view(np.uint64), alpha)
@@ -298,7 +301,7 @@ def encode(df: DataFrame, model_path: str, key_col: str, text_col: str = "text",
                     wrong = np.concatenate([[0], np.cumsum(~same)])[begins]
                     new.append(pa.array(np.diff(wrong) == 0, pa.bool_(), mask=null))
                 yield pa.RecordBatch.from_arrays([*columns, *new], names=names)
-                pa.default_memory_pool().release_unused()
+                release()
 
     return df.withColumn(key, F.xxhash64(F.lit(seed), F.col(key_col))).mapInArrow(run, schema)
 
