@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refinespark.llm import oracles
 from refinespark.llm.common import prepare, written
 
 FAN, DEPTH = 8, 4
@@ -296,18 +297,10 @@ def _sql_field(x: str) -> str:
 
 
 def _sql() -> str:
-    # DuckDB has no crc32, so it is computed byte by byte from its table (polynomial 0xEDB88320)
-    table = []
-    for i in range(256):
-        for _ in range(8):
-            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
-        table.append(str(i))
-    crc = (f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(doc_id::varchar) + 1), lambda i: ord((doc_id::varchar)[i])::bigint)), "
-           f"lambda a, b: xor(a >> 8, ([{','.join(table)}]::bigint[])[(xor(a, b) & 255) + 1])), 4294967295::bigint)")
     head = " || ".join(_sql_field(x) for x in ("doc_id", "source", "lang", "n_chars"))
     low = f"translate(text, '{_UPPER}', '{_LOWER}')"
     ctes = [f"""d as materialized (select doc_id, lang, sha256({head} || {_sql_field('text')}) h,
-  case when {crc} % {TAMPER_MOD} = 0 then sha256({head} || {_sql_field(low)}) end t from documents)""",
+  case when {oracles.crc32('doc_id::varchar')} % {TAMPER_MOD} = 0 then sha256({head} || {_sql_field(low)}) end t from documents)""",
             "gs as (select lang, row_number() over (order by encode(lang) nulls first) - 1 g from (select distinct lang from d))",
             "lv as materialized (select d.*, gs.g, row_number() over (partition by gs.g order by doc_id nulls first, h) - 1 p from d join gs on d.lang is not distinct from gs.lang)",
             *_sql_tree("a", "lv"), f"tops as (select 0 g, g p, h from a{_SQL_LEVELS})", *_sql_tree("b", "tops"),

@@ -62,3 +62,103 @@ counts as (select d.doc_id, len(ws) n_words, length(array_to_string(ws, '')) wor
 judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from counts)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and covered <= 0.2 * word_chars and not long_repeat kept
 from judged"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII string: DuckDB has none, so it goes byte by byte over the table of the polynomial 0xEDB88320."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(str(i))
+    return (f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len({text}) + 1), lambda i: ord(({text})[i])::bigint)), "
+            f"lambda a, b: xor(a >> 8, ([{','.join(table)}]::bigint[])[(xor(a, b) & 255) + 1])), 4294967295::bigint)")
+
+
+ARCHIVES = """with p as (select page_id, strlen(coalesce(html, '')) payload_bytes, sha1(coalesce(html, '')) h, min(page_id) over (partition by coalesce(html, '')) f from pages)
+select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda j:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || substr(h, 5 * (j // 4) + 1, 5))::bigint >> (15 - 5 * (j % 4))) & 31) + 1]), '') payload_digest,
+  case when page_id = f then 'response' else 'revisit' end record_type, case when page_id <> f then f end refers_to from p"""
+
+# Islands of places i with w[i] = w[i + q] are the stretches of period q; the smallest of the periods of one stretch is its own, as a stretch
+# four periods long has only multiples of it up to a quarter of its length.
+RUNS = f"""with d as (select doc_id, ws, len(ws) n, {crc32('doc_id::varchar')} h from (
+  select doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) ws from documents)),
+e as (select *, h // 10 % greatest(n, 1) a from d),
+f as (select *, 1 + (n - a) // (3 + h // 10 % 8) p from e),
+t as materialized (select doc_id, n, unnest(range(0, n)) i, unnest(case when h % 10 = 0 and n > 0
+  then list_concat(ws[1 : a], list_transform(range(a, n), lambda i: ws[a + (i - a) % p + 1])) else ws end) x from f),
+same as (select u.doc_id, u.i, v.i - u.i q from t u join t v on u.doc_id = v.doc_id and u.x = v.x and v.i > u.i and 4 * (v.i - u.i) <= u.n),
+islands as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) k from same),
+long_ones as (select doc_id, q, min(i) s, count(*) + q l from islands group by doc_id, q, k having count(*) + q >= greatest(6, 4 * q)),
+runs as materialized (select doc_id, s, l, min(q) q from long_ones group by doc_id, s, l),
+best as (select * from runs qualify row_number() over (partition by doc_id order by l / q desc, s, q) = 1),
+per as (select doc_id, count(*) n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) lines from runs group by doc_id),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) i from runs),
+kept as (select doc_id, string_agg(x, ' ' order by i) words from t anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) n_runs, s "start", l length, q period, 1000 * l // q exponent_milli,
+  sha256(coalesce(lines, '')) runs_sha256, sha256(coalesce(words, '')) collapsed_sha256
+from d left join per using (doc_id) left join best using (doc_id) left join kept using (doc_id)"""
+
+#: Fixed values of XXH64: its five primes.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _mod(x: str) -> str:
+    return f"(({x}) & 18446744073709551615::uhugeint)"
+
+
+def _times(x: str, k: int) -> str:
+    return _mod(f"({x}) * {_PRIMES[k - 1]}::uhugeint")
+
+
+def _turned(x: str, bits: int) -> str:
+    return f"({_mod(f'({x}) << {bits}')} | (({x}) >> {64 - bits}))"
+
+
+def _round(acc: str, lane: str) -> str:
+    return _times(_turned(_mod(f"{acc} + {_times(lane, 2)}"), 31), 1)
+
+
+def _number(hexes: str, first: str, size: int) -> str:
+    """``size`` bytes from byte ``first`` (from 0) of a hex string, little-endian."""
+    return "('0x' || " + " || ".join(f"substr({hexes}, 2 * ({first} + {k}) + 1, 2)" for k in reversed(range(size))) + ")::ubigint::uhugeint"
+
+
+def _xxh64(source: str, seed: int) -> list[str]:
+    """CTEs that end in ``hashed`` (s, h ubigint): the XXH64 of each string of ``source`` (s)."""
+    starts = [(seed + _PRIMES[0] + _PRIMES[1]) % 2**64, (seed + _PRIMES[1]) % 2**64, seed, (seed - _PRIMES[0]) % 2**64]
+
+    def fold(first: str, items: str, step: str) -> str:
+        return f"list_reduce(list_prepend({first}, {items}), lambda a, b: {step})"
+    accs = ", ".join(fold(f"{v}::uhugeint", f"lanes[{j} : n // 32 * 4 : 4]", _round("a", "b")) + f" v{j}" for j, v in enumerate(starts, 1))
+    joined = _mod(" + ".join(_turned(f"v{j}", r) for j, r in zip(range(1, 5), (1, 7, 12, 18), strict=True)))
+    merged = fold(joined, "[v1, v2, v3, v4]", _mod(f"{_times(f'xor(a, {_round('0::uhugeint', 'b')})', 1)} + {_PRIMES[3]}::uhugeint"))
+    lane = _mod(f"{_times(_turned(f'xor(a, {_round('0::uhugeint', 'b')})', 27), 1)} + {_PRIMES[3]}::uhugeint")
+    four = _mod(f"{_times(_turned(f'xor(h, {_times(_number('x', 'n // 8 * 8', 4), 1)})', 23), 2)} + {_PRIMES[2]}::uhugeint")
+    one = _times(_turned(f"xor(a, {_times('b', 5)})", 11), 1)
+    return [f"x0 as (select s, hex(encode(s)) x, strlen(s) n from {source})",
+            f"x1 as (select *, list_transform(range(0, n // 8), lambda k: {_number('x', '8 * k', 8)}) lanes from x0)",
+            f"x2 as (select *, {accs} from x1)",
+            f"x3 as (select s, x, n, lanes, {_mod(f'case when n >= 32 then {merged} else {(seed + _PRIMES[4]) % 2**64}::uhugeint end + n::uhugeint')} h from x2)",
+            f"x4 as (select s, x, n, {fold('h', 'lanes[n // 32 * 4 + 1 :]', lane)} h from x3)",
+            f"x5 as (select s, x, n, case when n % 8 >= 4 then {four} else h end h from x4)",
+            f"x6 as (select s, {fold('h', f'list_transform(range(n // 4 * 4, n), lambda k: {_number('x', 'k', 1)})', one)} h from x5)",
+            f"x7 as (select s, {_times('xor(h, h >> 33)', 2)} h from x6)",
+            f"x8 as (select s, {_times('xor(h, h >> 29)', 3)} h from x7)",
+            "hashed as materialized (select s, xor(h, h >> 32)::ubigint h from x8)"]
+
+
+_BITS = " | ".join(f"(case when 2 * sum((h >> {k}) & 1) > count(*) then {1 << k}::ubigint else 0::ubigint end)" for k in range(64))
+SIMHASH = f"""with recursive d as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORD}) ws from documents),
+sh as materialized (select doc_id, array_to_string(ws[i : i + 2], ' ') s from (
+  select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) i from d where len(ws) > 0)),
+strings as (select distinct s from sh),
+{(',' + chr(10)).join(_xxh64('strings', 42))},
+prints as (select doc_id, {_BITS} f from sh join hashed using (s) group by doc_id),
+every as materialized (select doc_id, coalesce(f, 0::ubigint) f from d left join prints using (doc_id)),
+nodes as materialized (select f, min(doc_id) r from every group by f),
+links as materialized (select a.f x, b.f y from nodes a join nodes b on a.f <> b.f and bit_count(xor(a.f, b.f)) <= 3),
+reach as (select f, r from nodes union select l.y, reach.r from reach join links l on l.x = reach.f),
+named as (select f, min(r) component_id from reach group by f)
+select doc_id, lpad(lower(to_hex(f)), 16, '0') fingerprint, component_id from every join named using (f)"""

@@ -36,7 +36,10 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_decontaminate": oracles.DECONTAMINATE,
     "op2_substring_dedup": oracles.SUBSTRINGS,
+    "op3_warc_archives": oracles.ARCHIVES,
+    "op4_simhash_groups": oracles.SIMHASH,
     "op7_quality_rules": oracles.QUALITY,
     "op11_ngram_jaccard": JACCARD_SQL,
+    "op12_periodic_runs": oracles.RUNS,
     "op13_merkle_manifest": MERKLE_SQL,
 }
