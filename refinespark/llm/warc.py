@@ -40,6 +40,8 @@ BLOCK_LINES = 1000
 ARCHIVE_BYTES = 256 << 20
 #: Bytes between two records up to which one read fetches both.
 READ_BYTES = 4 << 20
+#: A payload of more than one in so many pages is common (so under ``COMMON`` payloads are); its pages are dealt to ``SPREAD`` keys.
+COMMON, SPREAD = 1_000, 1 << 20
 
 #: Fixed values of the format.
 VERSION, DATE = b"WARC/1.1", "1970-01-01T00:00:00Z"
@@ -130,14 +132,20 @@ class Output:
 def record_kinds(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
     """(page_id, url, html, refers_to): ``refers_to`` is null for responses.
 
-    Only digests that occur twice or more are joined, from a written table whose size Spark knows.
+    Only digests that occur twice or more are joined.  Common ones (under ``COMMON`` of them) are broadcast and their
+    pages spread; what is left has no hot digest, and pages meet it from a written table whose size Spark knows.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("digest", F.unhex(F.sha1("html")))
     large = F.octet_length("html") >= min_bytes
-    twice = written(rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"), "copies")
-    joined = rows.join(twice, "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(large & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    twice = written(rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
+    hot = F.col("n") * COMMON > pages.count()
+    common = twice.filter(hot).select("digest", F.col("first").alias("common_first"))
+    others = twice.filter(~hot).select("digest", "first", F.lit(-1).alias("spread"))
+    spread = F.when(F.col("common_first").isNull(), -1).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).cast("int"))
+    joined = rows.join(F.broadcast(common), "digest", "left").withColumn("spread", spread).join(others, ["digest", "spread"], "left")
+    first = F.coalesce("common_first", "first")
+    return joined.select("page_id", "url", "html", F.when(large & ~F.col("page_id").eqNullSafe(first), first).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:

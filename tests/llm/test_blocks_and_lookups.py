@@ -159,3 +159,22 @@ def test_benchmark_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2_000)
     assert decontaminate.write_patterns(bdf, "item_id", "text", decontaminate.WIDTH)[1] > 3
     assert sorted(map(str, decontaminate.find_benchmark(ddf, bdf).collect())) == one
+
+
+def test_common_and_rare_copies_refer_to_the_least_page(spark, monkeypatch):
+    monkeypatch.setattr(warc, "COMMON", 5)  # a payload of more than a fifth of all pages is common
+    monkeypatch.setattr(warc, "SPREAD", 8)
+    rng = random.Random(9)
+    pages = [(i, f"http://a.example/{i % 7}", rng.choice(["", None, "<p>common</p>", "<p>common</p>", f"<p>{rng.randrange(25)}</p>", f"<p>own {i}</p>"])) for i in range(300)]
+    rng.shuffle(pages)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        kinds = warc.record_kinds(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5), "page_id", "url", "html", 0)
+        found = sorted((r.page_id, r.html, r.refers_to) for r in kinds.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    first = {}
+    for i, _, html in sorted(pages, key=lambda x: x[0]):
+        first.setdefault(html or "", i)
+    assert found == sorted(((i, h or "", None if first[h or ""] == i else first[h or ""]) for i, _, h in pages), key=lambda x: x[0])
