@@ -196,8 +196,10 @@ def _pairs(tiles: DataFrame, num: int, den: int) -> DataFrame:
     return near.join(second, "h2").join(first, "h1").select("m1", "s1", "p1", "m2", "s2", "p2")
 
 
-def _edges(tiles: DataFrame, star, num: int, den: int) -> DataFrame:
-    """(a, b) that ``star(tile, other or None)`` finds within each tile and in each pair of tiles that meet."""
+def _edges(tiles: DataFrame, star, num: int, den: int, names: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """``names`` (bigint) that ``star(tile, other or None)`` finds within each tile and in each pair of tiles that meet."""
+    kind = ", ".join(f"{x} bigint" for x in names)
+
     def arrays(row: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
         return np.frombuffer(row[0], np.int64), np.frombuffer(row[1], np.int64), row[2]
 
@@ -205,11 +207,11 @@ def _edges(tiles: DataFrame, star, num: int, den: int) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = [c[k].as_py() for c in batch.columns]
-                a, b = star(arrays(row[:3]), arrays(row[3:]) if len(row) > 3 else None)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                found = star(arrays(row[:3]), arrays(row[3:]) if len(row) > 3 else None)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=list(names))
 
-    own = tiles.select("members", "sizes", "payload").mapInArrow(run, "a bigint, b bigint")
-    return own.union(_pairs(tiles, num, den).mapInArrow(run, "a bigint, b bigint"))
+    own = tiles.select("members", "sizes", "payload").mapInArrow(run, kind)
+    return own.union(_pairs(tiles, num, den).mapInArrow(run, kind))
 
 
 def _most(a, b, num: int, den: int):
@@ -272,39 +274,55 @@ def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(one[at] == values, np.cumsum(size) - size, dtype=np.int64)
 
 
-def verified_star(num: int, den: int):
-    """As ``candidate_star`` for tiles of sorted arrays: an edge only where the exact intersection says so."""
-    def arrays(tile: tuple) -> list[np.ndarray]:
-        return np.split(np.frombuffer(tile[2], np.uint64), np.cumsum(tile[1])[:-1])
+def tile_sets(tile: tuple) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sorted arrays of a tile and their signatures."""
+    sets = np.split(np.frombuffer(tile[2], np.uint64), np.cumsum(tile[1])[:-1])
+    return sets, np.frombuffer(b"".join(map(signature, sets)), np.uint64).reshape(len(sets), -1)
+
+
+def linked_cells(one: tuple, other: tuple | None, num: int, den: int, wanted) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(x, ys, shared): linked sets of two tiles of sorted arrays (or within one), their exact intersections; ``wanted(x, ys)`` picks what is verified."""
+    a, left = tile_sets(one)
+    b, right = (a, left) if other is None else tile_sets(other)
+    for i, j in near_cells(left, one[1], right, (other or one)[1], other is None, num, den):
+        cut = np.flatnonzero(np.diff(i, prepend=-1))
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(i)], strict=True):
+            x = int(i[lo])
+            ys = wanted(x, j[lo:hi])
+            if not len(ys):
+                continue
+            both = overlaps(a[x], [b[y] for y in ys.tolist()])
+            ok = den * both >= num * (len(a[x]) + np.array([len(b[y]) for y in ys.tolist()]) - both)
+            if ok.any():
+                yield x, ys[ok], both[ok]
 
-    def signs(sets: list[np.ndarray]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(signature, sets)), np.uint64).reshape(len(sets), -1)
 
+def verified_star(num: int, den: int):
+    """As ``candidate_star`` for tiles of sorted arrays: an edge only where the exact intersection says so."""
     def star(one: tuple, other: tuple | None) -> tuple[np.ndarray, np.ndarray]:
         if other is None and len(one[0]) == 1:
             return one[0][:0], one[0][:0]
-        a = arrays(one)
-        b = a if other is None else arrays(other)
         members = one[0] if other is None else np.concatenate([one[0], other[0]])
-        label, shift = np.arange(len(members)), 0 if other is None else len(a)
-        left = signs(a)
-        for i, j in near_cells(left, one[1], left if other is None else signs(b), (other or one)[1], other is None, num, den):
-            cut = np.flatnonzero(np.diff(i, prepend=-1))
-            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(i)], strict=True):
-                x = int(i[lo])
-                ys = j[lo:hi][label[j[lo:hi] + shift] != label[x]]  # what is joined already needs no proof
-                if not len(ys):
-                    continue
-                both = overlaps(a[x], [b[y] for y in ys.tolist()])
-                union = len(a[x]) + np.array([len(b[y]) for y in ys.tolist()]) - both
-                linked = ys[den * both >= num * union]
-                if len(linked):
-                    label = merge(label, np.full(len(linked), x), linked + shift)
+        label, shift = np.arange(len(members)), 0 if other is None else len(one[0])
+
+        def apart(x: int, ys: np.ndarray) -> np.ndarray:  # what is joined already needs no proof
+            return ys[label[ys + shift] != label[x]]
+
+        for x, ys, _ in linked_cells(one, other, num, den, apart):
+            label = merge(label, np.full(len(ys), x), ys + shift)
         member = np.flatnonzero(label != np.arange(len(label)))
         return members[label[member]], members[member]
     return star
 
 
+def verified_links(num: int, den: int):
+    """All links of tiles of sorted arrays: members of both ends and the size of their intersection."""
+    def star(one: tuple, other: tuple | None) -> tuple[np.ndarray, ...]:
+        found = [(np.full(len(ys), one[0][x]), (other or one)[0][ys], both) for x, ys, both in linked_cells(one, other, num, den, lambda x, ys: ys)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (one[0][:0],) * 3
+    return star
+
+
 # --- join ------------------------------------------------------------------------------------------
 
 
@@ -340,11 +358,8 @@ def _arrays(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, widt
     return found.mapInArrow(run, "grp bigint, n bigint, member bigint, payload binary")
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(id, text_hash, n, component_id) of every row; ``component_id``: the smallest id that links reach, its own included.
-
-    Rows of common classes (under ``COMMON`` of them, broadcast) get their component where they lie; the others are dealt by class.
-    """
+def _candidates(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (``set_rows``), the classes of equal sets, and the tiles of the sorted arrays of those that bitmaps do not rule out."""
     if not 0 < num < den:
         raise ValueError("the similarity num / den must lie between 0 and 1")
     prints = written(set_rows(docs, id_col, text_col, width), "sets")
@@ -360,16 +375,47 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = (candidates.join(classes.drop("signs"), candidates["node"] == classes["member"])
               .select(F.col("label").alias("grp"), "member", "n", "lo", "hi", "row_id", "row_hash"))
     rows = written(_arrays(docs, written(wanted, "wanted"), id_col, text_col, width), "arrays")
-    arrays = written(_pack(rows, "payload", SETS, SET_BYTES, parts), "array-tiles")
+    return prints, classes, written(_pack(rows, "payload", SETS, SET_BYTES, parts), "array-tiles")
+
+
+def _per_row(prints: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, text_hash, n) of every row that has a set, with ``columns`` of its class in ``known`` (lo, hi, rows, columns).
+
+    Rows of common classes (under ``COMMON`` of them, broadcast) get them where they lie; the others are dealt by class.
+    """
+    known = known.select("lo", "hi", "rows", *columns)
+    common = F.broadcast(known.filter(F.col("rows") * COMMON > prints.count()).drop("rows"))
+    some = prints.filter("n > 0").drop("signs")
+    found = some.join(common, ["lo", "hi"]).union(some.join(common, ["lo", "hi"], "left_anti").join(known.drop("rows"), ["lo", "hi"]))
+    return found.select("id", "text_hash", "n", *columns)
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(id, text_hash, n, component_id) of every row; ``component_id``: the smallest id that links reach, its own included."""
+    prints, classes, arrays = _candidates(docs, id_col, text_col, width, num, den)
     linked = components(_edges(arrays, verified_star(num, den), num, den))
     least = linked.join(classes.select("member", "least"), linked["node"] == F.col("member")).groupBy("label").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "label").select(F.col("node").alias("member"), "component_id")
     known = written(classes.join(linked, "member", "left").select("lo", "hi", "rows", F.coalesce("component_id", "least").alias("component_id")), "named")
-    common = F.broadcast(known.filter(F.col("rows") * COMMON > prints.count()).drop("rows"))
-    some = prints.filter("n > 0").drop("signs")
-    found = some.join(common, ["lo", "hi"]).union(some.join(common, ["lo", "hi"], "left_anti").join(known.drop("rows"), ["lo", "hi"]))
     none = prints.filter("n = 0").select("id", "text_hash", "n", F.col("id").alias("component_id"))
-    return found.select("id", "text_hash", "n", "component_id").union(none)
+    return _per_row(prints, known, ["component_id"]).union(none)
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
+    """The whole join: links (a, b, shared) between classes of equal sets, and rows (id, text_hash, n, class, n_links).
+
+    Each link of two different sets is there once, with the size of their intersection; every one is verified, so the
+    work grows with the links, n squared in a group of n different texts that all link.  Rows of one ``class`` have equal
+    sets and link too; ``n_links`` counts the other rows that a row links with.  Rows without words have no class and no link.
+    """
+    prints, classes, arrays = _candidates(docs, id_col, text_col, width, num, den)
+    links = written(_edges(arrays, verified_links(num, den), num, den, ("a", "b", "shared")), "links")
+    both = links.select("a", F.col("b").alias("member")).union(links.select(F.col("b").alias("a"), F.col("a").alias("member")))
+    others = both.join(classes.select("member", "rows"), "member").groupBy("a").agg(F.sum("rows").alias("others"))
+    known = classes.join(others, classes["member"] == others["a"], "left").select(
+        "lo", "hi", "rows", F.col("member").alias("class"), (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).cast("bigint").alias("n_links"))
+    none = prints.filter("n = 0").select("id", "text_hash", "n", F.lit(None).cast("bigint").alias("class"), F.lit(0).cast("bigint").alias("n_links"))
+    return links, _per_row(prints, written(known, "linked"), ["class", "n_links"]).union(none)
 
 
 def op11_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refinespark.llm import jaccard
-from refinespark.llm.jaccard import bits_of, folded, jaccard_groups, op11_ngram_jaccard, overlaps, shingle_sets, signature
+from refinespark.llm.jaccard import bits_of, folded, jaccard_groups, jaccard_links, op11_ngram_jaccard, overlaps, shingle_sets, signature
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -86,6 +86,52 @@ def test_one_group_of_near_copies_over_many_tiles(spark, monkeypatch):
     assert found(jaccard_groups(df)) == plain_components(rows)
 
 
+def plain_links(rows, num=85, den=100):
+    """Links between different sets as (set, set, shared), and (id, n, number of other rows linked) of every row."""
+    sets = [plain_set(t) for _, t in rows]
+    links, count = set(), [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and den * both >= num * len(sets[i] | sets[j]):
+                count[i] += 1
+                count[j] += 1
+                if sets[i] != sets[j]:
+                    links.add((frozenset([sets[i], sets[j]]), both))
+    return links, sorted(((d, len(sets[i]), count[i]) for i, (d, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_every_link_equals_brute_force(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(jaccard, "TILE_LEAST", 7)
+        monkeypatch.setattr(jaccard, "TILE_FACTOR", 1)
+        monkeypatch.setattr(jaccard, "SETS", 3)
+        monkeypatch.setattr(jaccard, "CELLS", 16)
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(150)]
+    texts = [t for _, t in documents(6)][:120] + [" ".join(edited(rng, base, 0.01)) for _ in range(40)] + [" ".join(base)] * 7
+    rows = list(enumerate(texts))
+    links, members = jaccard_links(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    expected, counts = plain_links(rows)
+    members = members.collect()
+    assert sorted(((r.id, r.n, r.n_links) for r in members), key=str) == counts
+    of = {r["class"]: plain_set(texts[r.id]) for r in members if r["class"] is not None}
+    assert len({r["class"] for r in members} - {None}) == len({plain_set(t) for t in texts} - {frozenset()})
+    found = [(frozenset([of[a], of[b]]), shared) for a, b, shared in links.collect()]
+    assert len(found) == len(expected) and set(found) == expected
+
+
+def test_links_of_empty_tables_null_ids_and_clashing_columns(spark):
+    rows = [(None, "a b c d e", 1), (None, "A b c d e", 2), (7, "a b c d e", 3), (7, None, 3), (8, " ", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumn("class", F.lit(0)).withColumn("n_links", F.lit("x"))
+    links, members = jaccard_links(df)
+    assert links.collect() == []
+    assert sorted(((r.id, r.n, r.n_links) for r in members.collect()), key=str) == sorted([(None, 2, 2), (None, 2, 2), (7, 2, 2), (7, 0, 0), (8, 0, 0)], key=str)
+    links, members = jaccard_links(df.limit(0))
+    assert links.collect() == [] and members.collect() == []
+
+
 @pytest.mark.parametrize("num, den, width", [(1, 2, 1), (9, 10, 2)])
 def test_other_thresholds_and_widths(spark, num, den, width):
     rng = random.Random(num)
