@@ -10,14 +10,21 @@ from __future__ import annotations
 
 DIM = 64
 
-PAIRS = """select conv_id*100+turn pair_id, text q, a
-from (select conv_id, turn, role, text,
+# ids of turns: short, wide, and the place among all turns that fit neither form (fixed values of the library)
+_SHORT = "(turn between 0 and 99 and conv_id > -(1::bigint << 55) and conv_id < (1::bigint << 55))"
+_WIDE = "(turn >= 100 and turn < 1 << 30 and conv_id >= 0 and conv_id < (1::bigint << 32))"
+TURNS = f"""(select *, case when {_SHORT} then conv_id * 100 + turn when {_WIDE} then (1::bigint << 62) + conv_id * (1 << 30) + turn
+  when conv_id is not null and turn is not null
+  then (-9223372036854775808::hugeint + dense_rank() over (partition by conv_id is null or turn is null or {_SHORT} or {_WIDE} order by conv_id, turn) - 1)::bigint end turn_id
+  from conversations)"""
+PAIRS = f"""select turn_id pair_id, text q, a
+from (select conv_id, turn, turn_id, role, text,
              lead(text) over (partition by conv_id order by turn) a,
              lead(role) over (partition by conv_id order by turn) nr
-      from conversations) t
+      from {TURNS}) t
 where role = 'user' and nr = 'assistant'"""
 
-UTTERANCES = "select conv_id*100+turn utt_id, text from conversations where role = 'user'"
+UTTERANCES = f"select turn_id utt_id, text from {TURNS} where role = 'user'"
 
 VECTORS = "select vec_id pid, embedding vec from embeddings"
 
@@ -362,9 +369,9 @@ def _constrained(src: str, min_len: int, max_len: int, n_best: int, banned: str
 
 Q["constrain_candidates"] = _with(
     VOCAB,
-    """lines as (select {'c': conv_id, 't': turn, 'l': cand} line, conv_id * 100 + turn qid, cand, reply, (-cand)::double score
-  from (select conv_id, turn, (generate_subscripts(ls, 1) - 1)::int cand, unnest(ls) reply
-    from (select conv_id, turn, string_split(text, chr(10)) ls from conversations where role = 'assistant')))""",
+    f"""lines as (select {{'c': conv_id, 't': turn, 'l': cand}} line, turn_id qid, cand, reply, (-cand)::double score
+  from (select conv_id, turn, turn_id, (generate_subscripts(ls, 1) - 1)::int cand, unnest(ls) reply
+    from (select conv_id, turn, turn_id, string_split(text, chr(10)) ls from {TURNS} where role = 'assistant')))""",
     token_ids("lines", "line", "reply", "li"),
     "cands as (select l.*, i.ids from lines l join li i using (line))",
     _constrained("cands", 5, 36, 5, "len(ids) between 1 and 35 and ids[-1] = 1")) + \

@@ -380,8 +380,8 @@ def q_constrain_candidates(spark, sf):
         "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("cand", "reply"))
     lines = lines.withColumn("line", F.struct("conv_id", "turn", "cand"))
     ids = voc.pad_truncate(voc.encode_tokens(lines, "line", "reply", _vocab(spark, sf), out="ids"), "ids", 37)
-    cands = lines.join(ids, "line").select(
-        src.turn_id().alias("qid"), F.col("cand").cast("int"), "reply",
+    cands = src.with_turn_id(lines.join(ids, "line"), conv, "qid").select(
+        "qid", F.col("cand").cast("int"), "reply",
         (-F.col("cand")).cast("double").alias("score"), "ids")
     return generate.constrain_candidates(cands, None, min_length=5, max_length=36, n_best=5).drop("ids")
 

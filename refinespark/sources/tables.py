@@ -20,23 +20,49 @@ from ..session import ensure_arrow_limits, materialise
 PAIR_DDL = "Q string, A string"
 
 
-# Fixed values of ``turn_id``: turns below SHORT keep the short id; the others lie from 2^62 on.
-SHORT, WIDE_CONV, WIDE_TURN = 100, 1 << 32, 1 << 30
+# Fixed values of ``turn_id``: turns below SHORT keep the short id; wide ids lie from 2^62 on, numbers of other turns below -2^62.
+SHORT, WIDE_CONV, WIDE_TURN, OTHERS = 100, 1 << 32, 1 << 30, -(1 << 63)
+
+
+def _forms(c: Column, t: Column) -> tuple[Column, Column]:
+    """Whether (conversation, turn) has a short id, and whether it has a wide one if not."""
+    short = (t >= 0) & (t < SHORT) & (c > -(1 << 55)) & (c < 1 << 55)  # |id| below 2^62
+    return short, (t >= SHORT) & (t < WIDE_TURN) & (c >= 0) & (c < WIDE_CONV)
 
 
 def turn_id(conv_id: str = "conv_id", turn: str = "turn") -> Column:
     """One id per (conv_id, turn): conv_id * 100 + turn below turn 100, else 2^62 + conv_id * 2^30 + turn.
 
-    Both ranges are checked, so that no two turns share an id; a turn that fits neither raises an error.
+    Both ranges are checked, so that no two turns share an id; a turn that fits neither raises an error.  Tables get ids
+    for any turn by ``with_turn_id``; this form is for streams, which have no table to number.
     """
     c, t = F.col(conv_id).cast("long"), F.col(turn).cast("long")
-    short = (t >= 0) & (t < SHORT) & (c > -(1 << 55)) & (c < 1 << 55)  # |id| below 2^62
-    wide = (t >= SHORT) & (t < WIDE_TURN) & (c >= 0) & (c < WIDE_CONV)
+    short, wide = _forms(c, t)
     return (F.when(c.isNull() | t.isNull(), F.lit(None).cast("long"))
             .when(short, c * SHORT + t).when(wide, F.lit(1 << 62) + c * WIDE_TURN + t)
             .otherwise(F.raise_error(F.concat_ws(" ", F.lit("no id for conversation and turn"), c, t)).cast("long")))
 
 
+def with_turn_id(rows: DataFrame, conv: DataFrame, name: str) -> DataFrame:
+    """``rows`` of the table ``conv`` with the id of their (conv_id, turn), whatever 64-bit numbers these are (null: no id).
+
+    Turns that ``turn_id`` has no form for (hashed conversation ids, negative turns) are numbered in the order of
+    (conv_id, turn) over the whole table: -2^63 + rank.  So every reader of one table gives a turn the same id.  Their rows meet
+    the numbers by (conv_id, turn), a key of one row each; the other rows are not shuffled, and without such turns nothing is.
+    """
+    c, t = F.col("conv_id").cast("long"), F.col("turn").cast("long")
+    short, wide = _forms(c, t)
+    fits = c.isNull() | t.isNull() | short | wide
+    if not conv.agg(F.bool_or(~fits)).first()[0]:
+        return rows.withColumn(name, turn_id())
+    from ..operators.sampling import ranked_by_ranges
+    others = conv.where(~fits).select(c.alias("_c"), t.alias("_t")).distinct()
+    numbers = ranked_by_ranges(others, [F.col("_c"), F.col("_t")], "_n")
+    found = rows.where(~fits).join(numbers, (c == F.col("_c")) & (t == F.col("_t")))
+    found = found.withColumn(name, F.lit(OTHERS) + F.col("_n") - 1).drop("_c", "_t", "_n")
+    return rows.where(fits).withColumn(name, turn_id()).union(found)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -144,7 +170,7 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair fixture: a user turn followed at once by an assistant turn -> (pair_id, q, a)."""
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     t = next_rows(conv).where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-    return t.select(turn_id().alias("pair_id"), F.col("text").alias("q"), F.col("next_text").alias("a"))
+    return with_turn_id(t, conv, "pair_id").select("pair_id", F.col("text").alias("q"), F.col("next_text").alias("a"))
 
 
 def passages(pairs: DataFrame) -> DataFrame:
@@ -155,8 +181,7 @@ def passages(pairs: DataFrame) -> DataFrame:
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User lines as a bounded table (the stream form is in ``streaming``)."""
     conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    return (conv.where(F.col("role") == "user")
-                .select(turn_id().alias("utt_id"), "text"))
+    return with_turn_id(conv.where(F.col("role") == "user"), conv, "utt_id").select("utt_id", "text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Conversations of more than 100 turns next to others: every utterance, pair and line keeps a row of its own."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as E
+from check_oracle import digest
 from refinespark.sources import tables as src
 
 TURNS = {1: 251, 2: 60, 3: 4}
@@ -55,3 +57,35 @@ def test_ids_are_checked(spark):
     for conv, turn in ((1, -1), (1 << 32, 100), (1, 1 << 30), (1 << 55, 0), (-1, 100)):
         with pytest.raises(Exception, match="no id for conversation and turn"):
             spark.createDataFrame([(conv, turn)], "conv_id long, turn long").select(src.turn_id()).collect()
+
+
+ODD = [(-(1 << 63), 0), (-(1 << 63), 1), ((1 << 63) - 1, 0), ((1 << 63) - 1, 1), (1 << 55, 0), (1 << 55, 1), (-7, 100), (-7, 101), (5, -2), (5, -1), (5, 0), (5, 1),
+       (1 << 32, 99), (1 << 32, 100), (2, 1 << 30), (2, (1 << 30) + 1), (4, 200), (4, 201)]
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    """Hashed 64-bit conversation ids, negative and very large turns, nulls."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    rows = [(c, t, "user" if i % 2 == 0 else "assistant", f"line {i} of\na talk with {c} at {t} here") for i, (c, t) in enumerate(ODD)]
+    rows += [(None, 1, "user", "no talk"), (3, None, "user", "no turn")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+def test_any_64_bit_ids_have_ids_of_their_own(spark, odd_folder):
+    utts = {r.utt_id: r.text for r in src.utterances(spark, odd_folder).where("utt_id is not null").collect()}
+    pairs = {r.pair_id: r.q for r in src.conversation_pairs(spark, odd_folder).collect()}
+    assert len(utts) == len(pairs) == len(ODD) // 2
+    assert pairs == utts  # both readers give a turn the same id
+    assert src.utterances(spark, odd_folder).where("utt_id is null").count() == 2
+
+
+@pytest.mark.parametrize("name", ["utterances", "read_pairs", "constrain_candidates", "passage_ids"])
+def test_twins_know_any_id(spark, folder, odd_folder, name):
+    for path in (folder, odd_folder):
+        con = duckdb.connect()
+        con.execute(f"create view conversations as select * from '{path}/conversations.parquet/*.parquet'")
+        df = E.queries()[name](spark, path)
+        result = con.execute(E.oracle_sql()[name])
+        assert digest(df.columns, [tuple(r) for r in df.collect()]) == digest([d[0] for d in result.description], result.fetchall())
