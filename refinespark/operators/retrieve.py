@@ -1,6 +1,7 @@
 """Retrieval over tables: hits joined back to text and ground truth.
 
-Hits are keys, never positions: every lookup is an equi-join on ``pid``, and
+Hits are keys, never positions: every lookup is an equi-join on ``pid`` that deals the hits of popular
+passages to many tasks (``with_passages``), and
 the hit texts of one query are put in rank order with an ordered
 ``collect_list`` (partial on the map side, at most k rows per query).
 """
@@ -10,9 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .encode import encode_passages, encode_queries, guard_zero_vector
 from .exact import topk_exact_bulk
 
+#: A passage with more than one in so many hits is popular (under ``POPULAR`` passages are); it is copied to ``COPIES`` keys.
+POPULAR, COPIES = 1_000, 64
+
 
 def search(query_vecs: DataFrame, passage_vecs: DataFrame, k: int = 1, metric: str = "ip",
            index=None, nprobe: int | None = None, dim: int | None = None) -> DataFrame:
@@ -23,9 +28,26 @@ def search(query_vecs: DataFrame, passage_vecs: DataFrame, k: int = 1, metric: s
     return ann_search_bulk(query_vecs, index, k=k, nprobe=nprobe, metric=metric)
 
 
+def with_passages(hits: DataFrame, passages: DataFrame, out: str = "text") -> DataFrame:
+    """Hits (qid, pid, ...) with the text of their passage in ``out``; the hits are written first.
+
+    Popular passages are few (bounded by ``POPULAR``), so their ids are broadcast; each gets ``COPIES`` keys, over which its
+    hits are dealt by ``qid``.  All other passages have one key.
+    """
+    hits = materialise(hits, "hits")
+    total = hits.count()  # of the written table: file footers
+    popular = F.broadcast(hits.groupBy("pid").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * POPULAR > total).select(F.col("pid").alias("_pid")))
+    is_popular = F.col("_pid").isNotNull()
+    asked = hits.join(popular, F.col("pid") == F.col("_pid"), "left").withColumn(
+        "_copy", F.when(is_popular, F.pmod(F.xxhash64("qid"), F.lit(COPIES)).cast("int")).otherwise(0)).drop("_pid")
+    copies = F.sequence(F.lit(0), F.when(is_popular, COPIES - 1).otherwise(0))
+    texts = passages.select("pid", F.col("text").alias(out)).join(popular, F.col("pid") == F.col("_pid"), "left").withColumn("_copy", F.explode(copies)).drop("_pid")
+    return asked.join(texts, ["pid", "_copy"]).drop("_copy")
+
+
 def join_context(hits: DataFrame, passages: DataFrame, sep: str = " ") -> DataFrame:
     """P5: (qid, context_id ARRAY<LONG>, context STRING) with hit texts in rank order."""
-    h = hits.join(passages.select("pid", "text"), "pid")
+    h = with_passages(hits, passages)
     agg = h.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rk", "pid", "text"))).alias("_h"))
     return agg.select("qid", F.transform("_h", lambda x: x["pid"]).alias("context_id"),
                       F.array_join(F.transform("_h", lambda x: x["text"]), sep).alias("context"))
@@ -34,7 +56,7 @@ def join_context(hits: DataFrame, passages: DataFrame, sep: str = " ") -> DataFr
 def lookup_passage(hits: DataFrame, passages: DataFrame, out: str = "text") -> DataFrame:
     """Text of the top-1 hit per query -> (qid, pid, score, text)."""
     top = hits.where(F.col("rk") == 1).select("qid", "pid", "score")
-    return top.join(passages.select("pid", F.col("text").alias(out)), "pid").select("qid", "pid", "score", out)
+    return with_passages(top, passages, out).select("qid", "pid", "score", out)
 
 
 def retrieve_table(queries: DataFrame, passages: DataFrame, encoder, k: int = 1,

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from refinespark.operators import ann
+from refinespark.operators import ann, retrieve
 from refinespark.operators.encode import HashedEncoder
 from refinespark.operators.exact import topk_exact_bulk
 from refinespark.operators.retrieve import retrieve_table, retrieve_table_ids
@@ -115,3 +115,25 @@ def test_stream_with_processing_time_trigger(spark, tmp_path):
     finally:
         q.stop()
     assert chat_stream.read_replies(spark, str(tmp_path / "pt")).count() == src.utterances(spark, SF_SMALL).count()
+
+
+def test_popular_passages_are_joined_by_many_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(retrieve, "POPULAR", 4)  # more than a quarter of all hits
+    rows = [(q, 1, 7 if q % 3 else q % 40, 0.5) for q in range(900)] + [(q, 2, 8, 0.25) for q in range(0, 900, 2)]
+    hits = spark.createDataFrame(rows, "qid long, rk int, pid long, score double").repartition(4)
+    texts = spark.createDataFrame([(p, f"text {p}") for p in range(30)], "pid long, text string")  # pids 30 to 39 have none
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = retrieve.with_passages(hits, texts)
+        assert sorted(tuple(r) for r in found.select("qid", "rk", "pid", "score", "text").collect()) == sorted(
+            (*r, f"text {r[2]}") for r in rows if r[2] < 30)
+        keys = hits.join(texts, "pid").count()
+        assert found.count() == keys
+        context = {r.qid: (r.context_id, r.context) for r in retrieve.join_context(hits, texts).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert context[2] == ([7, 8], "text 7 text 8") and context[1] == ([7], "text 7") and context[0] == ([0, 8], "text 0 text 8")
+    assert retrieve.with_passages(hits.limit(0), texts).collect() == []
+    assert retrieve.lookup_passage(hits.where(F.col("qid") == 4), texts).collect()[0]["text"] == "text 7"
