@@ -216,6 +216,41 @@ def test_op5(spark, tables):
     assert all(r.verdict == ruled.get(r.rule, r.verdict) and r.verdict in ("allow", "block") for r in got.collect())
 
 
+def brute_features(url):
+    """The features of a URL that need no counts, in the order of ``FEATURES``."""
+    url = url or ""
+    host, path, *_ = brute_url(url)
+    raw = url.encode()
+    entropy = -sum(n / len(raw) * np.log2(n / len(raw)) for n in Counter(raw).values()) if raw else 0.0
+    asked = url.partition("?")[2] if "?" in url else None
+    digits = "0123456789"
+    return [len(url), len(host), len(path), path.count("/"), host.count("."), host.count("-"), sum(c in digits for c in url) / max(1, len(url)),
+            sum(c in digits for c in host), 0 if asked is None else 1 + asked.partition("#")[0].count("&"), "#" in url, url[:6].lower() == "https:", entropy]
+
+
+def test_op5_features_and_verdicts_equal_brute_force(spark):
+    """Every URL's features from plain Python, its verdict from the trees applied to them one by one."""
+    from pyspark.ml.linalg import Vectors
+
+    odd = [None, "", "no scheme", "HTTPS://WWW.Example.COM/EN/x?a=1&b=2#c", "ftp://h", "http://a-b.c1.net:8080/es/1/2/?&&", "x://é.org/ü?q=日本#f?g&h", "http://" + "a" * 5000 + ".com/" + "9/" * 3000]
+    real = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    pages = real.union(spark.createDataFrame([(100_000 + i, u) for i, u in enumerate(odd)], "page_id long, url string"))
+    model = url_filter.fit(pages)
+    found = url_filter.with_suffix(url_filter.described(pages, "url", url_filter.RULES, "u"), "u", model.counts, model.constant, "v").collect()
+    urls = {r.page_id: r.url for r in pages.collect()}
+    assert len(found) == len(urls)
+    judged = {r.page_id: r.result for r in url_filter.judge_urls(pages, model, out="result").collect()}
+    verdicts = Counter()
+    for row in found:
+        lexical, vector = brute_features(urls[row.page_id]), row.v.toArray()
+        assert np.allclose(vector[:12], np.array(lexical, float), rtol=0, atol=1e-9), urls[row.page_id]
+        rule = brute_url(urls[row.page_id])[3]
+        by_trees = "block" if model.trees.predict(Vectors.dense([*map(float, lexical[:11]), vector[11], *vector[12:]])) == 1 else "allow"
+        assert judged[row.page_id].verdict == (rule or by_trees)
+        verdicts[rule is None, by_trees] += 1
+    assert len(verdicts) == 4  # both verdicts occur with and without a rule
+
+
 def test_op5_method_on_held_out_urls(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", F.lit(1).alias("judged"))
     model = url_filter.fit(pages.filter("page_id % 5 != 0"))
