@@ -7,7 +7,7 @@ Two built-in encoders need no model file:
   corpus, L2-normalised.
 
 Tokenising is a Column expression; hashing and the bucket count per row
-(``np.bincount`` over a whole Arrow batch) is an Arrow-native UDF.  A user model plugs
+(``np.bincount`` over bounded steps of an Arrow batch) is a ``mapInArrow`` stage.  A user model plugs
 in through ``BatchEncoder``: a factory called once per task that returns a
 function from a list of texts to an (n, d) array, run with ``mapInPandas``.
 """
@@ -31,6 +31,8 @@ from ..functions.vectors import vec_sum
 from ..session import materialise
 
 DEFAULT_DIM = 1024
+#: Counts (8 bytes each) that a task holds at a time.
+STEP_CELLS = 1 << 21
 
 
 def _token_buckets(tokens: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,17 +52,23 @@ def _token_buckets(tokens: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return hashed[enc.indices.to_numpy(zero_copy_only=False)], lens
 
 
-def _bincount_udf(dim: int):
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def bincount(tokens: pa.Array) -> pa.Array:
-        n = len(tokens)
-        buckets, lens = _token_buckets(tokens, dim)
-        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-        mat = np.bincount(rows * dim + buckets, minlength=n * dim).astype(np.float64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(mat))
-    # Marked nondeterministic only so Catalyst never copies the call into a
-    # pushed-down filter (which would run the Python stage twice per row).
-    return bincount.asNondeterministic()
+def _bincounts(df: DataFrame, key: str, text_col: str, dim: int) -> DataFrame:
+    """(key, _counts): tokens per bucket of every text, at most ``STEP_CELLS`` counts at a time whatever ``dim`` is."""
+    step = max(1, STEP_CELLS // dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets, lens = _token_buckets(batch.column(1), dim)  # a token of the batch is hashed once
+            ends = np.concatenate([[0], np.cumsum(lens)])
+            for at in range(0, batch.num_rows, step):
+                n = min(step, batch.num_rows - at)
+                rows = np.repeat(np.arange(n, dtype=np.int64), lens[at : at + n])
+                counts = np.bincount(rows * dim + buckets[ends[at] : ends[at + n]], minlength=n * dim).astype(np.float64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(counts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), lists], names=[key, "_counts"])
+
+    kind = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("_counts", T.ArrayType(T.DoubleType()))])
+    return df.select(key, encoder_tokens(F.col(text_col)).alias("_tokens")).mapInArrow(run, kind)
 
 
 def _buckets_udf(dim: int):
@@ -69,7 +77,9 @@ def _buckets_udf(dim: int):
         b, lens = _token_buckets(tokens, dim)
         offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(b.astype(np.int32)))
-    return buckets.asNondeterministic()  # see _bincount_udf
+    # Marked nondeterministic only so Catalyst never copies the call into a
+    # pushed-down filter (which would run the Python stage twice per row).
+    return buckets.asNondeterministic()
 
 
 def term_buckets(text, dim: int) -> Column:
@@ -96,15 +106,11 @@ class HashedEncoder:
         self.dim = dim
         self.name = f"hashed-{dim}"
 
-    def counts(self, text) -> Column:
-        return _bincount_udf(self.dim)(encoder_tokens(text))
-
     def weights(self, counts: Column) -> Column:
         return counts
 
     def encode(self, df: DataFrame, key: str, text_col: str, out: str = "vec") -> DataFrame:
-        # the pandas UDF result is projected first: a Python UDF may not sit inside a lambda
-        counted = self._with_params(df.select(key, self.counts(F.col(text_col)).alias("_counts")))
+        counted = self._with_params(_bincounts(df, key, text_col, self.dim))
         weighted = counted.select(key, self.weights(F.col("_counts")).alias("_w"))
         # the norm is its own column, so it is computed once per row, not once per element
         normed = weighted.select(key, "_w", _norm(F.col("_w")).alias("_n"))

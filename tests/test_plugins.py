@@ -1,5 +1,7 @@
 """User-supplied encoders and generators, other index settings, self-exclusion."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -72,3 +74,23 @@ def test_incremental_encoding(spark):
     both = encode_incremental(grown, have, enc)
     assert sorted(r.pid for r in both.collect()) == [1, 2]
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, enc.encode(grown, "pid", "text").collect()))
+
+
+def test_counts_in_bounded_steps(spark, monkeypatch):
+    """Vectors do not depend on how many counts a task holds at a time; wide vectors go in many steps."""
+    from refinespark.operators import encode
+    rows = [(i, None if i % 11 == 0 else " ".join(f"w{(i * k) % 37}" for k in range(i % 9))) for i in range(300)] + [(None, "w1 w1 w2")]
+    df = spark.createDataFrame(rows, "pid long, text string").repartition(3)
+    for dim in (16, 5000):
+        whole = sorted((str(r.pid), r.vec) for r in encode.HashedEncoder(dim).encode(df, "pid", "text").collect())
+        monkeypatch.setattr(encode, "STEP_CELLS", 3 * dim - 1)
+        steps = sorted((str(r.pid), r.vec) for r in encode.HashedEncoder(dim).encode(df, "pid", "text").collect())
+        monkeypatch.undo()
+        assert whole == steps and len(whole) == len(rows) and all(len(v) == dim for _, v in whole)
+        words = {"w1": 2.0, "w2": 1.0}
+        expected = [0.0] * dim
+        for w, n in words.items():
+            expected[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim] += n
+        norm = sum(x * x for x in expected) ** 0.5
+        got = dict(whole)["None"]
+        assert all(abs(a - b / norm) < 1e-6 for a, b in zip(got, expected, strict=True))
