@@ -120,3 +120,41 @@ def test_plan_is_partial_then_final_limit(spark, data):
         .executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "MapInArrow" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_scores_of_one_product_are_bounded(monkeypatch, metric):
+    """A group meets a block in slices, whatever the size of either, with the same hits."""
+    from refinespark.operators import exact
+    rng = np.random.default_rng(5)
+    q, p = rng.normal(size=(40, 8)).astype(np.float32), rng.normal(size=(300, 8)).astype(np.float32)
+    whole = exact._Group(np.arange(40), q, 3, metric)
+    whole.score(np.arange(300), p)
+    monkeypatch.setattr(exact, "SCORE_CELLS", 1_000)
+    sizes, steps = [], exact._Group(np.arange(40), q, 3, metric)
+    keep = steps.top.add
+    steps.top.add = lambda s, ids: (sizes.append(s.size), keep(s, ids))
+    steps.score(np.arange(300), p)
+    assert max(sizes) <= 1_000 and sum(sizes) == 40 * 300
+    assert all(np.array_equal(getattr(whole.top, c), getattr(steps.top, c)) for c in ("r", "pid", "score"))
+
+
+def test_defaults_bound_what_a_task_holds_of_the_queries():
+    """A task's queries, an Arrow batch and an encoder's counts do not grow with the table."""
+    from refinespark import session
+    from refinespark.operators import encode, exact
+    assert exact.DEFAULT_BROADCAST_BYTES <= 16 << 20 and exact.DEFAULT_CELL_BYTES <= 16 << 20
+    assert session.ARROW_MAX_BYTES <= 2 << 20 and encode.STEP_CELLS * 8 <= 2 << 20
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_grid_keeps_keys_beyond_doubles_and_null_keys(spark, metric):
+    """Ids above 2^53 stay exact beside a null id, in the broadcast form and in the grid."""
+    rng = np.random.default_rng(9)
+    p = [((1 << 62) + i, rng.normal(size=8).round(3).tolist()) for i in range(50)]
+    q = [((1 << 62) + 2 * i + 1, rng.normal(size=8).round(3).tolist()) for i in range(30)]
+    qf, pf = frame(spark, q + [(None, q[0][1])], "qid"), frame(spark, p, "pid")
+    want = brute(q, p, 3, metric)
+    for kw in ({}, {"broadcast_bytes": 100, "cell_bytes": 300, "block_rows": 4, "query_group_rows": 3}):
+        got = sorted(tuple(r) for r in topk_exact_bulk(qf, pf, k=3, metric=metric, **kw).collect())
+        assert [r for r in got if r[0] > 0] == want and len(got) == len(want) + 3

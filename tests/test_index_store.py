@@ -174,3 +174,24 @@ def test_stored_index_is_read_again(spark):
     a, b = (stores.index_store(v, nlist=4, iters=1) for _ in range(2))
     assert a.lists.inputFiles() == b.lists.inputFiles() and np.array_equal(a.lo, b.lo)
     assert stores.index_store(v.where("pid > 0"), nlist=4, iters=1).lists.inputFiles() != a.lists.inputFiles()
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_many_probes_are_dealt_and_not_broadcast(spark, clustered, metric):
+    """Beyond the bound no query block goes through the driver; grid cells of either size give the same hits, repeated ids too."""
+    index = ann.build_index(clustered, nlist=6, bits=8, iters=1)
+    q = queries(clustered)
+    q = q.union(q.where("qid < 5"))
+    one = sorted(ann.ann_search_bulk(q, index, k=4, metric=metric).collect())
+    bounded = {"metric": metric, "broadcast_bytes": 1_000, "cell_bytes": 40_000, "query_group_rows": 50}
+    assert one == sorted(ann.ann_search_bulk(q, index, k=4, **bounded).collect())
+    plan = ann.ann_search_bulk(q, index, k=4, nprobe=2, **bounded)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan
+
+
+def test_probes_are_packed_in_bounded_steps(spark, clustered, monkeypatch):
+    index = ann.build_index(clustered, nlist=6, bits=8, iters=1)
+    one = sorted(ann.ann_search_bulk(queries(clustered), index, k=4).collect())
+    monkeypatch.setattr(ann, "PROBE_CELLS", 13)
+    monkeypatch.setattr(ann, "PROBE_ROWS", 7)
+    assert one == sorted(ann.ann_search_bulk(queries(clustered), index, k=4).collect())
