@@ -8,7 +8,9 @@ from conftest import SF_SMALL
 from refinespark.operators import vocab as voc
 from refinespark.operators.encode import BatchEncoder, HashedEncoder
 from refinespark.plans import chat, datasets
+from refinespark.plans.registry import QUERIES
 from refinespark.sources import tables as src
+from refinespark.sources.stores import complete_folders
 from refinespark.streaming import chat_stream
 
 
@@ -96,3 +98,29 @@ def test_generator_dataset_reads_the_texts_once(spark):
     vocab = voc.build_vocab(pairs.selectExpr("q as text"))
     plan = datasets.generator_dataset(pairs, vocab)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "regexp" not in plan.lower() and "conversations" not in plan
+
+
+def test_a_micro_batch_takes_files_by_bytes(spark, tmp_path):
+    """Small files are answered in one micro-batch, a bound of bytes or files splits them, and the replies are the same."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"word{c} word{t}") for c in range(8) for t in range(4)]
+    conv = spark.createDataFrame(rows, chat_stream.UTTERANCE_SCHEMA)
+    conv.repartition(4, "conv_id").write.parquet(str(tmp_path / "in"))
+    pairs = spark.createDataFrame([(i, f"word{i}", f"word{i} word{i % 4}") for i in range(8)], "pair_id long, q string, a string")
+    side, replies, batches = chat.serve(pairs, HashedEncoder(16)), [], []
+    for name, kw in (("all", {"max_bytes_per_trigger": 256 << 20}), ("bytes", {"max_bytes_per_trigger": 1}), ("files", {"max_files_per_trigger": 2})):
+        stream = chat_stream.utterance_stream(spark, str(tmp_path / "in"), **kw)
+        sink = chat_stream.run_chat_stream(spark, stream, side, HashedEncoder(16), f"{name}-{tmp_path.name}", sink=str(tmp_path / name))
+        replies.append(sorted(tuple(r) for r in chat_stream.read_replies(spark, sink).collect()))
+        batches.append(len(complete_folders(spark, f"{sink}/manifest")))
+    n = len(list((tmp_path / "in").glob("part-*.parquet")))
+    assert replies[0] == replies[1] == replies[2] and len(replies[0]) == 16
+    assert n > 1 and batches == [1, n, -(-n // 2)]
+
+
+def test_registered_stream_answers_small_files_in_one_micro_batch(spark, tmp_path):
+    """The number of searches of the whole corpus does not follow the number of input files."""
+    spark.read.parquet(f"{SF_SMALL}/conversations.parquet").repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["chat_stream"](spark, str(tmp_path))
+    want = QUERIES["chat_retriever"](spark, SF_SMALL)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) == 1  # a folder a micro-batch
